@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from siltlog.llm import packing
+from siltlog.llm import neardup, packing, urls
 
 QUERIES = {
     "op1_pack_sequences": packing.op1_pack_sequences,
+    "op2_url_filter": urls.op2_url_filter,
+    "op6_minhash_dedup": neardup.op6_minhash_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_url_filter": urls.OP2_SQL,
+}
