@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from siltlog.llm import neardup, packing, urls
+from siltlog.llm import lines, neardup, packing, rules, urls
 
 QUERIES = {
     "op1_pack_sequences": packing.op1_pack_sequences,
     "op2_url_filter": urls.op2_url_filter,
+    "op4_quality_rules": rules.op4_quality_rules,
     "op6_minhash_dedup": neardup.op6_minhash_dedup,
+    "op8_line_dedup": lines.op8_line_dedup,
 }
 
 ORACLE: dict[str, str] = {
     "op2_url_filter": urls.OP2_SQL,
+    "op4_quality_rules": rules.OP4_SQL,
+    "op8_line_dedup": lines.OP8_SQL,
 }
