@@ -10,23 +10,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltlog.llm import kk
+from siltlog.llm import kk, words
 
 PIECES = "id {id}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-#: Words that a worker remembers the ids of, before it starts afresh: about 120 MB.
-REMEMBERED = 500_000
+#: Words that a worker remembers the ids of, before it starts afresh: about 100 MB.
+REMEMBERED = 3_000_000
+_MARKS = np.isin(np.arange(256), np.frombuffer(b".,;:!?", np.uint8))
+_LETTERS = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", np.uint8))
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in a byte-level vocabulary
+_HIDDEN = [b for b in range(256) if b not in set(_SHOWN)]
+_LEVEL = {**{b: b for b in _SHOWN}, **{b: 256 + k for k, b in enumerate(_HIDDEN)}}
 
 
 class WordTokenizer:
-    """Ids of whole texts by a tokenizer whose words never cross a blank or a line feed.
+    """Ids of whole texts by a lower-casing byte-level tokenizer whose words never cross a blank.
 
-    Each distinct word goes to the tokenizer once per worker; a text is then a join of known ids.
-    Closing marks are parted from words of ASCII letters, as the tokenizer itself does, so that
-    "end" and "end." share an entry.
+    Words of many texts are found and hashed as arrays; only words that the worker has not met go to
+    the tokenizer. A mark right after an ASCII letter begins a word of its own, as in the tokenizer.
     """
 
-    MARKS = ".,;:!?"
-
     def __init__(self, path: str) -> None:
         import os
 
@@ -35,42 +37,56 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.parts: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {"": b""}
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.words) + len(self.parts) > REMEMBERED:
-            self.words, self.parts = {"": b""}, {"": b""}
-        split = {}
-        for w in words:
-            head = w.rstrip(self.MARKS)
-            split[w] = (head.lower(), w[len(head) :]) if head.isascii() and head.isalpha() else (w, "")
-        new = list({p for two in split.values() for p in two} - self.parts.keys())
-        for part, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.parts[part] = np.array(got.ids, "<u4").tobytes()
-        for w, (head, tail) in split.items():
-            self.words[w] = self.parts[head] + self.parts[tail]
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        words = set().union(*split)
-        if new := words - self.words.keys():
-            self._learn(new)
-            if lost := words - self.words.keys():
-                self._learn(lost)
-        for one in split:
-            yield np.frombuffer(b"".join(map(self.words.__getitem__, one)), "<u4")
-
-
-def _chunks(texts: list[str], size: int) -> Iterator[tuple[int, list[str]]]:
-    at, n = 0, 0
-    for k, t in enumerate(texts):
-        n += len(t)
-        if n >= size:
-            yield at, texts[at : k + 1]
-            at, n = k + 1, 0
-    if at < len(texts):
-        yield at, texts[at:]
+        self.model = self.tokenizer.model
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.start, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids, self.total = [], 0
+
+    def word(self, word: str) -> list[int]:
+        """Letters of Latin-1 pass the normaliser as lower case and are one pre-token: straight to the merges."""
+        if word.isalpha() and max(word) <= "\xff":
+            low = word.lower()
+            return [t.id for t in self.model.tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(_LEVEL))]
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        got = [self.word(w) for w in words]
+        lengths = np.fromiter(map(len, got), np.int32, len(got))
+        self.ids.append(np.fromiter((i for g in got for i in g), "<u4", int(lengths.sum())))
+        starts = self.total + np.cumsum(lengths, dtype=np.int64) - lengths
+        self.total += int(lengths.sum())
+        at = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, at, hashes)
+        self.start, self.length = np.insert(self.start, at, starts), np.insert(self.length, at, lengths)
+
+    def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """For each row of a text column its ids; null counts as empty."""
+        data, offsets = words.flat(column)
+        breaks = np.zeros(len(data), bool)
+        breaks[1:] = _MARKS[data[1:]] & _LETTERS[data[:-1]]
+        starts, ends, rows = words.spans(data, offsets, breaks)
+        hashes, first, which = np.unique(words.hash_spans(data, starts, ends), return_index=True, return_inverse=True)
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        at = np.searchsorted(self.known, hashes)
+        new = np.ones(len(hashes), bool)
+        inside = at < len(self.known)
+        new[inside] = self.known[at[inside]] != hashes[inside]
+        if new.any():
+            raw = data.tobytes()
+            self._learn(hashes[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            at = np.searchsorted(self.known, hashes)
+        if len(self.ids) > 1:
+            self.ids = [np.concatenate(self.ids)]
+        ids = self.ids[0] if self.ids else np.zeros(0, "<u4")
+        where = at[which]
+        lengths = self.length[where].astype(np.int64)
+        tokens = words.gather(ids, self.start[where], lengths)
+        ends_of = np.concatenate([[0], np.cumsum(lengths)])[rows]
+        for lo, hi in zip(ends_of[:-1].tolist(), ends_of[1:].tolist(), strict=True):
+            yield tokens[lo:hi]
 
 
 class _Windows:
@@ -135,14 +151,11 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
         for batch in batches:
             schema = pa.schema([("id", batch.schema.field(0).type), *((c, pa.int64()) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")), ("ids", pa.binary())])
             out = out or _Windows(capacity, piece, group_windows, TaskContext.get().partitionId() << 33, schema)
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for lo in range(0, len(ids), 500):
-                part = [t or "" for t in texts.slice(lo, 500).to_pylist()]
-                for at, some in _chunks(part, 2_000_000):
-                    for k, tokens in enumerate(encoder.encode(some)):
-                        out.add(ids[lo + at + k], np.append(tokens, np.uint32(end_id)).astype("<u4"))
-                        if out.bytes > 8_000_000:
-                            yield out.take()
+            for at, texts in words.slices(batch.column(1), 4_000_000):
+                for doc, tokens in zip(batch.column(0).slice(at, len(texts)).to_pylist(), encoder.encode(texts), strict=True):
+                    out.add(doc, np.append(tokens, np.uint32(end_id)).astype("<u4"))
+                    if out.bytes > 8_000_000:
+                        yield out.take()
         if out:
             out.close()
             if out.rows:
