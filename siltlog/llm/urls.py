@@ -18,36 +18,39 @@ from pyspark.sql import functions as F
 Rule = tuple[str, str, str]
 
 
-def build(rules: list[Rule], folder: str) -> None:
-    """Write rules as three files: sorted digests, and the full strings end to end with their offsets.
+def _digest(host: str, path: str) -> int:
+    return xxhash.xxh64_intdigest(f"{host}\x00{path}".encode("utf-8", "surrogatepass"))
+
 
-    A repeated host and path keeps its last verdict. The files are meant to be memory-mapped: tasks
-    on one machine share their pages, and only the touched pages are read.
+def build(rules: list[Rule], path: str) -> None:
+    """Write rules as one file: four counts, sorted digests, offsets of the full strings, path lengths, the strings.
+
+    A repeated host and path keeps its last verdict. The file is meant to be memory-mapped: tasks on
+    one machine share its pages, and only the touched pages are read.
     """
     last = {(host, path): verdict for verdict, host, path in rules}
     names = [f"{h}{p}\x00{len(h.encode())}\x00{v}".encode() for (h, p), v in last.items()]
     keys = np.array([_digest(h, p) for h, p in last], np.uint64)
     order = np.argsort(keys, kind="stable")
     names = [names[k] for k in order]
-    np.save(os.path.join(folder, "digests.npy"), keys[order])
-    np.save(os.path.join(folder, "offsets.npy"), np.cumsum([0, *map(len, names)], dtype=np.int64))
-    np.save(os.path.join(folder, "names.npy"), np.frombuffer(b"".join(names), np.uint8))
-    np.save(os.path.join(folder, "path_lengths.npy"), np.unique(np.array([len(p) for _, p in last], np.int64)))
-
-
-def _digest(host: str, path: str) -> int:
-    return xxhash.xxh64_intdigest(f"{host}\x00{path}".encode("utf-8", "surrogatepass"))
+    lengths = np.unique(np.array([len(p) for _, p in last], np.int64))
+    text = b"".join(names)
+    with open(path, "wb") as out:
+        for part in (np.array([len(keys), len(keys) + 1, len(lengths), len(text)], np.int64), keys[order], np.cumsum([0, *map(len, names)], dtype=np.int64), lengths):
+            out.write(part.tobytes())
+        out.write(text)
 
 
 class Rules:
-    """Memory-mapped rules of a folder made by `build`."""
-
-    def __init__(self, folder: str) -> None:
-        def load(name: str) -> np.ndarray:
-            return np.load(os.path.join(folder, name + ".npy"), mmap_mode="r")
+    """Memory-mapped rules of a file made by `build`."""
 
-        self.digests, self.offsets, self.names = load("digests"), load("offsets"), load("names")
-        self.lengths = load("path_lengths").tolist()
+    def __init__(self, path: str) -> None:
+        sizes, at, parts = np.memmap(path, np.int64, "r", shape=(4,)).tolist(), 32, []
+        for n, kind in zip(sizes, (np.uint64, np.int64, np.int64, np.uint8), strict=True):
+            parts.append(np.memmap(path, kind, "r", at, (n,)) if n else np.zeros(0, kind))
+            at += n * np.dtype(kind).itemsize
+        self.digests, self.offsets, lengths, self.names = parts
+        self.lengths = lengths.tolist()
 
     def judge(self, hosts: list[str], paths: list[str], default: str) -> tuple[list[str | None], list[str]]:
         """For each url the rule of the longest fit (longest host on a tie) and the verdict."""
@@ -88,10 +91,9 @@ def judge_urls(pages: DataFrame, rules: list[Rule], *, id_col: str = "page_id",
     """
     spark = pages.sparkSession
     name = f"url-rules-{uuid.uuid4().hex}"
-    folder = os.path.join(tempfile.mkdtemp(prefix="spark-"), name)
-    os.makedirs(folder)
-    build(rules, folder)
-    spark.sparkContext.addFile(folder, recursive=True)
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), name)
+    build(rules, path)
+    spark.sparkContext.addFile(path)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Rules(SparkFiles.get(name))
