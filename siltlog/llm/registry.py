@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltlog.llm import lines, neardup, packing, rules, urls
+from siltlog.llm import lines, neardup, packing, rules, urls, warc
 
 QUERIES = {
     "op1_pack_sequences": packing.op1_pack_sequences,
@@ -10,10 +10,12 @@ QUERIES = {
     "op4_quality_rules": rules.op4_quality_rules,
     "op6_minhash_dedup": neardup.op6_minhash_dedup,
     "op8_line_dedup": lines.op8_line_dedup,
+    "op9_warc": warc.op9_warc,
 }
 
 ORACLE: dict[str, str] = {
     "op2_url_filter": urls.OP2_SQL,
     "op4_quality_rules": rules.OP4_SQL,
     "op8_line_dedup": lines.OP8_SQL,
+    "op9_warc": warc.OP9_SQL,
 }
