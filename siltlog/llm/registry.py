@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from siltlog.llm import lines, neardup, packing, rules, urls, warc
+from siltlog.llm import bpe, lines, neardup, packing, rules, urls, warc
 
 QUERIES = {
     "op1_pack_sequences": packing.op1_pack_sequences,
     "op2_url_filter": urls.op2_url_filter,
     "op4_quality_rules": rules.op4_quality_rules,
+    "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_minhash_dedup": neardup.op6_minhash_dedup,
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_warc": warc.op9_warc,
