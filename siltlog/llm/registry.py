@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltlog.llm import bpe, lines, neardup, packing, rules, urls, warc
+from siltlog.llm import bpe, brown, lines, neardup, packing, rules, urls, warc
 
 QUERIES = {
     "op1_pack_sequences": packing.op1_pack_sequences,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_minhash_dedup": neardup.op6_minhash_dedup,
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_warc": warc.op9_warc,
+    "op10_class_lm": brown.op10_class_lm,
 }
 
 ORACLE: dict[str, str] = {
