@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltlog.llm import bpe, brown, lines, neardup, packing, rules, urls, warc
+from siltlog.llm import bpe, brown, lines, neardup, packing, rules, urls, vectors, warc
 
 QUERIES = {
     "op1_pack_sequences": packing.op1_pack_sequences,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_quality_rules": rules.op4_quality_rules,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_minhash_dedup": neardup.op6_minhash_dedup,
+    "op7_vector_dedup": vectors.op7_vector_dedup,
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_warc": warc.op9_warc,
     "op10_class_lm": brown.op10_class_lm,
@@ -18,6 +19,7 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op2_url_filter": urls.OP2_SQL,
     "op4_quality_rules": rules.OP4_SQL,
+    "op7_vector_dedup": vectors.op7_vector_dedup,
     "op8_line_dedup": lines.OP8_SQL,
     "op9_warc": warc.OP9_SQL,
 }
