@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from siltlog.llm import bpe, brown, lines, neardup, packing, rules, urls, vectors, warc
+from siltlog.llm import bpe, brown, lines, neardup, packing, quality, rules, urls, vectors, warc
 
 QUERIES = {
     "op1_pack_sequences": packing.op1_pack_sequences,
     "op2_url_filter": urls.op2_url_filter,
+    "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_quality_rules": rules.op4_quality_rules,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_minhash_dedup": neardup.op6_minhash_dedup,
