@@ -72,9 +72,13 @@ def _classes(entries: pa.Table, column: str, missing: int) -> np.ndarray:
     return out
 
 
-def _contexts(docs: pa.Table, entries: pa.Table, classes: int) -> pa.Table:
-    """For each exchanged word of a block: its counts by class before (slots from 0) and after (from `classes`)."""
-    out = {"hash": pa.array([], pa.int64()), "slots": pa.array([], pa.list_(pa.int32())), "counts": pa.array([], pa.list_(pa.int64()))}
+def _contexts(docs: pa.Table, entries: pa.Table, classes: int, buckets: int) -> pa.Table:
+    """Counts of a block's exchanged words by the class before (slots from 0) and after (from `classes`).
+
+    A row for the words of each bucket: hashes, classes, slots of each, and slots and counts end to end.
+    """
+    columns = ["bucket", "hashes", "kinds", "sizes", "slots", "counts"]
+    rows: list[tuple] = []
     if docs.num_rows and entries.num_rows:
         seqs = [expand(s) for s in docs.column("seq").to_pylist()]
         tokens = np.concatenate(seqs)
@@ -89,38 +93,55 @@ def _contexts(docs: pa.Table, entries: pa.Table, classes: int) -> pa.Table:
         mine = of >= FIRST_CLASS
         keys = np.concatenate([tokens[mine] * 2 * classes + before[mine], tokens[mine] * 2 * classes + classes + after[mine]])
         keys, counts = np.unique(keys, return_counts=True)
-        word, slot = keys // (2 * classes), (keys % (2 * classes)).astype(np.int32)
-        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
-        offsets = pa.array(np.append(first, len(word)).astype(np.int32))
-        out = {"hash": pa.array(hashes[word[first]]), "slots": pa.ListArray.from_arrays(offsets, pa.array(slot)), "counts": pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64)))}
-    return pa.table(out)
+        word, slot = keys // (2 * classes), keys % (2 * classes)
+        place, sizes = np.unique(word, return_counts=True)
+        bucket = hashes[place].view(np.uint64) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        begins = np.cumsum(sizes) - sizes
+        for some in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else ():
+            at = words.gather(np.arange(len(keys)), begins[some], sizes[some])
+            rows.append((int(bucket[some[0]]), hashes[place[some]].tobytes(), squeeze(kind[place[some]]), squeeze(sizes[some]), squeeze(slot[at]), squeeze(counts[at])))
+    return pa.Table.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*rows) if rows else [[]] * 6)], columns)
 
 
 def _summed(batches: Iterable[pa.RecordBatch], classes: int) -> Iterator[pa.RecordBatch]:
-    """Dense counts of words that come sorted: a word's rows follow each other."""
-    last, total = None, None
-
-    def rows(found: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([h for h, _, _ in found], pa.int64()), pa.array([c for _, c, _ in found], pa.int32()), pa.array([v for _, _, v in found], pa.list_(pa.int64()))], ["hash", "class", "context"])
+    """Dense counts of each word; rows come sorted by bucket. What is held is folded as it grows, to 2 * classes numbers a word at most."""
+    last, held, size = None, [], 0
+
+    def fold() -> tuple[np.ndarray, ...]:
+        hashes, kinds, slots, counts = (np.concatenate(c) for c in zip(*held))
+        names, which = np.unique(hashes, return_inverse=True)
+        of = np.zeros(len(names), np.int64)
+        of[which] = kinds
+        keys, back = np.unique(which * 2 * classes + slots, return_inverse=True)
+        total = np.bincount(back, counts).astype(np.int64)
+        word = keys // (2 * classes)
+        return names[word], of[word], keys % (2 * classes), total
+
+    def dense() -> Iterator[pa.RecordBatch]:
+        hashes, kinds, slots, counts = fold()
+        names, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        for at in range(0, len(names), 5000):
+            some = (which >= at) & (which < at + 5000)
+            n = min(5000, len(names) - at)
+            table = np.zeros((n, 2 * classes), np.int64)
+            table[which[some] - at, slots[some]] = counts[some]
+            context = pa.ListArray.from_arrays(pa.array(np.arange(0, table.size + 1, 2 * classes, dtype=np.int32)), pa.array(table.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(names[at : at + n]), pa.array(kinds[first[at : at + n]], pa.int32()), context], ["hash", "class", "context"])
 
-    done: list = []
     for batch in batches:
-        hashes, kinds = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        slots, counts = batch.column(2), batch.column(3)
-        so, sv, cv = slots.offsets.to_numpy(), slots.values.to_numpy(), counts.values.to_numpy()
-        for k, h in enumerate(hashes):
-            if h != last:
-                if last is not None:
-                    done.append((last, kind, total))
-                last, kind, total = h, kinds[k], np.zeros(2 * classes, np.int64)
-            total[sv[so[k] : so[k + 1]]] += cv[so[k] : so[k + 1]]
-        if len(done) >= 5000:
-            yield rows(done)
-            done = []
-    if last is not None:
-        done.append((last, kind, total))
-    if done:
-        yield rows(done)
+        for bucket, hashes, kinds, sizes, slots, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if bucket != last and held:
+                yield from dense()
+                held, size = [], 0
+            last, sizes = bucket, expand(sizes)
+            held.append((np.repeat(np.frombuffer(hashes, np.int64), sizes), np.repeat(expand(kinds), sizes), expand(slots), expand(counts)))
+            size += len(held[-1][0])
+            if size > 4_000_000:
+                held = [fold()]
+                size = len(held[0][0]) // 2  # folding again pays only after as much has come in
+    if held:
+        yield from dense()
 
 
 def _score(sums: np.ndarray) -> np.ndarray:
@@ -187,7 +208,7 @@ def _measured(docs: pa.Table, entries: pa.Table, classes: int, tokens_all: int,
     return pa.concat_tables([one, two])
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES, least: int = 25, passes: int = 2, smoothing: float = 0.5, parts: int = 7, part: int = 2) -> DataFrame:
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES, least: int = 25, passes: int = 2, smoothing: float = 0.5, parts: int = 7, part: int = 2, buckets: int = 512) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) per row.
 
     Training documents are those whose crc32(id as text) mod `parts` is not `part`. Words met
@@ -217,8 +238,8 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cl
     ends = spark.createDataFrame([(end, END_CLASS)], "hash long, class int")
     for _ in range(passes):
         known = vocabulary.select("of", "pos", "hash").join(label.unionByName(ends), "hash").select("of", "pos", "hash", "class")
-        context = train.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(lambda a, b: _contexts(a, b, classes), "hash long, slots array<int>, counts array<long>")
-        context = context.join(label, "hash").select("hash", "class", "slots", "counts").repartition("hash").sortWithinPartitions("hash")
+        context = train.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(lambda a, b: _contexts(a, b, classes, buckets), "bucket int, hashes binary, kinds binary, sizes binary, slots binary, counts binary")
+        context = context.repartition("bucket").sortWithinPartitions("bucket")
         context = stored(context.mapInArrow(lambda it: _summed(it, classes), "hash long, class int, context array<long>"), "contexts")
         label = exchange(context, classes)
 
