@@ -81,7 +81,7 @@ class Model:
     def _binned(self, x: np.ndarray) -> np.ndarray:
         parts = [np.ones((len(x), 1))]
         for k, cuts in enumerate(self.cuts):
-            parts.append(np.eye(len(cuts) + 1)[np.searchsorted(cuts, x[:, k], "left")].reshape(len(x), -1))
+            parts.append(np.eye(len(cuts) + 1)[np.searchsorted(cuts, x[:, k], "left")].reshape(len(x), len(cuts) + 1))
         return np.concatenate(parts, axis=1)
 
     def probability(self, x: np.ndarray) -> np.ndarray:
@@ -147,12 +147,12 @@ def classify(docs: DataFrame, model: Model, *, text_col: str = "text", host_col:
     _, path_weight = prior(paths)
     hosts = hosts.select(F.col("host").alias("of"), ((F.col("s") + host_weight * mean) / (F.col("n") + host_weight)).alias("host_score"))
     paths = paths.join(hosts, F.col("host").eqNullSafe(F.col("of"))).select("host", "path", "host_score", ((F.col("s") + path_weight * F.col("host_score")) / (F.col("n") + path_weight)).alias("path_score"))
-    paths = stored(paths, "path-scores").select(F.struct("host", "path").alias("site_of"), F.struct("host_score", "path_score").alias("site_scores"))
+    paths = stored(paths, "path-scores").select(F.struct("host", "path").alias("__site"), F.struct("host_score", "path_score").alias("__scores"))
     small = paths.count() <= SENT_PATHS
-    joined = rows.join(F.broadcast(paths) if small else paths, F.struct(host, path).eqNullSafe(F.col("site_of")), "left")
-    quality = 1 / (1 + F.exp(-(_logit(F.col("doc_score")) + _logit(F.col("site_scores.path_score")) - _logit(F.lit(mean)))))
+    joined = rows.join(F.broadcast(paths) if small else paths, F.struct(host, path).eqNullSafe(F.col("__site")), "left")
+    quality = 1 / (1 + F.exp(-(_logit(F.col("doc_score")) + _logit(F.col("__scores.path_score")) - _logit(F.lit(mean)))))
     names = [F.col(f"`{c}`") for c in docs.columns if c not in made]
-    return joined.select(*names, "doc_score", "site_scores.host_score", "site_scores.path_score", quality.alias("quality")).withColumn("kept", F.col("quality") >= threshold)
+    return joined.select(*names, "doc_score", "__scores.host_score", "__scores.path_score", quality.alias("quality")).withColumn("kept", F.col("quality") >= threshold)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,6 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op2_url_filter": urls.OP2_SQL,
     "op4_quality_rules": rules.OP4_SQL,
-    "op7_vector_dedup": vectors.op7_vector_dedup,
     "op8_line_dedup": lines.OP8_SQL,
     "op9_warc": warc.OP9_SQL,
 }
