@@ -77,7 +77,10 @@ def measured(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     hits = F.filter("placed", lambda p, k: p["w"].eqNullSafe(F.when(k > 0, F.get("placed", k - 1))["w"]) | p["w"].eqNullSafe(F.get("placed", k + 1)["w"]))
     rows = rows.drop("windows").withColumn("hits", F.array_sort(F.transform(hits, lambda p: p["i"])))
     covered = F.aggregate(F.transform("hits", lambda at, k: F.least(F.lit(window), F.coalesce(F.get("hits", k + 1) - at, F.lit(window)))), F.lit(0), lambda a, b: a + b)
-    return rows.select("id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), "n_stop_words")
+    counts = F.struct("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), "n_stop_words")
+    # as the rows of a generator of one row each: a filter on a count would else be pushed down and
+    # unfold all expressions above into itself
+    return rows.select("id", F.inline(F.array(counts)))
 
 
 def _metrics() -> dict[str, Column]:
