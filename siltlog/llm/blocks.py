@@ -12,13 +12,35 @@ import numpy as np
 import zstandard
 
 #: Text bytes after which a block ends, and vocabulary entries in a row.
-BLOCK_BYTES, ENTRIES = 24_000_000, 20_000
+BLOCK_BYTES, ENTRIES = 48_000_000, 20_000
 
 
 def squeeze(numbers: np.ndarray) -> bytes:
-    wide = len(numbers) and int(numbers.max()) > 65535
-    return (b"\x01" if wide else b"\x00") + zstandard.ZstdCompressor(level=1).compress(numbers.astype("<u4" if wide else "<u2").tobytes())
+    """Numbers below 2^32, compressed by planes: first the low bytes, then the higher ones as far as there are any."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    used = 4 - next((k for k in range(4) if planes[3 - k].any()), 3) if len(numbers) else 0
+    return bytes([used]) + zstandard.ZstdCompressor(level=1).compress(planes[:used].tobytes())
 
 
 def expand(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), "<u4" if data[:1] == b"\x01" else "<u2").astype(np.int64)
+    used = data[0]
+    if not used:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(used, -1)
+    out = np.zeros(planes.shape[1], np.int64)
+    for k in range(used):
+        out |= planes[k].astype(np.int64) << (8 * k)
+    return out
+
+
+def join_bytes(parts: list[bytes]) -> bytes:
+    """Byte strings as one, compressed."""
+    sizes = squeeze(np.fromiter(map(len, parts), np.int64, len(parts)))
+    return len(sizes).to_bytes(4, "little") + sizes + zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+
+
+def split_bytes(data: bytes) -> list[bytes]:
+    n = int.from_bytes(data[:4], "little")
+    sizes = expand(data[4 : 4 + n])
+    whole, ends = zstandard.ZstdDecompressor().decompress(data[4 + n :]), np.cumsum(sizes)
+    return [whole[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -13,7 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltlog.llm import words
-from siltlog.llm.blocks import BLOCK_BYTES, ENTRIES, expand, squeeze
+from siltlog.llm.blocks import expand, join_bytes, split_bytes, squeeze
+
+#: Text bytes after which a block ends: its ids are put together in one piece of memory.
+BLOCK_BYTES = 12_000_000
+#: Words of a bucket that a task remembers the ids of, before it starts afresh.
+REMEMBERED = 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -22,21 +28,25 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _block_rows(batches: Iterable[pa.RecordBatch], pattern: str) -> Iterator[pa.RecordBatch]:
-    """Document rows (block, id, seq) and vocabulary rows (block, first, words)."""
+def _block_rows(batches: Iterable[pa.RecordBatch], pattern: str, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Document rows (block, id, seq) and vocabulary rows (block, bucket, places, names): a bucket's words and their numbers."""
     import regex
 
-    find, part = regex.compile(pattern).findall, TaskContext.get().partitionId()
-    block, size, numbers = part << 24, 0, {}
-    kinds = None
+    find, block, size, numbers = regex.compile(pattern).findall, TaskContext.get().partitionId() << 24, 0, {}
+    kind = None
+    names = ["block", "id", "seq", "bucket", "places", "names"]
 
-    def vocabulary() -> Iterator[pa.RecordBatch]:
-        names = list(numbers)
-        for at in range(0, len(names), ENTRIES):
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.nulls(1, kinds), pa.nulls(1, pa.binary()), pa.array([at], pa.int32()), pa.array([names[at : at + ENTRIES]], pa.list_(pa.string()))], ["block", "id", "seq", "first", "words"])
+    def vocabulary() -> pa.RecordBatch:
+        held = [w.encode() for w in numbers]
+        of = np.fromiter((zlib.crc32(w) % buckets for w in held), np.int64, len(held))
+        order = np.argsort(of, kind="stable")
+        used, first = np.unique(of[order], return_index=True)
+        parts = np.split(order, first[1:])
+        n = len(used)
+        return pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.nulls(n, kind), pa.nulls(n, pa.binary()), pa.array(used, pa.int32()), pa.array([squeeze(np.diff(p, prepend=0)) for p in parts], pa.binary()), pa.array([join_bytes([held[k] for k in p.tolist()]) for p in parts], pa.binary())], names)
 
     for batch in batches:
-        kinds = batch.schema.field(0).type
+        kind = batch.schema.field(0).type
         for at, some in words.slices(batch.column(1)):
             seqs = []
             for text in some.to_pylist():
@@ -44,69 +54,81 @@ def _block_rows(batches: Iterable[pa.RecordBatch], pattern: str) -> Iterator[pa.
                 seqs.append(squeeze(np.fromiter((numbers.setdefault(w, len(numbers)) for w in found), np.int64, len(found))))
                 size += len(text or "")
             n = len(seqs)
-            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), batch.column(0).slice(at, n), pa.array(seqs, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.string()))], ["block", "id", "seq", "first", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), batch.column(0).slice(at, n), pa.array(seqs, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names)
             if size >= BLOCK_BYTES:
-                yield from vocabulary()
+                yield vocabulary()
                 block, size, numbers = block + 1, 0, {}
     if numbers:
-        yield from vocabulary()
+        yield vocabulary()
 
 
-def _entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, pos, word) of the vocabulary rows."""
+def _vocabulary(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        batch = batch.filter(pc.is_valid(batch.column(4)))
-        for row in range(batch.num_rows):
-            names = batch.column(4).slice(row, 1).flatten()
-            first = batch.column(3)[row].as_py()
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), batch.column(0)[row].as_py())), pa.array(np.arange(first, first + len(names), dtype=np.int32)), names], ["block", "pos", "word"])
+        rows = batch.filter(pc.is_valid(batch.column(3)))
+        yield pa.RecordBatch.from_arrays([rows.column(k) for k in (0, 3, 4, 5)], ["block", "bucket", "places", "names"])
 
 
 def _encoded(batches: Iterable[pa.RecordBatch], pattern: str, ranks_path: str) -> Iterator[pa.RecordBatch]:
-    """Ids of words that come sorted: equal ones follow each other and are encoded once."""
+    """Ids of the words of each row. Rows come sorted by bucket, so a word is encoded once and then forgotten with its bucket."""
     import tiktoken
 
     encoder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={})
-    last, ids = None, b""
+    last, known = None, {}
     for batch in batches:
-        out = []
-        for word in batch.column(2).to_pylist():
-            if word != last:
-                last, ids = word, np.array(encoder.encode_ordinary(word), "<u4").tobytes()
-            out.append(ids)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["block", "pos", "ids"])
-
-
-def _assembled(docs: pa.Table, entries: pa.Table) -> pa.Table:
-    """Ids of each document of a block."""
+        sizes, ids = [], []
+        for bucket, data in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            if bucket != last or len(known) > REMEMBERED:
+                last, known = bucket, {}
+            found = []
+            for word in split_bytes(data):
+                got = known.get(word)
+                if got is None:
+                    got = known[word] = encoder.encode_ordinary(word.decode())
+                found.append(got)
+            sizes.append(squeeze(np.fromiter(map(len, found), np.int64, len(found))))
+            ids.append(squeeze(np.fromiter((i for got in found for i in got), np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], ["block", "places", "sizes", "ids"])
+
+
+def _assembled(docs: pa.Table, entries: pa.Table, decoded_by: str | None) -> pa.Table:
+    """Ids of each document of a block, and the bytes that they stand for, if `decoded_by` names a rank file."""
     docs = docs.filter(pc.is_valid(docs.column("seq")))
-    order = np.argsort(entries.column("pos").to_numpy())
-    data, offsets = words.flat_binary(entries.column("ids").combine_chunks().cast(pa.large_binary()))
-    starts, lengths = offsets[:-1][order] // 4, np.diff(offsets)[order] // 4
-    ids = data.view("<u4") if len(data) else np.zeros(0, "<u4")
-    out, sizes = [], []
+    rows = [[expand(x) for x in entries.column(c).to_pylist()] for c in ("places", "sizes", "ids")]
+    places = np.concatenate([np.zeros(0, np.int64), *map(np.cumsum, rows[0])])
+    sizes, ids = (np.concatenate([np.zeros(0, np.int64), *r]) for r in rows[1:])
+    lengths, starts = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
+    lengths[places], starts[places] = sizes, np.cumsum(sizes) - sizes
+    ids, out, ends = ids.astype(np.int32), [], [0]
     for seq in docs.column("seq").to_pylist():
         at = expand(seq)
         out.append(words.gather(ids, starts[at], lengths[at]))
-        sizes.append(len(out[-1]))
-    tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.uint32), *out]).astype(np.int32)))
-    return pa.Table.from_arrays([docs.column("id"), pa.chunked_array([tokens])], ["id", "tokens"])
+        ends.append(ends[-1] + len(out[-1]))
+    tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *out])))
+    columns = {"id": docs.column("id"), "tokens": tokens}
+    if decoded_by:
+        # a slice at a time: the join holds some 30 bytes for each byte of text
+        some = [_decoded(tokens.slice(at, 200), decoded_by) for at in range(0, len(tokens), 200)]
+        columns["decoded"] = pa.chunked_array(some, pa.binary())
+    return pa.table(columns)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = 512, decoded: bool = False) -> DataFrame:
     """(id, tokens array<int>) per row, as the rank file's own library gives for ordinary text.
 
     Pre-tokens by `pattern` are numbered within blocks of documents; the distinct ones of all blocks
-    are shuffled by word, encoded once each, and sent back to their blocks, where the documents are
-    reassembled by position. Null and empty texts have no tokens. Ids may be null or repeat: rows
+    are shuffled by word, a row for the words of a block in each of `buckets` parts, encoded once each,
+    and sent back to their blocks, where the documents are reassembled by position. Null and empty texts have no tokens. Ids may be null or repeat: rows
     are encoded one by one. Other columns are ignored.
+
+    With `decoded`, the tokens are decoded again where they are put together, as by `decode`, into a
+    column `decoded`: one Python worker a task instead of two.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    blocks = rows.mapInArrow(lambda it: _block_rows(it, pattern), f"block long, id {kind}, seq binary, first int, words array<string>").repartition("block")
-    entries = blocks.mapInArrow(_entries, "block long, pos int, word string").repartition("word").sortWithinPartitions("word")
-    known = entries.mapInArrow(lambda it: _encoded(it, pattern, ranks_path), "block long, pos int, ids binary")
-    made = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(lambda a, b: _assembled(a, b), f"id {kind}, tokens array<int>")
+    blocks = rows.mapInArrow(lambda it: _block_rows(it, pattern, buckets), f"block long, id {kind}, seq binary, bucket int, places binary, names binary").repartition("block")
+    entries = blocks.mapInArrow(_vocabulary, "block long, bucket int, places binary, names binary").repartition("bucket").sortWithinPartitions("bucket")
+    known = entries.mapInArrow(lambda it: _encoded(it, pattern, ranks_path), "block long, places binary, sizes binary, ids binary")
+    made = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(lambda a, b: _assembled(a, b, ranks_path if decoded else None), f"id {kind}, tokens array<int>" + ", decoded binary" * decoded)
     return made.withColumnRenamed("id", id_col)
 
 
@@ -118,22 +140,26 @@ def decode(tokens: Column, ranks_path: str) -> Column:
 
     @F.arrow_udf("binary")
     def joined(column: pa.Array) -> pa.Array:
-        table = _table(ranks_path)
-        ids = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        if len(ids) and (ids.min() < 0 or ids.max() >= len(table[1])):
-            raise ValueError("unknown token id")
-        rows = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        lengths = table[2][ids]
-        if len(ids) and lengths.min() < 0:
-            raise ValueError("unknown token id")
-        data = words.gather(table[0], table[1][ids], lengths)
-        ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(rows)])]
-        made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
-        return pc.if_else(column.is_valid(), made, pa.scalar(None, pa.large_binary())).cast(pa.binary())
+        return _decoded(column, ranks_path)
 
     return joined(tokens)
 
 
+def _decoded(column: pa.Array, ranks_path: str) -> pa.Array:
+    table = _table(ranks_path)
+    ids = column.flatten().to_numpy(zero_copy_only=False)
+    if len(ids) and (ids.min() < 0 or ids.max() >= len(table[1])):
+        raise ValueError("unknown token id")
+    lengths = table[2][ids]
+    if len(ids) and lengths.min() < 0:
+        raise ValueError("unknown token id")
+    rows = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    data = words.gather(table[0], table[1][ids], lengths)
+    ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(rows)])].astype(np.int64)
+    made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
+    return pc.if_else(column.is_valid(), made, pa.scalar(None, pa.large_binary())).cast(pa.binary())
+
+
 _TABLES: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
@@ -153,9 +179,8 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.PATTERN)
-    decoded = encoded.withColumn("decoded", decode(F.col("tokens"), path))
-    return decoded.select(
+    encoded = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.PATTERN, decoded=True)
+    return encoded.select(
         "doc_id",
         F.size("tokens").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("tokens").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),

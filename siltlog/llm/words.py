@@ -50,13 +50,6 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def flat_binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of a large binary column without nulls, end to end, and where each row starts."""
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(column) else np.zeros(0, np.uint8)
-    return data, offsets - offsets[0]
-
-
 def slices(column: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, pa.Array]]:
     """Runs of rows of at most `most` bytes each (one row at least), so that scratch arrays stay small."""
     _, offsets = flat(column)
