@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,12 @@ from siltlog.llm.shared import stored
 
 #: Values of a signature, orders (trees) over it, and the values that a region shares at least.
 VALUES, TREES, DEPTH = 128, 32, 4
-#: Regions up to this size are compared in full, larger ones in sorted order only.
+#: Regions up to this size are compared in full at once, larger ones by sorted neighbours first.
 SMALL = 8
+#: Partners in a block that a member of a larger region is checked with first, of other components; then four times as many.
+PARTNERS = 4
+#: Chance at most that a pair of just the wanted similarity agrees in too few values to be checked.
+MISSED = 1e-9
 #: Regions above this size are split by deeper prefixes, at these depths.
 LARGE, DEEPER = 4096, (8, 16, 32)
 #: Document ids are sent to every executor up to this many (8 bytes each), else both sides are shuffled.
@@ -128,6 +133,97 @@ def _candidates(regions: DataFrame, label: DataFrame | None) -> DataFrame:
     return pairs.select(F.least("node", "with").alias("a"), F.greatest("node", "with").alias("b")).distinct()
 
 
+def _agreement(percent: int) -> int:
+    """The values that two signatures must share at least for an exact check."""
+    p, total, least = percent / 100, 0.0, 0
+    while least < VALUES:
+        total += comb(VALUES, least) * p**least * (1 - p) ** (VALUES - least)
+        if total > MISSED:
+            break
+        least += 1
+    return least
+
+
+def _partners(block: pa.Table, least: int, percent: int, most: int) -> pa.Table:
+    """Pairs (node, with) of a row and a column of one region, of two components and with enough values in common.
+
+    A row's best `most` columns are given; a pair of nulls says that there were more.
+    """
+    block = block.combine_chunks()
+    key = block["key"].to_numpy()
+    order = np.argsort(key, kind="stable")
+    is_row = block["is_row"].to_numpy(zero_copy_only=False)
+    component = block["component"].combine_chunks().dictionary_encode().indices.to_numpy()
+    size = block["n_shingles"].to_numpy()
+    sketch = np.frombuffer(b"".join(block["sketch"].to_pylist()), np.uint8).reshape(-1, VALUES)
+    left, right, cut = [], [], False
+    for members in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+        rows, columns = members[is_row[members]], members[~is_row[members]]
+        if not len(rows) or not len(columns):
+            continue
+        across = np.ascontiguousarray(sketch[columns].T)
+        step = max(1, (1 << 20) // len(columns))
+        for at in range(0, len(rows), step):
+            some = rows[at : at + step]
+            if len(some) * len(columns) <= 4096:
+                same = (sketch[some][:, None] == sketch[columns][None]).sum(axis=2, dtype=np.uint8)
+            else:
+                same, down = np.zeros((len(some), len(columns)), np.uint8), np.ascontiguousarray(sketch[some].T)
+                for k in range(VALUES):
+                    same += down[k][:, None] == across[k]
+            small, large = np.minimum(size[some][:, None], size[columns]), np.maximum(size[some][:, None], size[columns])
+            same[(component[some][:, None] == component[columns]) | (100 * small < percent * large)] = 0
+            good = same >= max(least, 1)
+            over = np.flatnonzero(good.sum(axis=1) > most)
+            if len(over):
+                cut = True
+                best = np.argpartition(same[over], -most, axis=1)[:, -most:]
+                good[over] = False
+                good[over[:, None], best] = True
+            r, c = np.nonzero(good)
+            left.append(some[r])
+            right.append(columns[c])
+    none = np.zeros(0, np.int64)
+    a = block["node"].take(pa.array(np.concatenate([none, *left])))
+    b = block["node"].take(pa.array(np.concatenate([none, *right])))
+    found = pa.table({"node": a, "with": b})
+    return pa.concat_tables([found, pa.table({c: pa.nulls(1, found[c].type) for c in found.column_names})]) if cut else found
+
+
+def _crossing(regions: DataFrame, sketches: DataFrame, label: DataFrame | None, percent: int, most: int) -> DataFrame:
+    """Pairs over all members of a region whose components differ; a pair of nulls if some row had more than `most`.
+
+    Members outside a region's most frequent component are rows, all members are columns. Both are dealt
+    to parts of LARGE, and each part of rows meets each part of columns; small regions share a block.
+    """
+    members = regions.filter(F.col("n") > min(SMALL, LARGE)).select("key", "node")
+    if label is None:
+        members = members.withColumn("component", F.col("node"))
+    else:
+        members = members.join(label.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("c"))
+    sizes = sizes.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("main"))
+    sizes = sizes.filter(F.col("n") > F.col("main.c")).select(
+        "key",
+        F.col("main.component").alias("main"),
+        (2 * F.col("n") - F.col("main.c")).alias("size"),
+        F.ceil((F.col("n") - F.col("main.c")) / LARGE).cast("int").alias("down"),
+        F.ceil(F.col("n") / LARGE).cast("int").alias("across"),
+    )
+    sizes = stored(sizes, "open-regions")
+    single = (F.col("down") == 1) & (F.col("across") == 1)
+    bins = max(1, (sizes.filter(single).agg(F.sum("size")).first()[0] or 0) // LARGE)
+    held = members.join(sizes.drop("size"), "key").join(sketches, "node")
+    part = F.xxhash64("node", "key")
+    columns = held.select("*", F.lit(False).alias("is_row"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("r"), F.pmod(part, F.col("across")).cast("int").alias("c"))
+    rows = held.filter(F.col("component") != F.col("main"))
+    rows = rows.select("*", F.lit(True).alias("is_row"), F.pmod(part, F.col("down")).cast("int").alias("r"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("c"))
+    both = columns.unionByName(rows).withColumn("single", single).withColumn("block", F.when(single, F.pmod("key", F.lit(bins))).otherwise(F.col("key")))
+    kind, least = regions.schema["node"].dataType.simpleString(), _agreement(percent)
+    found = both.groupBy("single", "block", "r", "c").applyInArrow(lambda t: _partners(t, least, percent, most), f"node {kind}, with {kind}")
+    return found.select(F.least("node", "with").alias("a"), F.greatest("node", "with").alias("b")).distinct()
+
+
 def describe(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
     """(id, n_shingles, digest, signature) per row; the last two are null where the text has no word."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -140,8 +236,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Documents of equal shingle sets form a class; signatures of classes stand in TREES sorted orders.
     Neighbours in an order that share DEPTH or more leading values are candidates, confirmed on the
-    full sets. Rounds repeat over neighbours of different components until no new link turns up, so
-    that a crowded region needs a number of pairs linear in its members.
+    full sets. Rounds repeat over neighbours of different components until no new link turns up. Then
+    all members of a region are compared by signature across the components that are left, and pairs
+    alike enough are confirmed, best first, until none is left unchecked between two components.
 
     Null or blank texts have no shingle, link with nothing and are kept. A null id stays a row of
     its own: its text can give no component an id, so it links with nothing. Rows that repeat an id
@@ -150,7 +247,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = stored(describe(rows, id_col="id", size=size), "described")
-    classes = known.filter("id is not null and digest is not null").groupBy("digest").agg(F.min("id").alias("node"), F.first("signature").alias("signature"))
+    classes = known.filter("id is not null and digest is not null").groupBy("digest").agg(F.min("id").alias("node"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"))
     nodes = stored(classes, "classes")
     regions = _regions(nodes.select("node", "signature"))
     wanted = regions.select(F.col("node").alias("id")).distinct()
@@ -160,21 +257,31 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     same = known.filter("digest is not null").join(nodes.select("digest", "node"), "digest").filter("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
     twice = known.filter("digest is not null").groupBy("id").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).filter("least <> most").select("id")
 
-    links, tried, label = None, None, None
+    # the low byte of each value: unequal values share it by chance at times, equal ones always
+    low = F.concat(*[F.substring("signature", 4 * k + 4, 1) for k in range(VALUES)])
+    sketches = stored(nodes.join(wanted.withColumnRenamed("id", "node"), "node", "left_semi").select("node", "n_shingles", low.alias("sketch")), "sketches")
+
+    links, tried, label, most = None, None, None, None
     while True:
-        pairs = _candidates(regions, label)
+        found = _candidates(regions, label) if most is None else _crossing(regions, sketches, label, percent, most)
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        if pairs.limit(1).count() == 0:
-            break
-        full = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-        found = stored(full.select("a", "b", "x", "y").mapInArrow(lambda it: _linked(it, percent), f"a {kind}, b {kind}"), "links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if found.limit(1).count() == 0:
-            break
-        links = found if links is None else links.unionByName(found)
-        label = components(links)
+            found = found.join(tried, ["a", "b"], "left_anti")
+        found = stored(found, "pairs")
+        pairs = found.filter("a is not null")
+        more = most is None or found.filter("a is null").limit(1).count() > 0
+        linked = False
+        if pairs.limit(1).count():
+            full = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+            new = stored(full.select("a", "b", "x", "y").mapInArrow(lambda it: _linked(it, percent), f"a {kind}, b {kind}"), "links")
+            tried = pairs if tried is None else tried.unionByName(pairs)
+            linked = new.limit(1).count() > 0
+        if linked:
+            links = new if links is None else links.unionByName(new)
+            label = components(links)
+        if most is not None or not linked:
+            if not more:
+                break
+            most = PARTNERS if most is None else 4 * most
     # rows that repeat an id tie the classes of their texts together
     if twice.limit(1).count():
         again = same.join(twice.withColumnRenamed("id", "a"), "a", "left_semi")

@@ -160,6 +160,23 @@ def test_near_duplicates_in_a_crowd(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_copies_that_only_their_original_ties(spark):
+    import random
+
+    rng, base = random.Random(5), [f"w{k}" for k in range(240)]
+    texts = {150: " ".join(base)}
+    for k in range(301):  # each near the original, most of them not near each other
+        if k != 150:
+            w = list(base)
+            for at in rng.sample(range(48), 5):
+                w[at * 5] = f"v{k}x{at}"
+            texts[k] = " ".join(w)
+    want = brute(texts)
+    assert {c for _, c in want.values()} == {0}
+    got = neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
 def test_regions_split_and_stay_tied(spark, monkeypatch):
     monkeypatch.setattr(neardup, "LARGE", 6)
     base = [f"w{k}" for k in range(50)]
