@@ -23,8 +23,8 @@ SMALL = 8
 PARTNERS = 4
 #: Chance at most that a pair of just the wanted similarity agrees in too few values to be checked.
 MISSED = 1e-9
-#: Regions above this size are split by deeper prefixes, at these depths.
-LARGE, DEEPER = 4096, (8, 16, 32)
+#: Regions above this size are dealt to parts; each part of rows meets each part of columns.
+LARGE = 4096
 #: Document ids are sent to every executor up to this many (8 bytes each), else both sides are shuffled.
 SENT_IDS = 1_000_000
 
@@ -70,47 +70,20 @@ def _linked(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
 
 
 def _regions(nodes: DataFrame) -> DataFrame:
-    """(key, node, n, rest): members of each prefix that two or more signatures share in a tree.
+    """(key, part, node, n, rest): members of each prefix of DEPTH values that two or more signatures share in a tree.
 
-    A tree reads the signature from its own place on, round the end. A prefix of DEPTH values that
-    more than LARGE signatures share is told apart at the next deeper level; its sub-regions stay
-    tied to it by their smallest members. At the last level it is dealt out by a salt.
+    A tree reads the signature from its own place on, round the end. A region of more than LARGE
+    members is dealt to parts, in each tree differently, for the sorted order only.
     """
     round_ = F.concat("signature", "signature")
-
-    def prefix(depth: int):
-        return lambda tree: F.xxhash64(F.lit(depth), tree, round_.substr(tree * (4 * VALUES // TREES) + 1, F.lit(4 * depth)))
-
-    def shared(entries: DataFrame) -> DataFrame:
-        counts = entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-        return stored(entries.join(counts, "key"), "regions")
-
-    trees = F.array(*[prefix(DEPTH)(F.lit(t)) for t in range(TREES)])
-    found = shared(nodes.select("node", F.posexplode(trees).alias("tree", "key")))
-    done: list[DataFrame] = []
-    for depth in (*DEEPER, None):
-        done.append(found.filter(F.col("n") <= LARGE).select("key", "tree", "node", "n"))
-        hot = found.filter(F.col("n") > LARGE)
-        if hot.limit(1).count() == 0:
-            break
-        if depth is None:
-            salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / LARGE))
-            deeper = hot.select(F.xxhash64("key", salt).alias("deep"), "key", "tree", "node")
-        else:
-            deeper = hot.join(nodes, "node").select(prefix(depth)(F.col("tree")).alias("deep"), "key", "tree", "node")
-        deeper = stored(deeper, "deeper")
-        # the sub-regions' smallest members, a few at a time, stand for their region
-        heads = deeper.groupBy("key", "tree", "deep").agg(F.min("node").alias("node")).withColumn("key", F.xxhash64("key", F.lit("heads"), F.pmod(F.xxhash64("node", "tree"), F.lit(97))))
-        done.append(heads.join(heads.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key").select("key", "tree", "node", "n"))
-        if depth is None:
-            done.append(deeper.select(F.col("deep").alias("key"), "tree", "node", F.lit(LARGE).cast("long").alias("n")))
-            break
-        found = shared(deeper.select("node", "tree", F.col("deep").alias("key")))
-    regions = done[0]
-    for more in done[1:]:
-        regions = regions.unionByName(more)
-    rest = round_.substr(F.col("tree") * (4 * VALUES // TREES) + 1 + 4 * DEPTH, F.lit(80))
-    return stored(regions.join(nodes, "node").select("key", "node", "n", rest.alias("rest")), "forest")
+    start = F.col("tree") * (4 * VALUES // TREES) + 1
+    trees = F.array(*[F.xxhash64(F.lit(DEPTH), F.lit(t), round_.substr(F.lit(t * (4 * VALUES // TREES) + 1), F.lit(4 * DEPTH))) for t in range(TREES)])
+    entries = nodes.select("node", F.posexplode(trees).alias("tree", "key"))
+    counts = entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    found = stored(entries.join(counts, "key"), "regions")
+    part = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / LARGE))
+    rest = round_.substr(start + 4 * DEPTH, F.lit(80))
+    return stored(found.join(nodes, "node").select("key", part.alias("part"), "node", "n", rest.alias("rest")), "forest")
 
 
 def _candidates(regions: DataFrame, label: DataFrame | None) -> DataFrame:
@@ -119,7 +92,7 @@ def _candidates(regions: DataFrame, label: DataFrame | None) -> DataFrame:
         members = regions.withColumn("component", F.col("node"))
     else:
         members = regions.join(label.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    order = Window.partitionBy("key").orderBy("rest", "node")
+    order = Window.partitionBy("key", "part").orderBy("rest", "node")
     me = F.struct("node", "component")
     near = F.array(
         F.lead(me, 1).over(order),

@@ -185,6 +185,27 @@ def test_regions_split_and_stay_tied(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(texts)
 
 
+def test_pairs_in_a_region_above_the_limit(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "LARGE", 16)
+    # one region in the first tree; 40 pairs share three values of four, so no longer prefix than that
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    values = rng.integers(0, 2**32, (200, neardup.VALUES), np.uint32)
+    values[:, :4] = 7
+    share = np.arange(neardup.VALUES) % 4 != 3
+    share[:4] = True
+    for k in range(40):
+        values[2 * k + 1, share] = values[2 * k, share]
+    nodes = spark.createDataFrame([(k, 50, v.astype(">u4").tobytes()) for k, v in enumerate(values)], "node long, n_shingles long, signature binary")
+    regions = neardup._regions(nodes.select("node", "signature"))
+    assert {(r["key"], r["n"]) for r in regions.collect()} == {(regions.first()["key"], 200)} and regions.count() == 200
+    low = [(k, 50, v.astype(np.uint8).tobytes()) for k, v in enumerate(values)]
+    sketches = spark.createDataFrame(low, "node long, n_shingles long, sketch binary")
+    pairs = neardup._crossing(regions, sketches, None, 75, 4).collect()
+    assert {(r["a"], r["b"]) for r in pairs} == {(2 * k, 2 * k + 1) for k in range(40)}
+
+
 def test_warc_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/", "x", 0), (2, None, "x", 0), (3, "u\r\nEvil: 1", None, 0), (4, "u", "", 0), (5, "é", "é漢\r\n\r\nWARC/1.1\r\n", 0), (6, "big", "y" * 300_000, 0)], "page_id long, url string, html string, sha int")
     path = f"file://{tmp_path}/w"
