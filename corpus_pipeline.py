@@ -11,31 +11,52 @@ from pyspark.sql import functions as F
 from siltlog.llm import lines, neardup, packing, quality, rules
 from siltlog.llm.shared import stored
 
-#: A set of ids is sent to every executor up to this many (8 bytes each), else both sides are shuffled.
+#: A set of row keys is sent to every executor up to this many (8 bytes each), else both sides are shuffled.
 SENT_IDS = 1_000_000
+#: Column of the row key within a stage.
+ROW = "__row"
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier finds good, learnt from the labels of documents that are here."""
+    """Documents that the classifier finds good, learnt from the labels of documents that are here.
+
+    Rows are judged one by one, also those that repeat an id; a null id only has no label.
+    """
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.classify(docs, model).filter("kept").select(*docs.columns)
 
 
 def check_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass every rule."""
-    failed = rules.judge(docs).filter(~F.col("kept")).select("doc_id")
-    return _without(docs, failed)
+    """Documents that pass every rule. Rows are judged and dropped one by one, whether ids are null or repeat."""
+    rows = _keyed(docs)
+    failed = stored(rules.judge(rows, id_col=ROW).filter(~F.col("kept")).select(ROW), "rejected")
+    return rows.join(F.broadcast(failed) if failed.count() <= SENT_IDS else failed, ROW, "left_anti").select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that many share; n_chars follows the text."""
+    """All documents, without the lines that many share; n_chars follows the text.
+
+    Each row counts as a document, also one that repeats an id; a null id keeps no shared line.
+    """
     out = lines.drop_shared_lines(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest id."""
-    return _without(docs, neardup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id"))
+    """One row of each group of near duplicates, that of the smallest id; nulls come last.
+
+    Each row is a document of its own: rows that repeat an id stay unless their texts are alike, and
+    rows without an id are compared as any other. Of texts without a word, which link with nothing,
+    one row of equal id and text stays.
+    """
+    rows = _keyed(docs)
+    groups = neardup.near_duplicates(rows, id_col=ROW).select(ROW, "n_shingles", "component_id")
+    ids = rows.select(ROW, "doc_id", F.md5("text").alias("digest")).join(groups, ROW)
+    linked = F.col("n_shingles") > 0
+    group = [F.when(linked, F.col("component_id")), F.when(~linked, F.struct("doc_id", "digest"))]
+    stay = ids.groupBy(*group).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))[ROW].alias(ROW)).select(ROW)
+    stay = stored(stay, "staying")
+    return rows.join(F.broadcast(stay) if stay.count() <= SENT_IDS else stay, ROW, "left_semi").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,10 +66,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without these ids; the ids are counted before they are sent anywhere."""
-    gone = stored(gone.distinct(), "rejected")
-    return docs.join(F.broadcast(gone) if gone.count() <= SENT_IDS else gone, "doc_id", "left_anti")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of each row, written once so that the keys stay the same."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
 
 
 STAGES = [

@@ -37,3 +37,20 @@ def test_each_stage_follows_its_operator(spark, stages):
 
     again = packing.pack(before, public_tokenizers.path("word_bpe_49k.json"))
     assert rows_of(after.drop("ids").toPandas()) == rows_of(again.drop("ids").toPandas())
+
+
+def test_null_and_repeated_ids(spark, sf):
+    good = "the cat sat on the mat and it was warm in the house that day for all of us number "
+    bad = "### *** $$$ %%% |||"
+    plain = {k: good + " ".join(f"{w}{k}" for w in ("one", "two", "six", "ten", "red", "sky", "sea", "oak", "elm", "ash", "fir", "bay")) for k in range(6)}
+    rows = [(1, plain[1]), (1, bad), (None, bad), (None, plain[2]), (None, plain[2]), (3, plain[3]), (3, plain[3]), (4, plain[4]), (4, plain[5]), (None, plain[3]), (5, ""), (5, ""), (6, "")]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+    def held(df):
+        return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+
+    passed = [(k, t) for k, t in rows if t not in (bad, "")]
+    assert held(corpus_pipeline.check_rules(spark, docs, sf)) == sorted(passed, key=str)
+    once = [(1, plain[1]), (1, bad), (None, plain[2]), (3, plain[3]), (4, plain[4]), (4, plain[5]), (5, ""), (6, "")]
+    assert held(corpus_pipeline.dedup_documents(spark, docs, sf)) == sorted(once, key=str)
+    assert held(corpus_pipeline.dedup_lines(spark, docs, sf)).count((3, plain[3])) == 2
