@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltlog.functions.timestamps import floor_millis, millis_text, parse_millis, seconds_text
@@ -230,8 +230,23 @@ def _parse_timestamp(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", parse_millis(F.expr(f"case event_id % 12 {cases} else t end")).alias("ms"))
 
 
+#: Event ids that an envelope spans.
+PART = 500
+
+
+def _part() -> Column:
+    return F.expr(f"event_id div {PART}").alias("part")
+
+
+def _offsets(spark: SparkSession, d: str) -> DataFrame:
+    """(user_id, part, before): how many entries of a user stand in the envelopes before."""
+    sizes = spark.read.parquet(f"{d}/events.parquet").groupBy("user_id", _part()).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("user_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    return sizes.select("user_id", "part", F.coalesce(before, F.lit(0)).cast("int").alias("before"))
+
+
 def _envelopes(spark: SparkSession, d: str) -> DataFrame:
-    """An envelope for each user of `events`: an entry per event, spoilt by event_id % 9; some envelopes are broken whole."""
+    """Envelopes of the events of each user, by PART event ids: an entry per event, spoilt by event_id % 9; some are broken whole."""
     e = spark.read.parquet(f"{d}/events.parquet").withColumn("t", millis_text(F.col("ts").cast("timestamp")))
     cases = {
         1: """'7'""",
@@ -244,9 +259,9 @@ def _envelopes(spark: SparkSession, d: str) -> DataFrame:
     }
     entry = "case event_id % 9 " + " ".join(f"when {k} then {v}" for k, v in cases.items()) + """ else concat('{"timestamp": "', t, '", "level": "info", "service": "s", "message": "m", "attributes": {"k": true}}') end"""
     body = F.concat(F.lit('{"logs": ['), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", F.expr(entry).alias("entry")))), lambda x: x["entry"]), ", "), F.lit("]}"))
-    made = e.groupBy("user_id").agg(body.alias("whole"))
+    made = e.groupBy("user_id", _part()).agg(body.alias("whole"))
     broken = F.when(F.col("user_id") % 10 == 1, F.concat("whole", F.lit(" x"))).when(F.col("user_id") % 10 == 2, F.lit('{"logs": []}')).when(F.col("user_id") % 10 == 3, F.lit('{"logs": 1}')).when(F.col("user_id") % 10 == 4, F.lit("[1]"))
-    return made.select("user_id", F.coalesce(broken, "whole").alias("body"))
+    return made.select("user_id", "part", F.coalesce(broken, "whole").alias("body"))
 
 
 @query(
@@ -260,9 +275,14 @@ def _envelopes(spark: SparkSession, d: str) -> DataFrame:
       ELSE CASE WHEN accepted > 0 THEN 'ok' ELSE 'all entries were rejected' END END AS outcome FROM r""",
 )
 def _validate_report(spark: SparkSession, d: str) -> DataFrame:
-    report = batch_report(split_batch(_envelopes(spark, d), 1_900_000_000_000), "user_id")
-    text = F.array_join(F.transform("rejected", lambda r: F.concat(r["index"].cast("string"), F.lit(" "), r["reason"])), "; ")
-    return report.select("user_id", "accepted", text.alias("rejected"), "outcome")
+    """A report per envelope, and from these the line of each user that the SQL asks for."""
+    envelopes = _envelopes(spark, d).select(F.struct("user_id", "part").alias("envelope"), "body")
+    report = batch_report(split_batch(envelopes, 1_900_000_000_000), "envelope").select("envelope.*", "accepted", "rejected", "outcome").join(_offsets(spark, d), ["user_id", "part"])
+    text = F.array_join(F.transform("rejected", lambda r: F.concat((r["index"] + F.col("before")).cast("string"), F.lit(" "), r["reason"])), "; ")
+    parts = F.array_sort(F.collect_list(F.when(text != "", F.struct("part", text.alias("text")))))
+    failed = F.max(F.when(~F.col("outcome").isin("ok", "all entries were rejected"), F.col("outcome")))
+    outcome = F.coalesce(failed, F.when(F.sum("accepted") > 0, "ok").otherwise("all entries were rejected"))
+    return report.groupBy("user_id").agg(F.sum("accepted").alias("accepted"), F.array_join(F.transform(parts, lambda p: p["text"]), "; ").alias("rejected"), outcome.alias("outcome"))
 
 
 @query(
@@ -272,8 +292,9 @@ def _validate_report(spark: SparkSession, d: str) -> DataFrame:
 )
 def _validated_records(spark: SparkSession, d: str) -> DataFrame:
     batch = split_batch(_envelopes(spark, d), 1_900_000_000_000)
-    order = spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", F.expr("row_number() over (partition by user_id order by event_id) - 1").alias("index"))
-    return batch.accepted().join(order, ["user_id", "index"]).select("user_id", "index", F.unix_millis("ts").alias("ms"), (F.col("event_id") % 9).alias("kind"))
+    order = spark.read.parquet(f"{d}/events.parquet").select("user_id", _part(), "event_id", F.expr(f"row_number() over (partition by user_id, event_id div {PART} order by event_id) - 1").alias("index"))
+    rows = batch.accepted().join(order, ["user_id", "part", "index"]).join(_offsets(spark, d), ["user_id", "part"])
+    return rows.select("user_id", (F.col("index") + F.col("before")).alias("index"), F.unix_millis("ts").alias("ms"), (F.col("event_id") % 9).alias("kind"))
 
 
 @query("day_floor", f"WITH {LINES} SELECT CAST(epoch_ms(date_trunc('month', ts)) AS BIGINT) AS month_ms, count(*) AS count, sum(CASE WHEN epoch_ms(ts) % 86400000 = 0 THEN 1 ELSE 0 END) AS midnight FROM li GROUP BY 1")

@@ -76,3 +76,16 @@ def test_mixed_batch_and_types(spark):
     first = batch.accepted().orderBy("index").first()
     assert {k: (v["kind"], v["str"], v["num"], v["bool"]) for k, v in first["attributes"].items()} == {"region": ("string", "eu", None, None), "n": ("number", None, 3.0, None), "b": ("boolean", None, None, True)}
     assert batch.rejected().count() == 5
+
+
+def test_envelopes_of_one_user_are_bounded(spark, tmp_path):
+    from siltlog.plans import queries
+
+    spark.sql("select id as event_id, 5L as user_id, timestamp_ntz'2024-01-01' as ts, 'view' as event_type, '{\"k\": 1}' as props from range(1800)").write.parquet(f"{tmp_path}/events.parquet")
+    sizes = [len(json.loads(r["body"])["logs"]) for r in queries._envelopes(spark, str(tmp_path)).collect()]
+    assert max(sizes) <= 500 and sum(sizes) == 1800
+    report = queries.QUERIES["validate_report"](spark, str(tmp_path)).collect()
+    assert len(report) == 1 and report[0]["accepted"] == 400
+    assert [int(x.split(" ")[0]) for x in report[0]["rejected"].split("; ")] == [k for k in range(1800) if k % 9 not in (0, 8)]
+    index = [r["index"] for r in queries.QUERIES["validated_records"](spark, str(tmp_path)).collect()]
+    assert sorted(index) == [k for k in range(1800) if k % 9 in (0, 8)]
