@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from siltlog.llm import kk, words
 
 PIECES = "id {id}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-#: Words that a worker remembers the ids of, before it starts afresh: about 100 MB.
-REMEMBERED = 3_000_000
+#: Words that a worker remembers the ids of, about 200 bytes each, before those not met since go.
+REMEMBERED = 200_000
 _MARKS = np.isin(np.arange(256), np.frombuffer(b".,;:!?", np.uint8))
 _LETTERS = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", np.uint8))
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in a byte-level vocabulary
@@ -38,11 +38,8 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known, self.start, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.ids, self.total = [], 0
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def word(self, word: str) -> list[int]:
         """Letters of Latin-1 pass the normaliser as lower case and are one pre-token: straight to the merges."""
@@ -51,42 +48,51 @@ class WordTokenizer:
             return [t.id for t in self.model.tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(_LEVEL))]
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        got = [self.word(w) for w in words]
-        lengths = np.fromiter(map(len, got), np.int32, len(got))
-        self.ids.append(np.fromiter((i for g in got for i in g), "<u4", int(lengths.sum())))
-        starts = self.total + np.cumsum(lengths, dtype=np.int64) - lengths
-        self.total += int(lengths.sum())
-        at = np.searchsorted(self.known, hashes)
-        self.known = np.insert(self.known, at, hashes)
-        self.start, self.length = np.insert(self.start, at, starts), np.insert(self.length, at, lengths)
+    def _learn(self, word: bytes) -> bytes:
+        got = self.older.get(word) or np.array(self.word(word.decode("utf-8", "replace")), "<u4").tobytes()
+        self.known[word] = got
+        return got
 
-    def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
-        """For each row of a text column its ids; null counts as empty."""
-        data, offsets = words.flat(column)
+    def _part(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a run of bytes that cuts no word, and how many of them stand before each offset."""
         breaks = np.zeros(len(data), bool)
         breaks[1:] = _MARKS[data[1:]] & _LETTERS[data[:-1]]
         starts, ends, rows = words.spans(data, offsets, breaks)
-        hashes, first, which = np.unique(words.hash_spans(data, starts, ends), return_index=True, return_inverse=True)
+        hashes = words.hash_spans(data, starts, ends)
+        while True:
+            _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+            other = ~words.equal_spans(data, starts, ends, first[which])
+            if not other.any():
+                break
+            hashes[other] = words.mix(hashes[other] + np.uint64(1))  # unequal words of one hash
         if len(self.known) > REMEMBERED:
-            self._forget()
-        at = np.searchsorted(self.known, hashes)
-        new = np.ones(len(hashes), bool)
-        inside = at < len(self.known)
-        new[inside] = self.known[at[inside]] != hashes[inside]
-        if new.any():
-            raw = data.tobytes()
-            self._learn(hashes[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-            at = np.searchsorted(self.known, hashes)
-        if len(self.ids) > 1:
-            self.ids = [np.concatenate(self.ids)]
-        ids = self.ids[0] if self.ids else np.zeros(0, "<u4")
-        where = at[which]
-        lengths = self.length[where].astype(np.int64)
-        tokens = words.gather(ids, self.start[where], lengths)
-        ends_of = np.concatenate([[0], np.cumsum(lengths)])[rows]
-        for lo, hi in zip(ends_of[:-1].tolist(), ends_of[1:].tolist(), strict=True):
-            yield tokens[lo:hi]
+            self.older, self.known = self.known, {}
+        raw = data.tobytes().lower()  # A-Z only
+        distinct = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        got = [self.known.get(word) or self._learn(word) for word in distinct]
+        lengths = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        begins = np.cumsum(lengths) - lengths
+        tokens = words.gather(np.frombuffer(b"".join(got), "<u4"), begins[which], lengths[which])
+        return tokens, np.concatenate([[0], np.cumsum(lengths[which])])[rows]
+
+    def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """For each row of a text column its ids; null counts as empty. Words are known by their bytes."""
+        data, offsets = words.flat(column)
+        held: list[np.ndarray] = [np.zeros(0, "<u4")]
+        end = 0
+        for lo, hi, first, end in words.parts(data, offsets):
+            tokens, before = self._part(data[lo:hi], offsets[first:end] - lo)
+            last = 0
+            for row, cut in zip(range(first, end), before.tolist(), strict=True):
+                if row:
+                    yield np.concatenate([*held, tokens[last:cut]])
+                    held = held[:1]
+                last = cut
+            held.append(tokens[last:])
+        for row in range(end, len(offsets)):
+            if row:
+                yield np.concatenate(held)
+                held = held[:1]
 
 
 class _Windows:
@@ -138,8 +144,9 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
     A document's tokens, closed by `end_id`, give full windows first; what is left over is cut into
     pieces of at most `piece` tokens. A task gathers left-over pieces of about `group_windows`
     windows and deals them to windows by Karmarkar-Karp differencing, raising the window count
-    until none exceeds `capacity`. Everything happens where the text is read: no shuffle, memory
-    bounded by a group, and a lost task gives the same rows again.
+    until none exceeds `capacity`. Everything happens where the text is read: no shuffle, and a lost
+    task gives the same rows again. A worker holds one group, the words it remembers and the ids of
+    one text; texts of any length are taken in parts.
 
     Null text counts as empty (the document is its end id). Null and repeated ids are packed row by
     row, each row as a document of its own. Other columns are ignored. No rows in, no rows out.
@@ -151,11 +158,10 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
         for batch in batches:
             schema = pa.schema([("id", batch.schema.field(0).type), *((c, pa.int64()) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")), ("ids", pa.binary())])
             out = out or _Windows(capacity, piece, group_windows, TaskContext.get().partitionId() << 33, schema)
-            for at, texts in words.slices(batch.column(1), 4_000_000):
-                for doc, tokens in zip(batch.column(0).slice(at, len(texts)).to_pylist(), encoder.encode(texts), strict=True):
-                    out.add(doc, np.append(tokens, np.uint32(end_id)).astype("<u4"))
-                    if out.bytes > 8_000_000:
-                        yield out.take()
+            for doc, tokens in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
+                out.add(doc, np.append(tokens, np.uint32(end_id)).astype("<u4"))
+                if out.bytes > 8_000_000:
+                    yield out.take()
         if out:
             out.close()
             if out.rows:

@@ -1,7 +1,7 @@
 """Words `[^\\x20\\x09-\\x0D]+` of many texts at once, as spans and 64-bit hashes, on NumPy arrays.
 
-A text's hash of a word depends only on its bytes after A-Z are lower-cased. All sums are taken
-modulo 2^64.
+A word's hash depends only on its bytes after A-Z are lower-cased. Scratch memory follows PART, not
+the length of a text: long texts are taken in parts that end at a blank.
 """
 
 from __future__ import annotations
@@ -11,25 +11,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
+#: Bytes that are looked at together; a longer word is still taken whole.
+PART = 1 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
+#: The first bytes of a lane of eight, by how many of them count.
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+_STEP, _LENGTH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Words above this many bytes are hashed one by one.
+_LONG = 64
 _RANDOM = np.random.default_rng(20240229)
-_OF_BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 2**64)
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 16), base, np.uint64)
-        steps[0] = 1
-        have = _POWERS[base] = np.cumprod(steps)
-    return have[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -81,20 +76,79 @@ def spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray | None = Non
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def parts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Byte ranges of about PART that cut no word, and which rows begin in each (first, end)."""
+    lo, n = 0, len(data)
+    while lo < n:
+        hi = min(n, lo + PART)
+        if hi < n:
+            row = int(np.searchsorted(offsets, hi, "right"))
+            if offsets[row - 1] > lo:
+                hi = int(offsets[row - 1])
+            else:
+                blanks = np.flatnonzero(BLANK[data[lo:hi]])
+                end = int(offsets[row])
+                while not len(blanks) and hi < end:  # a word that is longer than a part
+                    more = np.flatnonzero(BLANK[data[hi : min(end, hi + PART)]])
+                    hi, blanks = (hi + int(more[0]), more) if len(more) else (min(end, hi + PART), more)
+                    if len(more):
+                        break
+                else:
+                    hi = lo + int(blanks[-1]) + 1 if len(blanks) else hi
+        first, end_row = np.searchsorted(offsets, [lo, hi])
+        yield lo, hi, int(first), int(end_row)
+        lo = hi
+
+
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word of all rows, and for each row the number of words before it."""
     data, offsets = flat(column)
-    starts, ends, rows = spans(data, offsets)
-    return hash_spans(data, starts, ends), rows
+    found, rows, n = [np.zeros(0, np.uint64)], np.zeros(len(offsets), np.int64), 0
+    for lo, hi, first, end in parts(data, offsets):
+        starts, ends, before = spans(data[lo:hi], offsets[first:end] - lo)
+        found.append(hash_spans(data[lo:hi], starts, ends))
+        rows[first:end] = n + before
+        n += len(starts)
+    rows[offsets == len(data)] = n
+    return np.concatenate(found), rows
+
+
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The eight lower-cased bytes from each place on, as a number."""
+    low = np.zeros(len(data) + 8, np.uint8)
+    low[:-8] = LOWER[data]
+    return np.ndarray((len(data) + 1,), "<u8", low, 0, (1,))
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    if len(starts) == 0:
-        return np.zeros(0, np.uint64)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_OF_BYTE[LOWER[data]] * _powers(_BASE, len(data)), out=sums[1:])
-    whole = (sums[ends] - sums[starts]) * _powers(_INVERSE, len(data))[starts]
-    return mix(whole + (ends - starts).astype(np.uint64))
+    """Words of up to eight bytes are told apart by their bytes and length, longer ones chain the next eight bytes in."""
+    lanes, sizes = _lanes(data), ends - starts
+    out = mix((lanes[starts] & _MASKS[np.minimum(sizes, 8)]) ^ (sizes.astype(np.uint64) * _LENGTH))
+    more, k = np.flatnonzero(sizes > 8), 8
+    while len(more) and k < _LONG:
+        lane = lanes[starts[more] + k] & _MASKS[np.minimum(sizes[more] - k, 8)]
+        out[more] = mix((out[more] * _STEP) ^ lane)
+        k += 8
+        more = more[sizes[more] > k]
+    for w in more.tolist():
+        out[w] = xxhash.xxh3_64_intdigest(LOWER[data[starts[w] : ends[w]]].tobytes())
+    return out
+
+
+def equal_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each word has the same lower-cased bytes as the word whose number `other` gives."""
+    lanes, sizes = _lanes(data), ends - starts
+    out = sizes == sizes[other]
+    more, k = np.flatnonzero(out), 0
+    while len(more) and k < _LONG:
+        mask = _MASKS[np.minimum(sizes[more] - k, 8)]
+        out[more] = ((lanes[starts[more] + k] ^ lanes[starts[other[more]] + k]) & mask) == 0
+        k += 8
+        more = more[out[more] & (sizes[more] > k)]
+    for w in more.tolist():
+        o = other[w]
+        out[w] = w == o or bool((LOWER[data[starts[w] : ends[w]]] == LOWER[data[starts[o] : ends[o]]]).all())
+    return out
 
 
 def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from siltlog.llm import kk
+from siltlog.llm import kk, packing, words
 from siltlog.llm.packing import WordTokenizer, op1_pack_sequences, pack
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -32,6 +32,30 @@ def test_ids_are_the_tokenizers(tokenizer):
             assert got.tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+def thue_morse(n, a="a", b="b"):
+    text, other = a, {a: b, b: a}
+    while len(text) < n:
+        text += "".join(other[c] for c in text)
+    return text
+
+
+def test_words_in_parts_and_of_one_hash(tokenizer, monkeypatch):
+    import pyarrow as pa
+
+    texts = [*ODD, "one two. three " * 300, thue_morse(1024) + " " + thue_morse(1024, "b", "a"), thue_morse(2048), thue_morse(2048, "b", "a"), "", "tail"]
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+    def got():
+        return [x.tolist() for x in WordTokenizer(PATH).encode(pa.array(texts, pa.string()))]
+
+    assert got() == want
+    monkeypatch.setattr(words, "PART", 64)
+    monkeypatch.setattr(packing, "REMEMBERED", 5)
+    assert got() == want
+    monkeypatch.setattr(words, "hash_spans", lambda data, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(4))
+    assert got() == want  # bytes tell words of one hash apart
+
+
 def test_differencing():
     rng = np.random.default_rng(1)
     for n, k in ((0, 3), (1, 1), (2, 5), (40, 7), (300, 60)):

@@ -20,7 +20,7 @@ def test_query_matches_sql(spark, sf, duck, name):
     assert rows_of(registry.QUERIES[name](spark, sf).toPandas()) == rows_of(duck.execute(registry.ORACLE[name]).df())
 
 
-def test_words_and_shingles():
+def test_words_and_shingles(monkeypatch):
     texts = ["", None, "a", " A b\tc\n", "É é x\u00a0y", "a b c d e a b c d e f"]
     hashes, rows = words.word_hashes(pa.array(texts))
     found = [WORD.findall((t or "").translate(LOW)) for t in texts]
@@ -32,6 +32,24 @@ def test_words_and_shingles():
     assert [len(s) for s in words.shingles(hashes, rows)] == [0, 0, 1, 1, 1, 6]
     again, _ = words.word_hashes(pa.array(["zz", *texts])[1:])
     assert again.tolist() == hashes.tolist()  # a slice of a column
+    monkeypatch.setattr(words, "PART", 3)
+    again, ends = words.word_hashes(pa.array(texts))
+    assert again.tolist() == hashes.tolist() and ends.tolist() == rows.tolist()
+
+
+def thue_morse(n, a="a", b="b"):
+    text, other = a, {a: b, b: a}
+    while len(text) < n:
+        text += "".join(other[c] for c in text)
+    return text
+
+
+def test_words_that_rolling_sums_confuse(spark):
+    x, y = thue_morse(1024), thue_morse(1024, "b", "a")
+    assert len(set(words.word_hashes(pa.array([f"{x} {y}", x + y, y + x]))[0].tolist())) == 4
+    docs = spark.createDataFrame([(1, x), (2, y), (3, x)], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 1}
+    assert {r["doc_id"]: r["n_known"] for r in brown.score(docs, parts=3, part=zlib.crc32(b"2") % 3).collect()} == {1: 2, 2: 1, 3: 2}
 
 
 def test_url_filter(spark):
