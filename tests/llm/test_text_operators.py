@@ -5,9 +5,11 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import rows_of
+from pyspark.sql import functions as F
 
 from siltlog.llm import bpe, brown, lines, neardup, quality, registry, rules, urls, warc, words
 
@@ -206,8 +208,6 @@ def test_regions_split_and_stay_tied(spark, monkeypatch):
 def test_pairs_in_a_region_above_the_limit(spark, monkeypatch):
     monkeypatch.setattr(neardup, "LARGE", 16)
     # one region in the first tree; 40 pairs share three values of four, so no longer prefix than that
-    import numpy as np
-
     rng = np.random.default_rng(1)
     values = rng.integers(0, 2**32, (200, neardup.VALUES), np.uint32)
     values[:, :4] = 7
@@ -291,6 +291,66 @@ def test_quality_on_held_out_labels(spark):
     assert sum(clean) >= 0.98 * len(clean) and sum(junk) <= 0.2 * len(junk)
 
 
+def plain_features(text):
+    """Hashed n-grams of a text, one at a time."""
+    data, out = (text or "").encode(), Counter()
+    for a, b, c in zip(data, data[1:], data[2:]):
+        out[((a | b << 8 | c << 16) * 0x9E3779B1 & 0xFFFFFFFF) >> 20] += 1
+    found = [int(words.word_hashes(pa.array([w]))[0][0]) for w in WORD.findall(text or "")]
+    for h in found:
+        out[4096 + (h >> 52)] += 1
+    for h, after in zip(found, found[1:]):
+        out[4096 + (int(words.mix(np.array([(h * 3 + after) % 2**64], np.uint64))[0]) >> 52)] += 1
+    size = math.sqrt(sum(math.log(1 + n) ** 2 for n in out.values()))
+    return {k: math.log(1 + n) / size for k, n in out.items()}
+
+
+def test_quality_features(monkeypatch):
+    monkeypatch.setattr(words, "PART", 1024)
+    texts = ["", None, "a", "ab. é", "The cat! sat on 3 ###\nThe cat! sat on 3 ###", "one two three " * 400]
+    (sizes, buckets, values, surface), *more = quality.features(pa.array(texts))
+    assert not more
+    at = 0
+    for text, n in zip(texts, sizes.tolist(), strict=True):
+        assert dict(zip(buckets[at : at + n].tolist(), values[at : at + n].tolist())) == pytest.approx(plain_features(text))
+        at += n
+    row = dict(zip(quality.SURFACE, surface[4].tolist()))
+    assert row == pytest.approx({"log_words": math.log(13), "symbols": 0.5, "capitals": 2 / 43, "digits": 2 / 43, "shouts": 2 / 12, "stop_words": 4 / 12, "distinct": 0.5, "repeated_lines": 0.5, "word_bytes": 43 / 12, "sentence_ends": 2 / 12})
+    assert surface[3][-1] == 1 / 2 and surface[0].tolist() == [0.0] * 10
+
+
+def test_posteriors_by_hand(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("site", F.lit(1)).withColumn("row", F.lit(2)).withColumn("__site", F.lit(3))
+    docs = docs.withColumn("source", F.when(F.col("doc_id") % 11 > 0, F.col("source"))).unionByName(docs.limit(3))
+    model = quality.fit(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    got = quality.classify(docs, model, without=("text",)).collect()
+    assert len(got) == docs.count() and got[0]["__site"] == 3 and "text" not in got[0]
+
+    def groups(key):
+        out = {}
+        for r in got:
+            n, s = out.get(key(r), (0, 0.0))
+            out[key(r)] = n + 1, s + r["doc_score"]
+        return out
+
+    def prior(of):
+        n, mean = len(got), sum(r["doc_score"] for r in got) / len(got)
+        within = mean * (1 - mean)
+        spread = (sum(c * (s / c - mean) ** 2 for c, s in of.values()) - (len(of) - 1) * within) / (n - sum(c * c for c, _ in of.values()) / n)
+        return mean, min(max(within / spread - 1, 1), 1e6) if spread > 0 else 1e6
+
+    hosts, paths = groups(lambda r: r["source"]), groups(lambda r: (r["source"], r["lang"]))
+    (mean, a), (_, b) = prior(hosts), prior(paths)
+    logit = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    assert None in hosts and len(paths) > len(hosts)
+    for r in got:
+        (n, s), (m, t) = hosts[r["source"]], paths[r["source"], r["lang"]]
+        host = (s + a * mean) / (n + a)
+        path = (t + b * host) / (m + b)
+        odds = logit(r["doc_score"]) + logit(path) - logit(mean)
+        assert (r["host_score"], r["path_score"], r["quality"]) == pytest.approx((host, path, 1 / (1 + math.exp(-odds)))) and r["kept"] == (r["quality"] >= 0.5)
+
+
 def test_quality_shrinks_sparse_hosts(spark):
     good, bad = "the cat sat on the mat and it was good. ", "### *** $$$ %%% ||| "
     rows = [(k, good, "large", "en", k) for k in range(60)] + [(100 + k, bad, "poor", "en", k) for k in range(60)] + [(200, bad, "tiny", "en", 0), (201, None, None, None, 0), (202, "", "large", None, 0)]
