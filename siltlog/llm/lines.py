@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,62 +23,80 @@ def _hashed(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"))
 
 
+#: Has Spark take a bucket of one file as sorted, so that runs are merged without sorting them again.
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
 class LineRuns:
-    """Sorted runs of (h1, h2, n_docs, keeper): each key stands in one run, that of the batch that met it first.
+    """Sorted runs of (h1, h2, n_docs, keeper, fresh): each key is fresh in one run, that of the batch that met it first.
 
-    A new batch is merge-joined with the runs: keys that none of them holds become a run of level 0,
-    the others go to the repeats. When a level has `fan` runs they are merged into one of the next
-    level, so a batch meets a number of runs logarithmic in the number of batches.
+    A run is a table bucketed and sorted by key, with as many buckets as a shuffle has partitions. A
+    new batch is shuffled once, when its keys are counted, and merge-joined bucket by bucket with the
+    runs as they lie: keys that no run holds are fresh, the others are repeats. When a level has `fan`
+    runs they are merged into one of the next level, so a batch meets a number of runs logarithmic in
+    the number of batches. `close` forgets the tables; their files are scratch.
     """
 
     def __init__(self, spark: SparkSession, fan: int = 3) -> None:
         self.spark, self.fan = spark, fan
+        initial = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+        self.buckets = int(initial or spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
-        self.repeats: list[str] = []
+        self.paths: dict[str, str] = {}
         self.schema = None
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(*paths)
-
-    def _write(self, rows: DataFrame, name: str) -> str:
-        path = shared_path(self.spark, name)
-        rows.sortWithinPartitions(*KEY).write.parquet(path)
-        return path
-
-    def known(self) -> DataFrame | None:
-        paths = [p for level in self.levels for p in level]
-        return self._read(paths) if paths else None
+    def _write(self, rows: DataFrame) -> str:
+        name = f"line_run_{uuid.uuid4().hex}"
+        self.paths[name], self.schema = shared_path(self.spark, "line-run"), rows.schema
+        before = self.spark.conf.get(ORDERED, None)
+        self.spark.conf.set(ORDERED, "true")
+        try:
+            made = rows.write.format("parquet").bucketBy(self.buckets, *KEY).sortBy(*KEY)
+            made.option("path", self.paths[name]).saveAsTable(name)
+        finally:
+            self.spark.conf.set(ORDERED, before) if before else self.spark.conf.unset(ORDERED)
+        return name
+
+    def _all(self) -> list[str]:
+        return [name for level in self.levels for name in level]
+
+    def _union(self, names: list[str]) -> DataFrame:
+        # as plain files: Spark 4.1 takes a union of bucketed scans for bucketed, but does not line the buckets up
+        return self.spark.read.schema(self.schema).parquet(*[self.paths[name] for name in names])
 
     def add(self, batch: DataFrame) -> None:
         """batch: (h1, h2, id), a row for each key of each document."""
-        counted = batch.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("id").alias("keeper"))
-        self.schema = counted.schema
-        known = self.known()
-        if known is None:
-            fresh = counted
-        else:
-            counted = stored(counted, "line-batch")  # read by the anti-join and by its counterpart
-            fresh = counted.join(known.select(*KEY), KEY, "left_anti")
-            self.repeats.append(self._write(counted.join(known.select(*KEY), KEY, "left_semi"), "line-repeats"))
-        self._push(0, self._write(fresh, "line-run"))
-
-    def _push(self, level: int, path: str) -> None:
+        rows = batch.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("id").alias("keeper"))
+        known = []
+        for k, name in enumerate(self._all()):
+            run = self.spark.table(name).filter("fresh").select(*KEY, F.lit(True).alias(f"in_{k}"))
+            rows, known = rows.join(run, KEY, "left"), [*known, F.col(f"in_{k}")]
+        fresh = F.coalesce(*known, F.lit(False)) == F.lit(False)
+        self._push(0, self._write(rows.select(*KEY, "n_docs", "keeper", fresh.alias("fresh"))))
+
+    def _push(self, level: int, name: str) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append(name)
         if len(self.levels[level]) >= self.fan:
-            merged = self._write(self._read(self.levels[level]).repartition(*KEY), "line-run")
+            rows = self._union(self.levels[level]).groupBy(*KEY)
+            merged = self._write(rows.agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"), F.max("fresh").alias("fresh")))
+            self._drop(self.levels[level])
             self.levels[level] = []
             self._push(level + 1, merged)
 
     def shared(self, least: int) -> DataFrame:
         """(h1, h2, keeper) of keys that `least` documents or more hold; keeper is the largest id."""
-        known = self.known()
-        if self.repeats:
-            again = self._read(self.repeats).groupBy(*KEY).agg(F.sum("n_docs").alias("more"), F.max("keeper").alias("later"))
-            known = known.join(again, KEY, "left")
-            known = known.select(*KEY, (F.col("n_docs") + F.coalesce("more", F.lit(0))).alias("n_docs"), F.greatest("keeper", "later").alias("keeper"))
-        return known.filter(F.col("n_docs") >= least).select(*KEY, "keeper")
+        total = self._union(self._all()).groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
+        return total.filter(F.col("n_docs") >= least).select(*KEY, "keeper")
+
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def close(self) -> None:
+        self._drop(self._all())
+        self.levels = []
 
 
 def drop_shared_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_docs: int = 5, least_chars: int = 40, batches: int = 4) -> DataFrame:
@@ -104,6 +124,7 @@ def drop_shared_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     for k in range(batches):
         runs.add(held.filter(F.col("part") == k))
     shared = stored(runs.shared(least_docs), "shared-lines")
+    runs.close()
     drops = held.join(shared, KEY).filter(~F.col("id").eqNullSafe(F.col("keeper"))).select("id", F.struct(*KEY).alias("key"))
     drops = drops.groupBy(F.col("id").alias("of")).agg(F.collect_set("key").alias("drops"))
     joined = rows.join(drops, F.col("id").eqNullSafe(F.col("of")), "left")

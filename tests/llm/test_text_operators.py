@@ -112,9 +112,27 @@ def test_runs_hold_each_key_once(spark):
     runs = lines.LineRuns(spark, fan=2)
     for b in range(5):
         runs.add(spark.createDataFrame([(k, k, b * 10 + k) for k in range(b, b + 3)] + [(99, 99, b)], "h1 long, h2 long, id long"))
-    known = runs.known()
+    known = runs._union(runs._all()).filter("fresh")
     assert known.count() == known.select("h1").distinct().count() == 8 and len(runs.levels[0]) < 2
     assert {r["h1"]: r["keeper"] for r in runs.shared(3).collect()} == {2: 22, 3: 33, 4: 44, 99: 4}
+    runs.close()
+
+
+def test_runs_are_merged_as_they_lie(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set(lines.ORDERED, "true")
+    try:
+        runs = lines.LineRuns(spark)
+        for b in range(2):
+            runs.add(spark.range(b * 50, 1000).selectExpr("xxhash64(id) h1", "hash(id) h2", "id"))
+        one, two = (spark.table(t) for t in runs._all())
+        assert one.filter("fresh").count() == 1000 and two.filter("fresh").count() == 0
+        plan = two.join(one, lines.KEY, "left_anti")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+        runs.close()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset(lines.ORDERED)
 
 
 def test_byte_bpe(spark):
