@@ -19,12 +19,10 @@ from siltlog.llm.shared import stored
 VALUES, TREES, DEPTH = 128, 32, 4
 #: Regions up to this size are compared in full at once, larger ones by sorted neighbours first.
 SMALL = 8
-#: Partners in a block that a member of a larger region is checked with first, of other components; then four times as many.
-PARTNERS = 4
 #: Chance at most that a pair of just the wanted similarity agrees in too few values to be checked.
-MISSED = 1e-9
-#: Regions above this size are dealt to parts; each part of rows meets each part of columns.
-LARGE = 4096
+MISSED = 1e-6
+#: Regions of more members, or of more shingles, are dealt to parts; each part of rows meets each part of columns.
+LARGE, LARGE_SHINGLES = 2048, 4_000_000
 #: Document ids are sent to every executor up to this many (8 bytes each), else both sides are shuffled.
 SENT_IDS = 1_000_000
 
@@ -86,23 +84,15 @@ def _regions(nodes: DataFrame) -> DataFrame:
     return stored(found.join(nodes, "node").select("key", part.alias("part"), "node", "n", rest.alias("rest")), "forest")
 
 
-def _candidates(regions: DataFrame, label: DataFrame | None) -> DataFrame:
-    """Pairs of neighbours in each region's sorted order whose components are not known to be one."""
-    if label is None:
-        members = regions.withColumn("component", F.col("node"))
-    else:
-        members = regions.join(label.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+def _candidates(regions: DataFrame) -> DataFrame:
+    """Pairs of all members of small regions, and of neighbours in the sorted order of larger ones."""
     order = Window.partitionBy("key", "part").orderBy("rest", "node")
-    me = F.struct("node", "component")
     near = F.array(
-        F.lead(me, 1).over(order),
-        *[F.when(F.col("n") <= SMALL, F.lead(me, k).over(order)) for k in range(2, SMALL)],
-        F.when(F.col("n") > SMALL, F.first(me).over(order)),
+        F.lead("node", 1).over(order),
+        *[F.when(F.col("n") <= SMALL, F.lead("node", k).over(order)) for k in range(2, SMALL)],
+        F.when(F.col("n") > SMALL, F.first("node").over(order)),
     )
-    # filtered before the rows are made: most neighbours are of one component after the first round
-    other = F.filter(near, lambda x: x.isNotNull() & (x["component"] != F.col("component")))
-    pairs = members.select("node", other.alias("other"), "component").filter(F.size("other") > 0)
-    pairs = pairs.select("node", F.explode("other.node").alias("with"))
+    pairs = regions.select("node", near.alias("near")).select("node", F.explode(F.filter("near", lambda x: x.isNotNull())).alias("with")).filter("node <> with")
     return pairs.select(F.least("node", "with").alias("a"), F.greatest("node", "with").alias("b")).distinct()
 
 
@@ -117,84 +107,136 @@ def _agreement(percent: int) -> int:
     return least
 
 
-def _partners(block: pa.Table, least: int, percent: int, most: int) -> pa.Table:
-    """Pairs (node, with) of a row and a column of one region, of two components and with enough values in common.
-
-    A row's best `most` columns are given; a pair of nulls says that there were more.
-    """
-    block = block.combine_chunks()
-    key = block["key"].to_numpy()
+def _by_region(block: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the rows and columns of each region in a block that has both."""
+    key, is_row = block["key"].to_numpy(), block["is_row"].to_numpy(zero_copy_only=False)
     order = np.argsort(key, kind="stable")
-    is_row = block["is_row"].to_numpy(zero_copy_only=False)
-    component = block["component"].combine_chunks().dictionary_encode().indices.to_numpy()
-    size = block["n_shingles"].to_numpy()
-    sketch = np.frombuffer(b"".join(block["sketch"].to_pylist()), np.uint8).reshape(-1, VALUES)
-    left, right, cut = [], [], False
     for members in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
         rows, columns = members[is_row[members]], members[~is_row[members]]
-        if not len(rows) or not len(columns):
-            continue
+        if len(rows) and len(columns):
+            yield rows, columns
+
+
+def _may_link(component: np.ndarray, size: np.ndarray, rows: np.ndarray, columns: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows and columns are of two components and of sizes that a link allows."""
+    small, large = np.minimum(size[rows][:, None], size[columns]), np.maximum(size[rows][:, None], size[columns])
+    return (component[rows][:, None] != component[columns]) & (100 * small >= percent * large)
+
+
+def _active(block: pa.Table, least: int, percent: int) -> pa.Table:
+    """The rows and columns of a block that have a partner of another component with `least` values in common."""
+    block = block.combine_chunks()
+    component, size = block["component"].combine_chunks().dictionary_encode().indices.to_numpy(), block["n_shingles"].to_numpy()
+    sketch = np.frombuffer(b"".join(block["sketch"].to_pylist()), np.uint8).reshape(-1, VALUES)
+    chosen = np.zeros(block.num_rows, bool)
+    for rows, columns in _by_region(block):
         across = np.ascontiguousarray(sketch[columns].T)
         step = max(1, (1 << 20) // len(columns))
         for at in range(0, len(rows), step):
             some = rows[at : at + step]
-            if len(some) * len(columns) <= 4096:
-                same = (sketch[some][:, None] == sketch[columns][None]).sum(axis=2, dtype=np.uint8)
-            else:
-                same, down = np.zeros((len(some), len(columns)), np.uint8), np.ascontiguousarray(sketch[some].T)
-                for k in range(VALUES):
-                    same += down[k][:, None] == across[k]
-            small, large = np.minimum(size[some][:, None], size[columns]), np.maximum(size[some][:, None], size[columns])
-            same[(component[some][:, None] == component[columns]) | (100 * small < percent * large)] = 0
-            good = same >= max(least, 1)
-            over = np.flatnonzero(good.sum(axis=1) > most)
-            if len(over):
-                cut = True
-                best = np.argpartition(same[over], -most, axis=1)[:, -most:]
-                good[over] = False
-                good[over[:, None], best] = True
-            r, c = np.nonzero(good)
-            left.append(some[r])
-            right.append(columns[c])
-    none = np.zeros(0, np.int64)
-    a = block["node"].take(pa.array(np.concatenate([none, *left])))
-    b = block["node"].take(pa.array(np.concatenate([none, *right])))
-    found = pa.table({"node": a, "with": b})
-    return pa.concat_tables([found, pa.table({c: pa.nulls(1, found[c].type) for c in found.column_names})]) if cut else found
-
-
-def _crossing(regions: DataFrame, sketches: DataFrame, label: DataFrame | None, percent: int, most: int) -> DataFrame:
-    """Pairs over all members of a region whose components differ; a pair of nulls if some row had more than `most`.
+            same, down = np.zeros((len(some), len(columns)), np.uint8), np.ascontiguousarray(sketch[some].T)
+            for k in range(VALUES):
+                same += down[k][:, None] == across[k]
+            good = (same >= least) & _may_link(component, size, some, columns, percent)
+            chosen[some] |= good.any(axis=1)
+            chosen[columns] |= good.any(axis=0)
+    out = block.select(["single", "block", "r", "c", "key", "node", "is_row"]).append_column("component", pa.array(component, pa.int32()))
+    return out.filter(pa.array(chosen))
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each of `left` with each of `right`, sets of distinct numbers."""
+    values, which = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    n = sum(map(len, left))
+    row, column = np.repeat(np.arange(len(left)), [len(x) for x in left]), np.repeat(np.arange(len(right)), [len(x) for x in right])
+    in_left, in_right = which[:n], which[n:]
+    a, b = np.bincount(in_left, minlength=len(values)), np.bincount(in_right, minlength=len(values))
+    out = np.zeros((len(left), len(right)), np.int32)
+    # values that many have are compared as bits, others by listing who has them
+    often = a * b * 64 > len(left) * len(right)
+    number = np.cumsum(often) - 1
+    for at in range(0, int(often.sum()), 64):
+        bits = []
+        for of, who, size in ((in_left, row, len(left)), (in_right, column, len(right))):
+            some = often[of] & (number[of] >= at) & (number[of] < at + 64)
+            held = np.zeros(size, np.uint64)
+            np.bitwise_or.at(held, who[some], np.uint64(1) << (number[of[some]] - at).astype(np.uint64))
+            bits.append(held)
+        out += np.bitwise_count(bits[0][:, None] & bits[1])
+    rare = np.flatnonzero(~often & (a > 0) & (b > 0))
+    if len(rare):
+        by_left, by_right = np.argsort(in_left, kind="stable"), np.argsort(in_right, kind="stable")
+        start_left, start_right = np.cumsum(a) - a, np.cumsum(b) - b
+        for some in np.array_split(rare, 1 + int((a[rare] * b[rare]).sum()) // 2_000_000):
+            pairs = a[some] * b[some]
+            k = words.gather(np.arange(int(pairs.max(initial=0))), np.zeros(len(some), np.int64), pairs)
+            at = np.repeat(np.arange(len(some)), pairs)
+            i = row[by_left[start_left[some][at] + k // b[some][at]]]
+            j = column[by_right[start_right[some][at] + k % b[some][at]]]
+            out += np.bincount(i * len(right) + j, minlength=out.size).reshape(out.shape)
+    return out
+
+
+def _tied(block: pa.Table, percent: int) -> pa.Table:
+    """(a, b): a spanning forest of the links between the rows and columns of each region of a block, on full sets."""
+    block = block.combine_chunks()
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in block["shingles"].combine_chunks()]
+    size, component = np.array([len(x) for x in sets], np.int64), block["component"].to_numpy()
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for rows, columns in _by_region(block):
+        both = _common([sets[k] for k in rows], [sets[k] for k in columns]).astype(np.int64)
+        linked = (100 * both >= percent * (size[rows][:, None] + size[columns] - both)) & _may_link(component, size, rows, columns, percent)
+        down, across = np.arange(len(rows)), np.full(len(columns), len(rows))
+        while True:  # the smallest row that links reach
+            across = np.where(linked, down[:, None], across).min(axis=0, initial=len(rows))
+            after = np.minimum(down, np.where(linked, across, len(rows)).min(axis=1, initial=len(rows)))
+            if (after == down).all():
+                break
+            down = after
+        moved, met = np.flatnonzero(down != np.arange(len(rows))), np.flatnonzero(across < len(rows))
+        left += [rows[moved], columns[met]]
+        right += [rows[down[moved]], rows[across[met]]]
+    nodes = block["node"]
+    return pa.table({"a": nodes.take(pa.array(np.concatenate(left))), "b": nodes.take(pa.array(np.concatenate(right)))})
+
+
+def _crossing(regions: DataFrame, sketches: DataFrame, sets: DataFrame, label: DataFrame | None, percent: int) -> DataFrame:
+    """(a, b): links between members of a region whose components differ, as a spanning forest of each block.
 
     Members outside a region's most frequent component are rows, all members are columns. Both are dealt
-    to parts of LARGE, and each part of rows meets each part of columns; small regions share a block.
+    to parts, and each part of rows meets each part of columns; small regions share a block. Members
+    whose sketches agree with no partner of another component leave before the full sets come in.
     """
     members = regions.filter(F.col("n") > min(SMALL, LARGE)).select("key", "node")
     if label is None:
         members = members.withColumn("component", F.col("node"))
     else:
         members = members.join(label.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = members.groupBy("key", "component").agg(F.count("*").alias("c"))
-    sizes = sizes.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("main"))
+    members = members.join(sketches, "node")
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("s"))
+    sizes = sizes.groupBy("key").agg(F.sum("c").alias("n"), F.sum("s").alias("s"), F.max(F.struct("c", "component", "s")).alias("main"))
+    down = F.greatest((F.col("n") - F.col("main.c")) / LARGE, (F.col("s") - F.col("main.s")) / LARGE_SHINGLES)
     sizes = sizes.filter(F.col("n") > F.col("main.c")).select(
         "key",
         F.col("main.component").alias("main"),
-        (2 * F.col("n") - F.col("main.c")).alias("size"),
-        F.ceil((F.col("n") - F.col("main.c")) / LARGE).cast("int").alias("down"),
-        F.ceil(F.col("n") / LARGE).cast("int").alias("across"),
+        (2 * F.col("s") - F.col("main.s")).alias("size"),
+        F.ceil(down).cast("int").alias("down"),
+        F.ceil(F.greatest(F.col("n") / LARGE, F.col("s") / LARGE_SHINGLES)).cast("int").alias("across"),
     )
     sizes = stored(sizes, "open-regions")
     single = (F.col("down") == 1) & (F.col("across") == 1)
-    bins = max(1, (sizes.filter(single).agg(F.sum("size")).first()[0] or 0) // LARGE)
-    held = members.join(sizes.drop("size"), "key").join(sketches, "node")
+    bins = max(1, (sizes.filter(single).agg(F.sum("size")).first()[0] or 0) // LARGE_SHINGLES)
+    held = members.join(sizes.drop("size"), "key")
     part = F.xxhash64("node", "key")
     columns = held.select("*", F.lit(False).alias("is_row"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("r"), F.pmod(part, F.col("across")).cast("int").alias("c"))
     rows = held.filter(F.col("component") != F.col("main"))
     rows = rows.select("*", F.lit(True).alias("is_row"), F.pmod(part, F.col("down")).cast("int").alias("r"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("c"))
     both = columns.unionByName(rows).withColumn("single", single).withColumn("block", F.when(single, F.pmod("key", F.lit(bins))).otherwise(F.col("key")))
     kind, least = regions.schema["node"].dataType.simpleString(), _agreement(percent)
-    found = both.groupBy("single", "block", "r", "c").applyInArrow(lambda t: _partners(t, least, percent, most), f"node {kind}, with {kind}")
-    return found.select(F.least("node", "with").alias("a"), F.greatest("node", "with").alias("b")).distinct()
+    blocks = ["single", "block", "r", "c"]
+    active = both.groupBy(*blocks).applyInArrow(lambda t: _active(t, least, percent), f"single boolean, block long, r int, c int, key long, node {kind}, is_row boolean, component int")
+    full = active.join(sets.select(F.col("id").alias("node"), "shingles"), "node")
+    return full.groupBy(*blocks).applyInArrow(lambda t: _tied(t, percent), f"a {kind}, b {kind}")
 
 
 def describe(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
@@ -208,10 +250,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """One row per document: id, n_shingles, component_id, kept.
 
     Documents of equal shingle sets form a class; signatures of classes stand in TREES sorted orders.
-    Neighbours in an order that share DEPTH or more leading values are candidates, confirmed on the
-    full sets. Rounds repeat over neighbours of different components until no new link turns up. Then
-    all members of a region are compared by signature across the components that are left, and pairs
-    alike enough are confirmed, best first, until none is left unchecked between two components.
+    Members of a region, those that share DEPTH or more leading values, are candidates: all of a small
+    region, sorted neighbours of a larger one, confirmed on the full sets. Then all members of larger
+    regions whose components still differ are compared, first by signature, and on the full sets where
+    enough values agree. Each component is found, not every link within one.
 
     Null or blank texts have no shingle, link with nothing and are kept. A null id stays a row of
     its own: its text can give no component an id, so it links with nothing. Rows that repeat an id
@@ -234,40 +276,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     low = F.concat(*[F.substring("signature", 4 * k + 4, 1) for k in range(VALUES)])
     sketches = stored(nodes.join(wanted.withColumnRenamed("id", "node"), "node", "left_semi").select("node", "n_shingles", low.alias("sketch")), "sketches")
 
-    links, tried, label, most = None, None, None, None
-    while True:
-        found = _candidates(regions, label) if most is None else _crossing(regions, sketches, label, percent, most)
-        if tried is not None:
-            found = found.join(tried, ["a", "b"], "left_anti")
-        found = stored(found, "pairs")
-        pairs = found.filter("a is not null")
-        more = most is None or found.filter("a is null").limit(1).count() > 0
-        linked = False
-        if pairs.limit(1).count():
-            full = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-            new = stored(full.select("a", "b", "x", "y").mapInArrow(lambda it: _linked(it, percent), f"a {kind}, b {kind}"), "links")
-            tried = pairs if tried is None else tried.unionByName(pairs)
-            linked = new.limit(1).count() > 0
-        if linked:
-            links = new if links is None else links.unionByName(new)
-            label = components(links)
-        if most is not None or not linked:
-            if not more:
-                break
-            most = PARTNERS if most is None else 4 * most
+    pairs = _candidates(regions)
+    full = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    links = stored(full.select("a", "b", "x", "y").mapInArrow(lambda it: _linked(it, percent), f"a {kind}, b {kind}"), "links")
+    label = components(links)
+    more = stored(_crossing(regions, sketches, sets, label, percent), "crossing")
+    if more.limit(1).count():
+        links = links.unionByName(more)
+        label = components(links)
     # rows that repeat an id tie the classes of their texts together
     if twice.limit(1).count():
-        again = same.join(twice.withColumnRenamed("id", "a"), "a", "left_semi")
-        links = again if links is None else links.unionByName(again)
-        label = components(links)
+        label = components(links.unionByName(same.join(twice.withColumnRenamed("id", "a"), "a", "left_semi")))
 
     out = known.join(nodes.select("digest", "node"), "digest", "left")
     out = out.withColumn("node", F.when(F.col("id").isNotNull(), F.col("node")))
-    if label is not None:
-        out = out.join(label.withColumnRenamed("id", "node"), "node", "left")
-        out = out.withColumn("component_id", F.coalesce("component", "node", "id"))
-    else:
-        out = out.withColumn("component_id", F.coalesce("node", "id"))
+    out = out.join(label.withColumnRenamed("id", "node"), "node", "left")
+    out = out.withColumn("component_id", F.coalesce("component", "node", "id"))
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", kept.alias("kept"))
 

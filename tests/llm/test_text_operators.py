@@ -223,7 +223,7 @@ def test_regions_split_and_stay_tied(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(texts)
 
 
-def test_pairs_in_a_region_above_the_limit(spark, monkeypatch):
+def test_blocks_of_a_region_above_the_limit(spark, monkeypatch):
     monkeypatch.setattr(neardup, "LARGE", 16)
     # one region in the first tree; 40 pairs share three values of four, so no longer prefix than that
     rng = np.random.default_rng(1)
@@ -238,8 +238,36 @@ def test_pairs_in_a_region_above_the_limit(spark, monkeypatch):
     assert {(r["key"], r["n"]) for r in regions.collect()} == {(regions.first()["key"], 200)} and regions.count() == 200
     low = [(k, 50, v.astype(np.uint8).tobytes()) for k, v in enumerate(values)]
     sketches = spark.createDataFrame(low, "node long, n_shingles long, sketch binary")
-    pairs = neardup._crossing(regions, sketches, None, 75, 4).collect()
-    assert {(r["a"], r["b"]) for r in pairs} == {(2 * k, 2 * k + 1) for k in range(40)}
+    own = [(k, np.sort(np.append(np.arange(44) + 100 * (k // 2), 10**6 + k * 10 + np.arange(6))).astype(np.uint64).tobytes()) for k in range(200)]
+    links = neardup._crossing(regions, sketches, spark.createDataFrame(own, "id long, shingles binary"), None, 75).collect()
+    assert {(min(r), max(r)) for r in links} == {(2 * k, 2 * k + 1) for k in range(40)}
+
+
+def test_common_counts():
+    rng = np.random.default_rng(3)
+    for high in (30, 400, 20_000):
+        left, right = ([np.unique(rng.integers(0, high, rng.integers(0, 60))).astype(np.uint64) for _ in range(n)] for n in (37, 52))
+        got = neardup._common(left, right)
+        assert all(got[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(left) for j, b in enumerate(right))
+
+
+def test_near_duplicates_that_share_a_template(spark, monkeypatch):
+    """Every document has one near copy; all others share the template, just below the threshold."""
+    import random
+
+    for same, large in ((9, 2048), (14, 300)):  # similarities of 0.764 and 0.787; all other pairs have 0.725
+        monkeypatch.setattr(neardup, "LARGE", large)
+        rng, texts = random.Random(same), {}
+        template = [f"t{k}" for k in range(300)]
+        for k in range(600):
+            tail = [f"d{k}x{i}" for i in range(56)]
+            copy = [*tail[:same], *(f"e{k}x{i}" for i in range(56 - same))]
+            texts[2 * k], texts[2 * k + 1] = " ".join(template + tail), " ".join(template + copy)
+        order = list(texts.items())
+        rng.shuffle(order)
+        got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string")).collect()}
+        found = sum(got[2 * k + 1] == got[2 * k] == 2 * k for k in range(600))
+        assert found >= 0.99 * 600 and all(c in (k, k - k % 2) for k, c in got.items())
 
 
 def test_warc_round_trip(spark, tmp_path):
