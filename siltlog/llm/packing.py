@@ -14,7 +14,7 @@ from siltlog.llm import kk, words
 
 PIECES = "id {id}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 #: Words that a worker remembers the ids of, about 200 bytes each, before those not met since go.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 _MARKS = np.isin(np.arange(256), np.frombuffer(b".,;:!?", np.uint8))
 _LETTERS = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", np.uint8))
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in a byte-level vocabulary
@@ -160,7 +160,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
             out = out or _Windows(capacity, piece, group_windows, TaskContext.get().partitionId() << 33, schema)
             for doc, tokens in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
                 out.add(doc, np.append(tokens, np.uint32(end_id)).astype("<u4"))
-                if out.bytes > 8_000_000:
+                if out.bytes > 4_000_000:
                     yield out.take()
         if out:
             out.close()

@@ -15,7 +15,7 @@ from siltlog.llm.rules import STOP_WORDS
 from siltlog.llm.shared import stored
 
 #: Labelled rows that the classifier is fitted on at most, those of smallest hash of id and text.
-LABELLED = 8_000
+LABELLED = 2_000
 #: Paths whose posteriors are sent to every executor at most; beyond that they are shuffled.
 SENT_PATHS = 200_000
 #: Buckets for hashed runs of three bytes, and as many for hashed words and word pairs.
@@ -90,21 +90,25 @@ def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
 class Model:
     """Logistic regression over hashed n-grams and binned surface counts."""
 
-    def __init__(self, sizes: np.ndarray, buckets: np.ndarray, values: np.ndarray, surface: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int = 120) -> None:
+    def __init__(self, sizes: np.ndarray, buckets: np.ndarray, values: np.ndarray, surface: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int = 80) -> None:
         self.cuts = [np.unique(np.quantile(surface[:, k], np.arange(1, BINS) / BINS)) if len(y) else np.zeros(0) for k in range(len(SURFACE))]
         self.grams, self.bins, self.bias = np.zeros(2 * GRAMS), np.zeros((len(SURFACE), BINS)), 0.0
         if not len(y):
             return
-        row, bins = np.repeat(np.arange(len(y)), sizes), self._binned(surface)
+        bins, ends = self._binned(surface), np.concatenate([[0], np.cumsum(sizes)])
         number = bins + np.arange(len(SURFACE)) * BINS
         # accelerated gradient; each row's squared length with the bias is the bound of the step
         pace = 4 / (2 + len(SURFACE) * BIN_WEIGHT**2)
         last = (self.grams, self.bins, self.bias)
         for k in range(steps):
-            miss = (y - self._squash(self._margins(sizes, row, buckets, values, bins))) / len(y)
-            grams = self.grams + pace * (np.bincount(buckets, values * miss[row], minlength=len(self.grams)) - ridge * self.grams)
+            down, miss = np.zeros(len(self.grams)), np.zeros(len(y))
+            for at in range(0, len(y), 256):  # rows at a time: their entries are wide numbers only here
+                some, held = slice(at, at + 256), slice(ends[at], ends[min(at + 256, len(y))])
+                row, places, weights = np.repeat(np.arange(len(sizes[some])), sizes[some]), buckets[held].astype(np.int64), values[held].astype(np.float64)
+                miss[some] = (y[some] - self._squash(self._margins(sizes[some], row, places, weights, bins[some]))) / len(y)
+                down += np.bincount(places, weights * miss[some][row], minlength=len(down))
             some = np.bincount(number.ravel(), np.repeat(miss, len(SURFACE)) * BIN_WEIGHT, minlength=self.bins.size).reshape(self.bins.shape)
-            new = (grams, self.bins + pace * (some - ridge * self.bins), self.bias + pace * miss.sum())
+            new = (self.grams + pace * (down - ridge * self.grams), self.bins + pace * (some - ridge * self.bins), self.bias + pace * miss.sum())
             self.grams, self.bins, self.bias = (a + k / (k + 3) * (a - b) for a, b in zip(new, last, strict=True))
             last = new
         self.grams, self.bins, self.bias = last
@@ -150,14 +154,19 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     def packed(text: pa.Array) -> pa.Array:
         return pa.array(_packed(text), pa.binary())
 
-    got = found.select("y", F.xxhash64("id", "text").alias("h"), packed("text").alias("x")).orderBy("h").limit(labelled).collect()
+    found = found.select("y", F.xxhash64("id", "text").alias("h"), packed("text").alias("x")).orderBy("h").limit(labelled)
     unpack, wide = zstandard.ZstdDecompressor(), 8 * len(SURFACE)
-    held = [unpack.decompress(r["x"]) for r in got]
-    sizes = np.array([(len(x) - wide) // 4 for x in held], np.int64)
-    surface = np.frombuffer(b"".join(x[:wide] for x in held)).reshape(len(held), len(SURFACE))
-    buckets = np.frombuffer(b"".join(x[wide : wide + 2 * n] for x, n in zip(held, sizes.tolist(), strict=True)), "<u2").astype(np.int64)
-    values = np.frombuffer(b"".join(x[wide + 2 * n :] for x, n in zip(held, sizes.tolist(), strict=True)), "<f2").astype(np.float64)
-    return Model(sizes, buckets, values, surface, np.array([r["y"] for r in got]))
+    y, surface, buckets, values = [], [], [], []
+    for row in found.toLocalIterator():
+        x = unpack.decompress(row["x"])
+        n = (len(x) - wide) // 4
+        y.append(row["y"])
+        surface.append(x[:wide])
+        buckets.append(x[wide : wide + 2 * n])
+        values.append(x[wide + 2 * n :])
+    sizes = np.array([len(b) // 2 for b in buckets], np.int64)
+    counts = np.frombuffer(b"".join(surface)).reshape(len(y), len(SURFACE))
+    return Model(sizes, np.frombuffer(b"".join(buckets), "<u2"), np.frombuffer(b"".join(values), "<f2"), counts, np.array(y))
 
 
 def _logit(p: Column) -> Column:

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Bytes that are looked at together; a longer word is still taken whole.
-PART = 1 << 20
+PART = 1 << 19
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BLANK = np.zeros(256, bool)
