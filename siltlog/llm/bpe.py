@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -75,7 +76,7 @@ def _encoded(batches: Iterable[pa.RecordBatch], pattern: str, ranks_path: str) -
     encoder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={})
     last, known = None, {}
     for batch in batches:
-        sizes, ids = [], []
+        sizes, ids, used = [], [], []
         for bucket, data in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
             if bucket != last or len(known) > REMEMBERED:
                 last, known = bucket, {}
@@ -86,14 +87,17 @@ def _encoded(batches: Iterable[pa.RecordBatch], pattern: str, ranks_path: str) -
                     got = known[word] = encoder.encode_ordinary(word.decode())
                 found.append(got)
             sizes.append(squeeze(np.fromiter(map(len, found), np.int64, len(found))))
-            ids.append(squeeze(np.fromiter((i for got in found for i in got), np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], ["block", "places", "sizes", "ids"])
+            flat = np.fromiter((i for got in found for i in got), np.int64)
+            ids.append(squeeze(flat))
+            used.append(np.unique(flat))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary()), pa.array(used, pa.list_(pa.int32()))], ["block", "places", "sizes", "ids", "used"])
 
 
-def _assembled(docs: pa.Table, entries: pa.Table, decoded_by: str | None) -> pa.Table:
-    """Ids of each document of a block, and the bytes that they stand for, if `decoded_by` names a rank file."""
+def _assembled(docs: pa.Table, entries: pa.Table, decoded: bool) -> pa.Table:
+    """Ids of each document of a block and, if `decoded`, the bytes that they stand for by the block's rows of the token table."""
     docs = docs.filter(pc.is_valid(docs.column("seq")))
-    rows = [[expand(x) for x in entries.column(c).to_pylist()] for c in ("places", "sizes", "ids")]
+    words_ = entries.filter(pc.is_valid(entries.column("places")))
+    rows = [[expand(x) for x in words_.column(c).to_pylist()] for c in ("places", "sizes", "ids")]
     places = np.concatenate([np.zeros(0, np.int64), *map(np.cumsum, rows[0])])
     sizes, ids = (np.concatenate([np.zeros(0, np.int64), *r]) for r in rows[1:])
     lengths, starts = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
@@ -105,74 +109,89 @@ def _assembled(docs: pa.Table, entries: pa.Table, decoded_by: str | None) -> pa.
         ends.append(ends[-1] + len(out[-1]))
     tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *out])))
     columns = {"id": docs.column("id"), "tokens": tokens}
-    if decoded_by:
-        # a slice at a time: the join holds some 30 bytes for each byte of text
-        some = [_decoded(tokens.slice(at, 200), decoded_by) for at in range(0, len(tokens), 200)]
+    if decoded:
+        known = entries.filter(pc.is_valid(entries.column("token")))
+        table = TokenBytes(dict(zip(known.column("token").to_pylist(), known.column("bytes").to_pylist(), strict=True)))
+        # a slice at a time: looking bytes up holds some 30 bytes for each byte of text
+        some = [table.of(tokens.slice(at, 200)) for at in range(0, len(tokens), 200)]
         columns["decoded"] = pa.chunked_array(some, pa.binary())
     return pa.table(columns)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = 512, decoded: bool = False) -> DataFrame:
+def token_table(spark: SparkSession, ranks_path: str) -> DataFrame:
+    """(token, bytes): the rank file as a table; its size is the vocabulary's."""
+    return spark.createDataFrame([(k, bytearray(b)) for b, k in read_ranks(ranks_path).items()], "token int, bytes binary")
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, decoded: bool = False) -> DataFrame:
     """(id, tokens array<int>) per row, as the rank file's own library gives for ordinary text.
 
     Pre-tokens by `pattern` are numbered within blocks of documents; the distinct ones of all blocks
-    are shuffled by word, a row for the words of a block in each of `buckets` parts, encoded once each,
-    and sent back to their blocks, where the documents are reassembled by position. Null and empty texts have no tokens. Ids may be null or repeat: rows
-    are encoded one by one. Other columns are ignored.
+    are shuffled by word, a row for the words of a block in each of `buckets` parts (512, or as many
+    as a shuffle has partitions if that is more), encoded once each, and sent back to their blocks,
+    where the documents are reassembled by position. Null and empty texts have no tokens. Ids may be
+    null or repeat: rows are encoded one by one. Other columns are ignored.
 
-    With `decoded`, the tokens are decoded again where they are put together, as by `decode`, into a
-    column `decoded`: one Python worker a task instead of two.
+    With `decoded`, the distinct ids of each block are joined with the table of token bytes, and each
+    document's bytes are put together from them by position, into a column `decoded`.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    parts = buckets or max(512, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    blocks = rows.mapInArrow(lambda it: _block_rows(it, pattern, buckets), f"block long, id {kind}, seq binary, bucket int, places binary, names binary").repartition("block")
+    blocks = rows.mapInArrow(lambda it: _block_rows(it, pattern, parts), f"block long, id {kind}, seq binary, bucket int, places binary, names binary").repartition("block")
     entries = blocks.mapInArrow(_vocabulary, "block long, bucket int, places binary, names binary").repartition("bucket").sortWithinPartitions("bucket")
-    known = entries.mapInArrow(lambda it: _encoded(it, pattern, ranks_path), "block long, places binary, sizes binary, ids binary")
-    made = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(lambda a, b: _assembled(a, b, ranks_path if decoded else None), f"id {kind}, tokens array<int>" + ", decoded binary" * decoded)
+    known = entries.mapInArrow(lambda it: _encoded(it, pattern, ranks_path), "block long, places binary, sizes binary, ids binary, used array<int>")
+    none = [F.lit(None).cast("int").alias("token"), F.lit(None).cast("binary").alias("bytes")]
+    if decoded:
+        known = known.repartition("block")
+        used = known.select("block", F.explode("used").alias("token")).distinct().join(F.broadcast(token_table(spark, ranks_path)), "token")
+        bytes_ = used.select("block", *[F.lit(None).cast("binary").alias(c) for c in ("places", "sizes", "ids")], "token", "bytes")
+        known = known.select("block", "places", "sizes", "ids", *none).unionByName(bytes_)
+    else:
+        known = known.select("block", "places", "sizes", "ids", *none)
+    made = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(lambda a, b: _assembled(a, b, decoded), f"id {kind}, tokens array<int>" + ", decoded binary" * decoded)
     return made.withColumnRenamed("id", id_col)
 
 
+class TokenBytes:
+    """Bytes of tokens end to end, found by id."""
+
+    def __init__(self, tokens: dict[int, bytes]) -> None:
+        width = max(tokens, default=-1) + 1
+        self.starts, self.lengths = np.zeros(width, np.int64), np.full(width, -1, np.int64)
+        ids, sizes = np.fromiter(tokens, np.int64, len(tokens)), np.fromiter(map(len, tokens.values()), np.int64, len(tokens))
+        self.starts[ids], self.lengths[ids] = np.cumsum(sizes) - sizes, sizes
+        self.data = np.frombuffer(b"".join(tokens.values()), np.uint8)
+
+    def of(self, column: pa.Array) -> pa.Array:
+        """Bytes of each array of ids; null gives null, an unknown id fails."""
+        ids = column.flatten().to_numpy(zero_copy_only=False)
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.lengths) or self.lengths[ids].min() < 0):
+            raise ValueError("unknown token id")
+        lengths = self.lengths[ids]
+        rows = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        data = words.gather(self.data, self.starts[ids], lengths)
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(rows)])].astype(np.int64)
+        made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
+        return pc.if_else(column.is_valid(), made, pa.scalar(None, pa.large_binary())).cast(pa.binary())
+
+
 def decode(tokens: Column, ranks_path: str) -> Column:
-    """Bytes of an array of ids, by a join with the table of token bytes (its size is the vocabulary's).
+    """Bytes of an array of ids, looked up in the table of token bytes (its size is the vocabulary's).
 
     Null gives null, an empty array no bytes; an id that is not in the table fails.
     """
 
     @F.arrow_udf("binary")
     def joined(column: pa.Array) -> pa.Array:
-        return _decoded(column, ranks_path)
+        return _whole_table(ranks_path).of(column)
 
     return joined(tokens)
 
 
-def _decoded(column: pa.Array, ranks_path: str) -> pa.Array:
-    table = _table(ranks_path)
-    ids = column.flatten().to_numpy(zero_copy_only=False)
-    if len(ids) and (ids.min() < 0 or ids.max() >= len(table[1])):
-        raise ValueError("unknown token id")
-    lengths = table[2][ids]
-    if len(ids) and lengths.min() < 0:
-        raise ValueError("unknown token id")
-    rows = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    data = words.gather(table[0], table[1][ids], lengths)
-    ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(rows)])].astype(np.int64)
-    made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
-    return pc.if_else(column.is_valid(), made, pa.scalar(None, pa.large_binary())).cast(pa.binary())
-
-
-_TABLES: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-
-
-def _table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of all tokens end to end; start and length by id, length -1 where there is no such id."""
-    if path not in _TABLES:
-        ranks = read_ranks(path)
-        starts, lengths, at = np.zeros(max(ranks.values()) + 1, np.int64), np.full(max(ranks.values()) + 1, -1, np.int64), 0
-        for data, k in ranks.items():
-            starts[k], lengths[k] = at, len(data)
-            at += len(data)
-        _TABLES[path] = np.frombuffer(b"".join(ranks), np.uint8), starts, lengths
-    return _TABLES[path]
+@lru_cache(2)
+def _whole_table(ranks_path: str) -> TokenBytes:
+    return TokenBytes({k: b for b, k in read_ranks(ranks_path).items()})
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,9 +149,27 @@ def test_byte_bpe(spark):
         got.setdefault(r["doc_id"], []).append((r["tokens"], bytes(r["bytes"])))
     for k, t in enumerate(texts):
         assert got[k][0] == (encoder.encode_ordinary(t or ""), (t or "").encode())
+    again = bpe.encode(df, path, public_tokenizers.PATTERN, decoded=True)
+    assert sorted((r["doc_id"] or -1, bytes(r["decoded"])) for r in again.collect()) == sorted((k or -1, b) for k, rows in got.items() for _, b in rows)
     assert len(got[2]) == 2 and got[None][0][1] == b"the" and bpe.encode(df.limit(0), path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_byte_bpe_query_on_all_documents(spark):
+    import public_tokenizers
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoder = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    sf = "/root/testdata/sf0.01"
+    got = {r["doc_id"]: r for r in bpe.op5_byte_bpe(spark, sf).collect()}
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    assert len(rows) == len(got)
+    for doc, text in rows:
+        ids = encoder.encode_ordinary(text or "")
+        want = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())
+        assert tuple(got[doc][c] for c in ("n_tokens", "ids_sha256", "decoded_sha256")) == want
+
+
 def brute(texts, percent=75):
     sets = {}
     for k, t in texts.items():
