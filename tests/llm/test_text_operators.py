@@ -51,7 +51,7 @@ def test_words_that_rolling_sums_confuse(spark):
     assert len(set(words.word_hashes(pa.array([f"{x} {y}", x + y, y + x]))[0].tolist())) == 4
     docs = spark.createDataFrame([(1, x), (2, y), (3, x)], "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 1}
-    assert {r["doc_id"]: r["n_known"] for r in brown.score(docs, parts=3, part=zlib.crc32(b"2") % 3).collect()} == {1: 2, 2: 1, 3: 2}
+    assert {r["doc_id"]: r["n_known"] for r in brown.score(docs, classes=5, parts=3, part=zlib.crc32(b"2") % 3).collect()} == {1: 2, 2: 1, 3: 2}
 
 
 def test_url_filter(spark):
@@ -339,12 +339,71 @@ def test_class_model(spark, sf):
     assert model > base
 
 
-def test_class_model_is_a_distribution(spark):
-    texts = ["a b a b c"] * 40 + [None, "", "new words here"]
+def test_class_model_by_hand(spark):
+    """Scores from the classes alone, in plain Python; emissions and transitions are distributions."""
+    frame = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).withColumn("block", F.lit(1))
+    frame = frame.unionByName(spark.createDataFrame([(900, None, 1), (901, "", 1), (None, "the unheard", 1), (3, "again the", 1)], "doc_id long, text string, block int"), allowMissingColumns=True)
+    corpus = brown.number(frame, buckets=8)
+    label = brown.cluster(corpus, 9)
+    kinds = {}
+    for r in label.collect():
+        kinds |= dict(zip(np.frombuffer(r["hashes"], np.uint64).tolist(), brown.expand(r["kinds"]).tolist(), strict=True))
+    docs = [(r["doc_id"], [int(h) for h in words.word_hashes(pa.array([r["text"]], pa.string()))[0]]) for r in frame.collect()]
+    train = [t for k, t in docs if not brown.held_out(k, 7, 2)]
+    counts = Counter(h for t in train for h in t)
+    assert set(counts) == set(kinds) and set(kinds.values()) <= set(range(1, 9))
+    n, distinct = Counter(), Counter(kinds.values())
+    for h, c in counts.items():
+        n[kinds[h]] += c
+    mass, unknown = brown.class_mass(corpus, label, 9)
+    assert [tuple(x) for x in mass[1:]] == [(n[k], distinct[k]) for k in range(1, 9)] and distinct[unknown] == max(distinct.values())
+
+    def emission(h):
+        k = kinds.get(h, unknown)
+        if h not in counts:
+            return k, 0.5 * distinct[k] / n[k]
+        return k, (counts[h] - (0.5 if k == unknown else 0)) / n[k]
+
+    for k in n:
+        assert sum(emission(h)[1] for h in counts if kinds[h] == k) + (emission(-1)[1] if k == unknown else 0) == pytest.approx(1)
+    steps = Counter()
+    for t in train:
+        path = [0, *(kinds[h] for h in t), 0]
+        steps.update(zip(path, path[1:]))
+    step = {(a, b): (steps[a, b] + 0.5) / (sum(steps[a, c] for c in range(9)) + 4.5) for a in range(9) for b in range(9)}
+    got = Counter()
+    for r in brown._scored(corpus, label, "bigint", 9, 0.5).collect():
+        got[r["doc_id" if "doc_id" in r else "id"], r["n_tokens"], round(r["score"], 6)] += 1
+    want = Counter()
+    for k, t in docs:
+        path = [0, *(emission(h)[0] for h in t), 0]
+        want[k, len(t) + 1, round(sum(math.log10(step[x]) for x in zip(path, path[1:])) + sum(math.log10(emission(h)[1]) for h in t), 6)] += 1
+    assert sum((got - want).values()) <= 1  # rounding at the sixth place
+
+
+def test_class_model_on_odd_rows(spark):
+    texts = ["a b a b c"] * 40 + [None, "", "new words here", "w " * 200_000]
     df = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)] + [(None, "a", 1), (3, "a b", 1)], "doc_id long, text string, block int")
-    got = brown.score(df, least=10, classes=10, passes=1).collect()
-    assert len(got) == len(df.collect()) and all(r["score"] < 0 and r["perplexity"] > 1 for r in got)
+    got = brown.score(df, classes=10, passes=1).collect()
+    assert len(got) == len(texts) + 2 and all(r["score"] <= 0 and r["perplexity"] >= 1 for r in got)
     assert [r["n_tokens"] for r in got if r["doc_id"] == 40] == [1] and brown.score(df.limit(0)).count() == 0
+    alone = brown.score(df.filter("doc_id = 0"), parts=1, part=0).collect()  # no training text
+    assert alone[0]["train_tokens"] == 0 and alone[0]["n_known"] == 0 and alone[0]["score"] == pytest.approx(6 * math.log10(1 / 33))
+
+
+def test_exchange_finds_classes(spark):
+    """Two kinds of words that alternate end up in classes of their own, rare ones too."""
+    import random
+
+    rng, one, two = random.Random(1), [f"a{k}" for k in range(40)], [f"b{k}" for k in range(40)]
+    texts = [" ".join(w for _ in range(15) for w in (rng.choice(one[: 1 + rng.randrange(40)]), rng.choice(two[: 1 + rng.randrange(40)]))) for _ in range(150)]
+    corpus = brown.number(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    contexts = {}
+    for r in brown.cluster(corpus, 3, passes=3, gain=0.0).collect():
+        contexts |= dict(zip(np.frombuffer(r["hashes"], np.uint64).tolist(), brown.expand(r["kinds"]).tolist(), strict=True))
+    hashes = [{int(h) for h in words.word_hashes(pa.array([" ".join(group)]))[0]} for group in (one, two)]
+    of = [{contexts[h] for h in group & set(contexts)} for group in hashes]  # the words of training
+    assert [len(x) for x in of] == [1, 1] and of[0] != of[1]
 
 
 def test_quality_on_held_out_labels(spark):
