@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import gzip
-import io
 import json
+import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -14,7 +13,9 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
+
+from siltlog.llm.shared import shared_path, stored
 
 FIELDS = ["record_id string", "record_type string", "target_uri string", "date string", "payload_digest string", "refers_to string", "original_length long", "content_length long"]
 SCHEMA = ", ".join([*FIELDS, "payload binary"])
@@ -22,9 +23,12 @@ HEADERS = {
     "record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "payload_digest": "WARC-Payload-Digest",
     "refers_to": "WARC-Refers-To", "original_length": "WARC-Original-Payload-Length", "content_length": "Content-Length",
 }
-MANIFEST = "_archives.json"
+#: Each commit adds a manifest of its archives, so that appends add up.
+MANIFEST = "_archives-"
 #: Compressed bytes after which a read partition ends, at a record's edge.
 SPLIT = 16 << 20
+#: Repeated digests are sent to every executor up to this many (some 60 bytes each), else pages are shuffled by digest.
+SENT_DIGESTS = 1_000_000
 
 
 def file_system(path: str) -> tuple[fs.FileSystem, str]:
@@ -73,36 +77,58 @@ class Written(WriterCommitMessage):
     splits: list[int]
 
 
-class WarcWriter(DataSourceWriter):
-    """Each task writes one archive, a gzip member for each record; the commit names the archives that count."""
+def member(data: bytes) -> bytes:
+    """A gzip member whose header tells its own length in the `sl` extra field, so that readers can pass it by."""
+    deflate = zlib.compressobj(3, zlib.DEFLATED, -15)
+    body = deflate.compress(data) + deflate.flush()
+    total = 10 + 2 + 12 + len(body) + 8
+    if total >= 1 << 32:
+        head = b"\x1f\x8b\x08\x00\0\0\0\0\x00\xff"
+    else:
+        head = b"\x1f\x8b\x08\x04\0\0\0\0\x00\xff" + struct.pack("<H2sHII", 12, b"sl", 8, total, len(data) & 0xFFFFFFFF)
+    return head + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+
+
+def member_length(head: bytes) -> int | None:
+    """The length that the first bytes of a gzip member tell, if they do."""
+    if len(head) < 24 or head[:3] != b"\x1f\x8b\x08" or not head[3] & 4 or head[12:16] != b"sl\x08\x00":
+        return None
+    return struct.unpack("<I", head[16:20])[0]
+
+
+class WarcWriter(DataSourceArrowWriter):
+    """Each task writes one archive, a gzip member for each record; the commit adds a manifest of the archives that count."""
 
     def __init__(self, path: str, fields: list[str]) -> None:
-        self.path, self.fields = path, fields
+        self.path, self.fields, self.job = path, fields, uuid.uuid4().hex
 
-    def write(self, rows: Iterator) -> Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, root = file_system(self.path)
         store.create_dir(root, recursive=True)
-        name, at, last, splits = f"part-{uuid.uuid4().hex}.warc.gz", 0, 0, [0]
+        name, at, last, splits = f"part-{self.job}-{uuid.uuid4().hex}.warc.gz", 0, 0, [0]
         with store.open_output_stream(f"{root}/{name}", compression=None) as out:  # has its own gzip members
-            for row in rows:
-                if at - last >= SPLIT:
-                    splits.append(last := at)
-                data = gzip.compress(record(dict(zip(self.fields, row, strict=True))), 3, mtime=0)
-                out.write(data)
-                at += len(data)
+            for batch in iterator:
+                columns = [batch.column(f) for f in self.fields]
+                for k in range(batch.num_rows):
+                    if at - last >= SPLIT:
+                        splits.append(last := at)
+                    data = member(record({f: c[k].as_py() for f, c in zip(self.fields, columns, strict=True)}))
+                    out.write(data)
+                    at += len(data)
         return Written(name, splits)
 
     def commit(self, messages: list[Written | None]) -> None:
         store, root = file_system(self.path)
         store.create_dir(root, recursive=True)
-        with store.open_output_stream(f"{root}/{MANIFEST}") as out:
+        with store.open_output_stream(f"{root}/{MANIFEST}{self.job}.json") as out:
             out.write(json.dumps({m.name: m.splits for m in messages if m}).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
+        """Archives of this job go, also those of tasks that failed on the way."""
         store, root = file_system(self.path)
-        for m in messages:
-            if m:
-                store.delete_file(f"{root}/{m.name}")
+        for x in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+            if x.base_name.startswith(f"part-{self.job}-"):
+                store.delete_file(f"{root}/{x.base_name}")
 
 
 class WarcReader(DataSourceReader):
@@ -126,11 +152,13 @@ class WarcReader(DataSourceReader):
         if info.type == fs.FileType.File:
             return [Span(self.path, 0, -1)]
         base, found = self.path.rstrip("/"), {}
-        if store.get_file_info(f"{root}/{MANIFEST}").type == fs.FileType.File:
-            with store.open_input_stream(f"{root}/{MANIFEST}") as f:
-                found = json.loads(f.read())
-        else:
-            found = {x.base_name: [0] for x in store.get_file_info(fs.FileSelector(root)) if x.is_file and x.base_name.endswith((".warc", ".warc.gz"))}
+        names = [x.base_name for x in store.get_file_info(fs.FileSelector(root)) if x.is_file]
+        manifests = [n for n in names if n.startswith(MANIFEST)]
+        for name in manifests:
+            with store.open_input_stream(f"{root}/{name}") as f:
+                found |= json.loads(f.read())
+        if not manifests:
+            found = {n: [0] for n in names if n.endswith((".warc", ".warc.gz"))}
         return [Span(f"{base}/{name}", a, b) for name, at in sorted(found.items()) for a, b in zip(at, [*at[1:], -1], strict=True)] or [Span("", 0, 0)]
 
     def read(self, part: Span) -> Iterator[pa.RecordBatch]:
@@ -153,29 +181,44 @@ class WarcReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema, strict=True)], schema=schema)
 
 
-class _Members(io.RawIOBase):
-    """Bytes of a run of gzip members, or of plain bytes, up to a compressed end."""
+class _Bytes:
+    """The records of a run of gzip members, or of plain bytes, up to a compressed end (-1: of the file)."""
+
+    def __init__(self, source, packed: bool, start: int, end: int) -> None:
+        self.source, self.packed, self.end = source, packed, end
+        self._seek(start)
 
-    def __init__(self, source, packed: bool, left: int) -> None:
-        self.source, self.packed, self.left = source, packed, left
-        self.inflate, self.tail, self.buffer = zlib.decompressobj(31), b"", bytearray()
-        self.at = 0
+    def _seek(self, place: int) -> None:
+        self.source.seek(place)
+        self.place, self.tail = place, b""  # `tail` has been read and ends at `place`
+        self.inflate, self.next = None, None
+        self.buffer, self.at = bytearray(), 0
+
+    def _read(self, n: int) -> bytes:
+        n = n if self.end < 0 else min(n, self.end - self.place)
+        got = self.source.read(n) if n > 0 else b""
+        self.place += len(got)
+        return got
 
     def _more(self) -> bool:
+        """Take in some bytes, a bounded number of them inflated."""
+        if self.packed and self.inflate is None:  # a member begins
+            while len(self.tail) < 24 and (got := self._read(1 << 16)):
+                self.tail += got
+            length = member_length(self.tail[:24])
+            self.next = None if length is None else self.place - len(self.tail) + length
+            self.inflate = zlib.decompressobj(31)
+        self.tail = self.tail or self._read(1 << 16)
         if not self.tail:
-            n = 1 << 18 if self.left < 0 else min(1 << 18, self.left)
-            self.tail = self.source.read(n) if n else b""
-            self.left -= len(self.tail) if self.left >= 0 else 0
-            if not self.tail:
-                return False
-        if self.packed:
-            self.buffer += self.inflate.decompress(self.tail)
-            self.tail = self.inflate.unused_data
-            if self.inflate.eof:
-                self.inflate = zlib.decompressobj(31)
-        else:
+            return False
+        if not self.packed:
             self.buffer += self.tail
             self.tail = b""
+            return True
+        self.buffer += self.inflate.decompress(self.tail, 1 << 16)
+        self.tail = self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail
+        if self.inflate.eof:
+            self.inflate = None
         return True
 
     def until(self, mark: bytes) -> bytes | None:
@@ -186,37 +229,55 @@ class _Members(io.RawIOBase):
         self.at = k + len(mark)
         return out
 
-    def take(self, n: int, keep: bool) -> bytes | None:
+    def take(self, n: int) -> bytes:
         while len(self.buffer) - self.at < n and self._more():
             pass
-        out = bytes(self.buffer[self.at : self.at + n]) if keep else None
+        out = bytes(self.buffer[self.at : self.at + n])
         self.at += n
-        if self.at > 1 << 20:
+        self._trim()
+        return out
+
+    def skip(self, n: int) -> None:
+        """Pass a payload by: where a member tells its length or bytes are plain, without reading it, else without keeping it."""
+        left = n - (len(self.buffer) - self.at)
+        if self.packed and self.inflate is not None and self.next is not None and left > 0:
+            self._seek(self.next)  # a record is a member, so its end goes too
+        elif not self.packed and left > 0:
+            self._seek(self.place - len(self.tail) + left)
+        else:
+            while left > 0:
+                self.at = len(self.buffer)
+                self._trim(0)
+                if not self._more():
+                    return
+                left -= len(self.buffer)
+            self.at = len(self.buffer) + left
+
+    def _trim(self, most: int = 1 << 20) -> None:
+        if self.at > most:
             del self.buffer[: self.at]
             self.at = 0
-        return out
 
 
 def records(part: Span) -> Iterator[tuple[dict[str, str], callable]]:
     """Headers of each record and a function that takes its payload (None if it is not wanted)."""
     store, path = file_system(part.path)
-    packed = path.endswith(".gz")
     with store.open_input_file(path) as f:
-        f.seek(part.start)
-        data = _Members(f, packed, part.end - part.start if part.end >= 0 else -1)
+        data = _Bytes(f, path.endswith(".gz"), part.start, part.end)
         while (head := data.until(b"\r\n\r\n")) is not None:
+            if not head.strip():  # what parts records
+                continue
             found = headers(head.lstrip(b"\r\n"))
             length = found.get("content-length", "0")
             n, taken = int(length) if length.isdigit() else 0, []
 
             def payload(keep: bool, n: int = n, taken: list = taken) -> bytes | None:
                 taken.append(True)
-                return data.take(n, keep)
+                return data.take(n) if keep else data.skip(n)
 
             yield found, payload
             if not taken:
-                data.take(n, False)
-            data.take(4, False)
+                data.skip(n)
 
 
 class WarcSource(DataSource):
@@ -260,14 +321,15 @@ def write_pages(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col
 
     The others become revisit records, without a payload, that refer to it. Null html is an empty
     payload; a null url leaves the header out. A row without an id, and each further row of one id,
-    is a response of its own. Only the digests are grouped; html is never collected. Other columns
-    are ignored.
+    is a response of its own. Only digests are grouped, and those that repeat are sent to where the
+    pages are read, up to SENT_DIGESTS of them; html is never collected. Other columns are ignored.
     """
     register(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha", digest(F.col("payload"))).withColumn("bytes", F.length("payload").cast("long"))
     groups = rows.filter(F.col("id").isNotNull() & (F.col("bytes") >= least_bytes)).groupBy("sha").agg(F.max("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("sha", "first")
-    rows = rows.join(groups, "sha", "left")
+    groups = stored(groups, "digests")
+    rows = rows.join(F.broadcast(groups) if groups.count() <= SENT_DIGESTS else groups, "sha", "left")
     again = (F.col("first").isNotNull() & (F.col("bytes") >= least_bytes) & (F.col("id") < F.col("first"))).alias("again")
     rows = rows.withColumn("again", F.coalesce(again, F.lit(False)))
 
@@ -310,8 +372,6 @@ def read_pages(spark: SparkSession, path: str, *, id_type: str = "bigint") -> Da
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from siltlog.llm.shared import shared_path
-
     path = shared_path(spark, "warc")
     write_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     return read_pages(spark, path).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")

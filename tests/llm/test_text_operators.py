@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 import math
 import re
@@ -314,7 +315,7 @@ def test_warc_spans_and_foreign_files(tmp_path):
     warc.SPLIT, old = 500, warc.SPLIT
     try:
         writer = warc.WarcWriter(str(tmp_path / "out"), ["record_id", "payload"])
-        writer.commit([writer.write(iter([(f"<r{k}>", b"z" * k) for k in range(60)]))])
+        writer.commit([writer.write(iter(pa.table({"record_id": [f"<r{k}>" for k in range(60)], "payload": [b"z" * k for k in range(60)]}).to_batches(25)))])
         reader = warc.WarcReader(str(tmp_path / "out"), ["record_id", "payload"])
         assert len(reader.partitions()) > 5
         assert [r["record_id"] for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()] == [f"<r{k}>" for k in range(60)]
@@ -322,6 +323,52 @@ def test_warc_spans_and_foreign_files(tmp_path):
         warc.SPLIT = old
 
 
+def test_warc_appends_add_up(spark, tmp_path):
+    path = f"file://{tmp_path}/w"
+    one = spark.createDataFrame([(1, "u", "x"), (2, "u", "x"), (None, "u", "x"), (2, "v", "x"), (None, None, None), (3, "u", "x" * 100_000)], "page_id long, url string, html string")
+    warc.write_pages(one, path)
+    warc.write_pages(one.filter("page_id = 3").withColumn("page_id", F.lit(9).cast("long")), path)
+    got = sorted(((r["id"] or 0, r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.read_pages(spark, path).collect()), key=str)
+    assert got == sorted([(1, "revisit", 2, 1), (2, "response", None, 1), (2, "response", None, 1), (0, "response", None, 1), (0, "response", None, 0), (3, "response", None, 100_000), (9, "response", None, 100_000)], key=str)
+    writer = warc.WarcWriter(str(tmp_path / "w"), ["payload"])
+    writer.write(iter([]))
+    before = len(list((tmp_path / "w").iterdir()))
+    writer.abort([None])  # the task's message was lost
+    assert len(list((tmp_path / "w").iterdir())) == before - 1
+
+
+def test_warc_passes_unwanted_payloads_by(tmp_path):
+    rng = np.random.default_rng(1)
+    noise = [rng.integers(0, 256, 300_000, np.uint8).tobytes() for _ in range(4)]
+    made = [warc.record({"record_id": f"<r{k}>", "record_type": "response" if k != 2 else "other", "payload": p}) for k, p in enumerate(noise)]
+
+    def read(path, *fields):
+        reader = warc.WarcReader(str(path), ["record_id", *fields])
+        assert not list(reader.pushFilters([warc.EqualTo(("record_type",), "response")]))
+        return [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+
+    packed, plain, foreign = (tmp_path / n for n in ("a.warc.gz", "b.warc", "c.warc.gz"))
+    packed.write_bytes(b"".join(map(warc.member, made)))
+    plain.write_bytes(b"".join(made))
+    foreign.write_bytes(b"".join(map(gzip.compress, made)))
+    assert gzip.decompress(packed.read_bytes()) == b"".join(made)
+    for path in (packed, plain, foreign):
+        assert [r["record_id"] for r in read(path)] == ["<r0>", "<r1>", "<r3>"]
+        assert [r["payload"] for r in read(path, "payload")] == [noise[0], noise[1], noise[3]]
+    whole = bytearray(packed.read_bytes())
+    ends = np.cumsum([len(warc.member(m)) for m in made])
+    whole[ends[2] - 50_000 : ends[2] - 40_000] = bytes(10_000)  # an unwanted payload that cannot be inflated
+    packed.write_bytes(whole)
+    assert [r["payload"] for r in read(packed, "payload")] == [noise[0], noise[1], noise[3]]
+    held = []
+    source = warc._Bytes(open(foreign, "rb"), True, 0, -1)
+    while (head := source.until(b"\r\n\r\n")) is not None:
+        if head.strip():
+            source.skip(300_000)
+            held.append(len(source.buffer))
+    assert len(held) == 4 and max(held) < 200_000  # inflated, but not kept
+
+
 def test_class_model(spark, sf):
     docs = [(r["doc_id"], [*WORD.findall((r["text"] or "").translate(LOW)), "\n"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     held = {k for k, _ in docs if zlib.crc32(str(k).encode()) % 7 == 2}
