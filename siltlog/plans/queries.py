@@ -15,7 +15,7 @@ from siltlog.operators.validate import batch_report, split_batch
 from siltlog.schema import prepare
 from siltlog.sources.adapters import document_logs, events_logs, lineitem_logs
 from siltlog.sources.generate import generate_logs
-from siltlog.sources.table import LogTable, expired_days, list_partitions, route_partition
+from siltlog.sources.table import LogTable, expired, list_partitions, route_partition
 from siltlog.specs import AggregateSpec, LogFilter, Position, SearchSpec
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,7 +76,6 @@ def _rows(name: str, where: str, spec: LogFilter) -> None:
 
 _rows("api_projection", "TRUE", LogFilter())
 _rows("message_search", "contains(lower(message), lower('PURCHASE by'))", LogFilter(q="PURCHASE by"))
-_rows("message_search_literal", "contains(lower(message), 'user 1%') OR contains(lower(message), '_')", LogFilter(q="_"))
 _rows("attr_number", "k = 42", LogFilter(attributes=(("k", "42.0"),)))
 _rows("attr_text", "type = 'error'", LogFilter(attributes=(("type", "error"),)))
 _rows("attr_boolean", "even", LogFilter(attributes=(("even", "true"),)))
@@ -89,6 +88,12 @@ def _message_search_documents(spark: SparkSession, d: str) -> DataFrame:
     return document_logs(spark, d).filter(filters.message_contains("THE of")).select("id", "service")
 
 
+@query("message_search_literal", "SELECT doc_id AS id, source AS service FROM documents WHERE contains(lower(text), 'e%%% ') OR contains(lower(text), '_')")
+def _message_search_literal(spark: SparkSession, d: str) -> DataFrame:
+    """Per cent signs and underscores stand for themselves."""
+    return document_logs(spark, d).filter(filters.message_contains("E%%% ") | filters.message_contains("_")).select("id", "service")
+
+
 def _page(spec: SearchSpec, where: str) -> tuple[Query, str]:
     sql = f"WITH {EVENTS} SELECT CAST(id AS VARCHAR) AS id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS timestamp, level, service, message FROM ev WHERE {where} ORDER BY ts DESC, ev.id DESC LIMIT {spec.limit}"
     return lambda spark, d: search.api_projection(search.search_page(events_logs(spark, d), spec)).drop("attributes"), sql
@@ -99,6 +104,18 @@ query("search_page", _sql)(_find)
 _find, _sql = _page(SearchSpec(LogFilter(service="svc-2"), 50, Position(UNTIL, 5_000)), f"service = 'svc-2' AND ({MS} < {UNTIL} OR ({MS} = {UNTIL} AND id < 5000))")
 query("search_page_after", _sql)(_find)
 
+@query("page_walk", f"WITH {EVENTS} SELECT CAST(id AS VARCHAR) AS id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS timestamp, level, service, message FROM ev WHERE level = 'info' ORDER BY ts DESC, ev.id DESC LIMIT 50 OFFSET 100")
+def _page_walk(spark: SparkSession, d: str) -> DataFrame:
+    """The third page, reached from the position that each page before it ends with."""
+    logs, spec = events_logs(spark, d), SearchSpec(LogFilter(level="info"), 50)
+    for _ in range(2):
+        _, position = search.next_position(logs, spec)
+        if position is None:
+            return search.api_projection(logs.limit(0)).drop("attributes")
+        spec = search.following(spec, position)
+    return search.api_projection(search.search_page(logs, spec)).drop("attributes")
+
+
 _ROLLUP = "SELECT strftime(time_bucket(INTERVAL '1 minute', ts, TIMESTAMP '2000-01-01'), '%Y-%m-%dT%H:%M:%SZ') AS bucket, service, level, count(*) AS count FROM {} GROUP BY 1, 2, 3"
 
 
@@ -176,10 +193,8 @@ def _list_partitions(spark: SparkSession, d: str) -> DataFrame:
 @query("expired_days", f"WITH {EVENTS} SELECT DISTINCT CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM ev WHERE CAST(ts AS DATE) + 1 <= DATE '2024-01-18'")
 def _expired_days(spark: SparkSession, d: str) -> DataFrame:
     """The days of the events, one row each, tested as retention tests partition folders."""
-    days = [r[0] for r in route_partition(events_logs(spark, d), TODAY).select("day").distinct().collect()]
-    return spark.createDataFrame([(str(x),) for x in expired_days(days, TODAY, 10)], "day string")
-
-
+    days = route_partition(events_logs(spark, d), TODAY).select("day").distinct()
+    return days.filter(expired(F.col("day"), TODAY, 10)).select(F.col("day").cast("string").alias("day"))
 
 
 @query(
@@ -297,6 +312,22 @@ def _validated_records(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("user_id", (F.col("index") + F.col("before")).alias("index"), F.unix_millis("ts").alias("ms"), (F.col("event_id") % 9).alias("kind"))
 
 
+@query(
+    "typed_attributes",
+    """SELECT event_id, epoch_ms(date_trunc('millisecond', ts)) AS ms, 'number' AS n_kind, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS n, 'string' AS t_kind, event_type AS t,
+      'boolean' AS b_kind, user_id % 2 = 0 AS b, CASE WHEN event_id % 3 = 0 THEN 4 ELSE 3 END AS size FROM events""",
+)
+def _typed_attributes(spark: SparkSession, d: str) -> DataFrame:
+    """An envelope for each event; every third entry has one attribute more, a text that looks like a number."""
+    e = spark.read.parquet(f"{d}/events.parquet").withColumn("time", millis_text(F.col("ts").cast("timestamp")))
+    body = F.expr("""concat('{"logs": [{"timestamp": "', time, '", "level": "info", "service": "s", "message": "m", "attributes": {"n": ', get_json_object(props, '$.k'), ', "t": "', event_type,
+      '", "b": ', cast(user_id % 2 = 0 as string), if(event_id % 3 = 0, ', "x": "1"', ''), '}}]}')""")
+    rows = split_batch(e.select("event_id", body.alias("body")), 1_900_000_000_000).accepted()
+    held = F.col("attributes")
+    parts = [c for k, part in (("n", "num"), ("t", "str"), ("b", "bool")) for c in (held[k]["kind"].alias(f"{k}_kind"), held[k][part].alias(k))]
+    return rows.select("event_id", F.unix_millis("ts").alias("ms"), *parts, F.size(held).alias("size"))
+
+
 @query("day_floor", f"WITH {LINES} SELECT CAST(epoch_ms(date_trunc('month', ts)) AS BIGINT) AS month_ms, count(*) AS count, sum(CASE WHEN epoch_ms(ts) % 86400000 = 0 THEN 1 ELSE 0 END) AS midnight FROM li GROUP BY 1")
 def _day_floor(spark: SparkSession, d: str) -> DataFrame:
     rows = lineitem_logs(spark, d)
@@ -327,6 +358,39 @@ def _table_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return _stored(_table(spark, d))
 
 
+_TABLES: dict[tuple[str, str], LogTable] = {}
+
+
+@query("aggregate_stored", f"""WITH {EVENTS} SELECT {START.format('1 hour')} AS start, service AS "group", count(*) AS count FROM ev WHERE {MS} >= {SINCE + 30_500} AND {MS} < {UNTIL} GROUP BY 1, 2""")
+def _aggregate_stored(spark: SparkSession, d: str) -> DataFrame:
+    """Whole minutes from the table's own rollup, cut ones from its rows; the table is written once for a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _TABLES:
+        _TABLES[key] = _table(spark, d)
+        _TABLES[key].compact_rollup()
+    table = _TABLES[key]
+    return buckets.aggregate(table.read_logs(), table.read_rollup(), AggregateSpec(LogFilter(SINCE + 30_500, UNTIL), "1h", "service"))
+
+
+@query("table_replayed", f"WITH {EVENTS} SELECT 'managed' AS area, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, level, count(*) AS rows FROM ev GROUP BY 1, 2, 3")
+def _table_replayed(spark: SparkSession, d: str) -> DataFrame:
+    """A wider window adopts all days; then both batches come again, and change nothing."""
+    table = _table(spark, d)
+    table.adopt_default(TODAY, 60, 60)
+    for k in range(2):
+        table.append_logs(events_logs(spark, d).filter(F.col("id") % 2 == k), k, TODAY, 10, 2)
+    return _stored(table)
+
+
+@query("rollup_after_purge", f"""WITH {EVENTS} SELECT CASE WHEN CAST(ts AS DATE) BETWEEN DATE '2024-01-20' AND DATE '2024-02-01' THEN 'managed' ELSE 'default' END AS area,
+  CAST(CAST(ts AS DATE) AS VARCHAR) AS day, level, count(*) AS rows FROM ev WHERE CAST(ts AS DATE) NOT IN (DATE '2024-01-18', DATE '2024-01-19') GROUP BY 1, 2, 3""")
+def _rollup_after_purge(spark: SparkSession, d: str) -> DataFrame:
+    """The counts that are left after maintenance two days later."""
+    table = _table(spark, d)
+    table.maintain(date(2024, 1, 30), 10, 2)
+    return table.read_rollup().groupBy("area", F.col("day").cast("string").alias("day"), "level").agg(F.sum("count").alias("rows"))
+
+
 @query("table_compacted_rollup", f"WITH {EVENTS} {_ROLLUP.format('ev')}")
 def _table_compacted_rollup(spark: SparkSession, d: str) -> DataFrame:
     table = _table(spark, d)
@@ -342,6 +406,18 @@ def _table_after_maintenance(spark: SparkSession, d: str) -> DataFrame:
     return _stored(table)
 
 
+@query("read_envelopes", "SELECT count(*) FILTER (WHERE event_id % 9 IN (0, 8)) AS rows, count(*) FILTER (WHERE event_id % 9 NOT IN (0, 8)) AS rejected FROM events WHERE user_id % 10 NOT IN (1, 2, 3, 4)")
+def _read_envelopes(spark: SparkSession, d: str) -> DataFrame:
+    """The envelopes of the events as text files, read in one go; lines are told apart by file and number."""
+    from siltlog.sources.envelopes import read_envelopes
+    from siltlog.sources.scratch import scratch_path
+
+    source = scratch_path(spark, "envelopes")
+    _envelopes(spark, d).select("body").write.text(source)
+    report = batch_report(split_batch(read_envelopes(spark, source).select(F.struct("file", "line").alias("envelope"), "body"), 1_900_000_000_000), "envelope")
+    return report.agg(F.sum("accepted").alias("rows"), F.sum(F.size("rejected").cast("long")).alias("rejected"))
+
+
 @query("stream_ingest", "SELECT count(*) FILTER (WHERE event_id % 9 IN (0, 8)) AS rows, count(*) FILTER (WHERE event_id % 9 NOT IN (0, 8)) AS rejected FROM events WHERE user_id % 10 NOT IN (1, 2, 3, 4)")
 def _stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """The envelopes of the events as text files, taken in by a stream, and the sums of its metrics."""

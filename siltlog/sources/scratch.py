@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under `spark.checkpoint.dir`; where that is unset (one machine), under a temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh path under `spark.checkpoint.dir`; where that is unset a temporary folder is set, on one machine only."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -4,6 +4,8 @@
     root/rollup/area=/day=/batch_id=    partial counts
     root/_batches/<batch_id>.json       written last: readers see the batches listed here
 
+A batch of counts alone, with a negative id, folds those of the batches that its commit file lists.
+
 Folders and commit files are reached through Hadoop's FileSystem, so any store that Spark writes
 to will do. Loops on the driver go over folders and batches, never over rows.
 """
@@ -22,6 +24,10 @@ from siltlog.operators.rollup import build_rollup
 from siltlog.schema import LOGS, ROLLUP
 
 
+#: Rows in a file at most, and batches that a reader lists in its filter at most; beyond that they are joined.
+FILE_ROWS, LISTED = 5_000_000, 1000
+
+
 def day_of(ts: Column) -> Column:
     """UTC date of a time."""
     return F.date_add(F.lit("1970-01-01").cast("date"), (floor_millis(ts, 86_400_000) / 86_400_000).cast("int"))
@@ -89,20 +95,32 @@ class LogTable:
 
     # reading
 
+    def _committed(self) -> list[int]:
+        return [int(n.removesuffix(".json")) for n in self.files.names("_batches") if n.endswith(".json")]
+
     def batches(self) -> list[int]:
-        """Committed batches, without those that a later one replaces."""
-        names = [int(n.removesuffix(".json")) for n in self.files.names("_batches") if n.endswith(".json")]
-        gone: set[int] = set()
-        for n in names:
-            if n < 0:  # compactions list what they replace
-                gone |= set(self.files.read(f"_batches/{n}.json")["replaces"])
-        return sorted(set(names) - gone)
+        """Committed batches of rows."""
+        return sorted(n for n in self._committed() if n >= 0)
+
+    def _folded(self) -> tuple[int, set[int]]:
+        """The newest batch of folded counts (0: none), which lists all that it and those before it replace."""
+        newest = min([0, *self._committed()])
+        return newest, set(self.files.read(f"_batches/{newest}.json")["replaces"]) if newest else set()
+
+    def _visible(self, kind: str) -> list[int]:
+        if kind == "logs":
+            return self.batches()
+        newest, gone = self._folded()
+        return sorted({*self.batches(), *([newest] if newest else [])} - gone)
 
     def _read(self, kind: str, schema) -> DataFrame:
         if not self.files.exists(kind):
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).parquet(f"{self.root}/{kind}")
-        return rows.filter(F.col("batch_id").isin(self.batches()))
+        rows, seen = self.spark.read.schema(schema).parquet(f"{self.root}/{kind}"), self._visible(kind)
+        if len(seen) <= LISTED:  # prunes folders when the query is planned
+            return rows.filter(F.col("batch_id").isin(seen))
+        listed = self.spark.createDataFrame([(n,) for n in seen], "batch_id long")
+        return rows.join(F.broadcast(listed), "batch_id", "left_semi").select(*schema.fieldNames())
 
     def read_logs(self) -> DataFrame:
         """All rows, managed and default; filters on `day` prune files."""
@@ -114,42 +132,44 @@ class LogTable:
 
     # writing
 
-    def append_logs(self, rows: DataFrame, batch_id: int, today: date, retention: int = 30, ahead: int = 2, files_per_day: int = 8, metrics: dict | None = None) -> None:
-        """Rows and their partial counts, seen together once the commit file is there; a replay overwrites itself.
+    def append_logs(self, rows: DataFrame, batch_id: int, today: date, retention: int = 30, ahead: int = 2, metrics: dict | None = None) -> bool:
+        """Rows and their partial counts, seen together once the commit file is there.
 
-        `rows` are records with ids; they should be written or cached, as they are read twice. A live
-        day is dealt over `files_per_day` files.
+        A batch that is committed stays as it is and False comes back: its rows may have been adopted or
+        folded since. One that failed half-way overwrites what it left. `rows` are records with ids; they
+        should be written or cached, as they are read twice. Spark sizes the files of a day by bytes:
+        small days share a task, large ones are split.
         """
+        if self.files.exists(f"_batches/{batch_id}.json"):
+            return False
         routed = route_partition(rows, today, retention, ahead).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        salt = F.pmod("id", F.lit(files_per_day))
-        self._put(routed.repartition("area", "day", salt).sortWithinPartitions("area", "day", "ts", "id"), "logs", LOGS)
+        self._put(routed.hint("rebalance", "area", "day").sortWithinPartitions("area", "day", "ts", "id"), "logs", LOGS)
         counts = build_rollup(routed, "area", "day").withColumn("batch_id", F.lit(batch_id).cast("long"))
-        self._put(counts, "rollup", ROLLUP)
+        self._put(counts.hint("rebalance", "area", "day"), "rollup", ROLLUP)
         self.files.write(f"_batches/{batch_id}.json", metrics or {})
+        return True
 
     def _put(self, rows: DataFrame, kind: str, schema) -> None:
-        rows.select(*schema.fieldNames()).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("area", "day", "batch_id").parquet(f"{self.root}/{kind}")
+        made = rows.select(*schema.fieldNames()).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        made.option("maxRecordsPerFile", FILE_ROWS).partitionBy("area", "day", "batch_id").parquet(f"{self.root}/{kind}")
 
     def compact_rollup(self) -> int:
-        """Fold the partial counts of all committed batches into one batch of its own, for rollup and rows alike.
+        """Fold the partial counts of all committed batches, day by day, into one batch of counts; rows stay as they are.
 
         The new batch has a negative number and lists those it replaces; with its commit file it takes
-        their place at once, and their folders are deleted afterwards.
+        their place at once. Folders replaced by an earlier compaction are deleted then: readers that
+        began before this one keep theirs.
         """
-        old = self.batches()
+        old, (newest, gone) = self._visible("rollup"), self._folded()
         if len(old) < 2:
             return 0
-        new = min([0, *old]) - 1
-        rows = self.read_logs().withColumn("batch_id", F.lit(new).cast("long"))
-        self._put(rows.repartition("area", "day", F.pmod("id", F.lit(8))).sortWithinPartitions("area", "day", "ts", "id"), "logs", LOGS)
+        new = newest - 1
         counts = self.read_rollup().groupBy("area", "day", "bucket", "service", "level").agg(F.sum("count").alias("count"))
-        self._put(counts.withColumn("batch_id", F.lit(new).cast("long")), "rollup", ROLLUP)
-        earlier = {m for n in old if n < 0 for m in self.files.read(f"_batches/{n}.json")["replaces"]}
-        self.files.write(f"_batches/{new}.json", {"replaces": sorted({*old, *earlier})})
-        for kind in ("logs", "rollup"):
-            for folder in self._folders(kind):
-                for n in old:
-                    self.files.delete(f"{kind}/{folder}/batch_id={n}")
+        self._put(counts.withColumn("batch_id", F.lit(new).cast("long")).hint("rebalance", "area", "day"), "rollup", ROLLUP)
+        self.files.write(f"_batches/{new}.json", {"replaces": sorted({*old, *gone})})
+        for folder in self._folders("rollup") if gone else ():
+            for n in gone:
+                self.files.delete(f"rollup/{folder}/batch_id={n}")
         return len(old)
 
     # maintenance
@@ -208,6 +228,11 @@ def expired_days(days: Iterable[date], today: date, retention: int) -> list[date
     return sorted(d for d in days if d + timedelta(days=1) <= cutoff)
 
 
+def expired(day: Column, today: date, retention: int) -> Column:
+    """The same test on a column."""
+    return F.date_add(day, 1) <= F.lit(today - timedelta(days=retention))
+
+
 def list_partitions(logs: DataFrame) -> DataFrame:
     return logs.groupBy("area", F.col("day").cast("string").alias("day")).agg(F.count("*").alias("rows"))
 

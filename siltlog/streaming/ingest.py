@@ -21,8 +21,11 @@ def ingest_batch(table: LogTable, envelopes: DataFrame, batch_id: int, now_ms: i
     """Validate one micro-batch and write its rows and counts; done again, it gives the same table.
 
     The batch's time is saved before any data is, and read back by a replay, so that ids, rejects and
-    partitions come out the same. Returns the batch's metrics, which its commit file holds too.
+    partitions come out the same; a batch that is committed is left alone. Returns the batch's metrics,
+    which its commit file holds too.
     """
+    if (done := table.files.read(f"_batches/{batch_id}.json")) is not None:
+        return done
     plan = table.files.read(f"_plans/{batch_id}.json")
     if plan is None:
         last = max([p["last_id"] for n in table.files.names("_ends") if (p := table.files.read(f"_ends/{n}"))], default=None)

@@ -27,8 +27,7 @@ def table(spark, tmp_path):
 def test_round_trip_and_replay(spark, table):
     text = "tab\tline\nback\\slash\rquote\"' é漢😀"
     rows = frame(spark, [(datetime(1995, 3, 4, 5, 6, 7, 8000, tzinfo=UTC), "info", "a\tb", text, attrs(count=0, ratio=-1.5, on=True, off=False)), (at(0), "warn", "s", "m", {})])
-    for _ in range(2):
-        table.append_logs(rows, 3, TODAY)
+    assert table.append_logs(rows, 3, TODAY) and not table.append_logs(rows, 3, TODAY)
     back = {r["id"]: r for r in table.read_logs().collect()}
     assert len(back) == 2 and back[1]["message"] == text and back[1]["area"] == "default" and back[2]["area"] == "managed"
     assert back[1]["attributes"]["ratio"]["num"] == -1.5 and back[1]["attributes"]["off"]["bool"] is False
@@ -65,6 +64,35 @@ def test_maintenance(spark, table):
     assert expired_days([TODAY - timedelta(days=30), TODAY - timedelta(days=31)], TODAY, 30) == [TODAY - timedelta(days=31)]
 
 
+def test_replay_after_adoption(spark, tmp_path, table):
+    (tmp_path / "one.json").write_text(json.dumps({"logs": [entry(k) for k in range(3)]}))
+    envelopes = read_envelopes(spark, f"file://{tmp_path}/one.json")
+    now = int(at(-60).timestamp() * 1000)  # the rows are 60 days ahead of the clock: default area
+    first = ingest_batch(table, envelopes.filter("false"), 0, now)
+    assert first["rows"] == 0
+    table.append_logs(frame(spark, [(at(0), "info", "s", "m", {})] * 3), 1, TODAY - timedelta(days=60))
+    assert table.adopt_default(TODAY) == [TODAY]
+    assert not table.append_logs(frame(spark, [(at(0), "info", "s", "m", {})] * 3), 1, TODAY - timedelta(days=60))
+    assert ingest_batch(table, envelopes, 1, now) == {} and table.read_logs().count() == 3
+    assert merge_rollup(table.read_rollup()).first()["count"] == 3
+
+
+def test_many_batches_are_joined(spark, table, monkeypatch):
+    from siltlog.sources import table as module
+
+    monkeypatch.setattr(module, "LISTED", 1)
+    test_compaction(spark, table)
+
+
+def test_files_follow_rows(spark, table, monkeypatch):
+    from siltlog.sources import table as module
+
+    monkeypatch.setattr(module, "FILE_ROWS", 40)
+    table.append_logs(frame(spark, [(at(-(k % 2)), "info", "s", "m", {}) for k in range(200)]), 0, TODAY)
+    files = [table.files.names(f"logs/area=managed/day={TODAY - timedelta(days=k)}/batch_id=0") for k in (0, 1)]
+    assert [len(f) for f in files] == [3, 3] and table.read_logs().count() == 200
+
+
 def test_ids(spark):
     rows = spark.range(0, 1000, 1, 7)
     got = sorted(r["id"] for r in assign_ids(rows.withColumnRenamed("id", "n"), 5).collect())
