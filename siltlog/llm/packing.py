@@ -162,6 +162,8 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
                 out.add(doc, np.append(tokens, np.uint32(end_id)).astype("<u4"))
                 if out.bytes > 4_000_000:
                     yield out.take()
+            del batch
+            pa.default_memory_pool().release_unused()
         if out:
             out.close()
             if out.rows:

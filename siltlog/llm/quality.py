@@ -190,7 +190,9 @@ def classify(docs: DataFrame, model: Model, *, text_col: str = "text", host_col:
 
     @F.arrow_udf("double")
     def scored(text: pa.Array) -> pa.Array:
-        return pa.array(model.probability(text))
+        found = pa.array(model.probability(text))
+        pa.default_memory_pool().release_unused()
+        return found
 
     row = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`") for c in names])
     rows = docs.select(row.alias("row"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), scored(text_col).alias("doc_score"))

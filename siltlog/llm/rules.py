@@ -53,8 +53,12 @@ def measured(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     All counts are of the whole text; null counts as a text without words. A window is compared by a
     64-bit hash within its own text.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
+    return _measured(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), window)
+
+
+def _measured(rows: DataFrame, window: int = 5) -> DataFrame:
+    """The same for (id, text), where an id may be anything that goes with a text."""
+    rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
     bare = F.trim("text", F.lit(BLANKS))
     words = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[ \t-\r]+"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x, F.lit(BLANKS)) != "")
@@ -118,6 +122,13 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", th
     return rows.withColumn("failed", failures(thresholds)).withColumn("kept", F.size("failed") == 0).withColumnRenamed("id", id_col)
 
 
+def passing(docs: DataFrame, *, text_col: str = "text", thresholds: tuple[Rule, ...] = THRESHOLDS) -> DataFrame:
+    """The rows of `docs` that no rule fails, in one pass; rows are judged one by one."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = _measured(docs.select(whole.alias("id"), F.col(text_col).alias("text")))
+    return rows.filter(F.size(failures(thresholds)) == 0).select(*[F.col(f"id.`{c}`").alias(c) for c in docs.columns])
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))

@@ -1,8 +1,18 @@
+import math
+import re
+import zlib
+from collections import Counter
+
 import corpus_pipeline
+import public_tokenizers
+import pyarrow as pa
 import pytest
-from conftest import rows_of
+from test_packing import whole
+from test_text_operators import brute
+from tokenizers import Tokenizer
 
-from siltlog.llm import packing, registry
+from siltlog.llm import quality
+from siltlog.llm.rules import STOP_WORDS
 
 
 @pytest.fixture(scope="module")
@@ -24,19 +34,93 @@ def test_stages_keep_columns_and_clean_documents(spark, sf, stages):
     assert first[2].join(clean, "doc_id").count() >= 0.98 * clean.count() and first[2].count() < first[1].count()
 
 
-def test_each_stage_follows_its_operator(spark, stages):
-    by = {n: (b, a) for n, b, a in stages}
-    before, after = by["quality rules"]
-    judged = registry.rules.judge(before)
-    assert {r[0] for r in after.select("doc_id").collect()} == {r[0] for r in judged.filter("kept").select("doc_id").collect()}
-    before, after = by["MinHash near-dedup"]
-    kept = registry.neardup.near_duplicates(before).filter("kept")
-    assert {r[0] for r in after.select("doc_id").collect()} == {r[0] for r in kept.select("doc_id").collect()}
-    before, after = by["packing"]
-    import public_tokenizers
+BLANKS = " \t\n\x0b\f\r"
+
+
+def held(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+
+
+def test_rules_by_hand(stages):
+    before, after = next((b, a) for n, b, a in stages if n == "quality rules")
+
+    def passes(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        windows = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        hit = {p for i in range(len(w) - 4) if windows[tuple(w[i : i + 5])] > 1 for p in range(i, i + 5)}
+        lines = [x for x in (text or "").split("\n") if x.strip(BLANKS)]
+        n, size = len(w), sum(map(len, w))
+        stops = sum(x in STOP_WORDS for x in w)
+        bad = n < 10 or 100 * len(hit) > 20 * n or 100 * len(re.findall(r"[#*$%&|<>]", text)) > 10 * n or size < 2 * n or (n >= 20 and size > 12 * n)
+        return not (bad or (n >= 50 and 100 * stops < 3 * n) or (len(lines) > 0 and 100 * (len(lines) - len(set(lines))) > 50 * len(lines)))
+
+    assert held(after) == sorted(((k, t) for k, t in held(before) if passes(t)), key=str) and after.count() < before.count()
+
+
+def test_classifier_by_hand(spark, sf, stages):
+    """The decisions again from the model's document scores, with posteriors in plain Python."""
+    _, before, after = stages[0]
+    model = quality.fit(before, spark.read.parquet(f"{sf}/labels.parquet"))
+    rows = before.collect()
+    scores = model.probability(pa.array([r["text"] for r in rows], pa.string()))
+
+    def groups(keys):
+        out = {}
+        for k, s in zip(keys, scores, strict=True):
+            n, t = out.get(k, (0, 0.0))
+            out[k] = n + 1, t + s
+        return out
 
-    again = packing.pack(before, public_tokenizers.path("word_bpe_49k.json"))
-    assert rows_of(after.drop("ids").toPandas()) == rows_of(again.drop("ids").toPandas())
+    def weight(of, mean):
+        within, n = mean * (1 - mean), len(rows)
+        spread = (sum(c * (s / c - mean) ** 2 for c, s in of.values()) - (len(of) - 1) * within) / (n - sum(c * c for c, _ in of.values()) / n)
+        return min(max(within / spread - 1, 1), 1e6) if spread > 0 else 1e6
+
+    mean = scores.sum() / len(rows)
+    hosts, paths = groups([r["source"] for r in rows]), groups([(r["source"], r["lang"]) for r in rows])
+    a, b = weight(hosts, mean), weight(paths, mean)
+    want = []
+    for r, s in zip(rows, scores, strict=True):
+        (n, t), (m, u) = hosts[r["source"]], paths[r["source"], r["lang"]]
+        path = (u + b * (t + a * mean) / (n + a)) / (m + b)
+        odds = [math.log(p / (1 - p)) for p in (min(max(x, 1e-6), 1 - 1e-6) for x in (s, path, mean))]
+        if odds[0] + odds[1] - odds[2] >= 0:
+            want.append((r["doc_id"], r["text"]))
+    assert held(after) == sorted(want, key=str)
+
+
+def test_line_dedup_by_hand(stages):
+    before, after = next((b, a) for n, b, a in stages if n == "line dedup")
+    rows = before.collect()
+
+    def key(line):
+        return line.strip(BLANKS).translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+    found = {}
+    for k, r in enumerate(rows):
+        for x in {key(x) for x in (r["text"] or "").split("\n")}:
+            found.setdefault(x, []).append((r["doc_id"], k))
+    gone = {x: max(d for d, _ in at) for x, at in found.items() if len(x) >= 40 and len(at) >= 5}
+    want = []
+    for r in rows:
+        kept = "\n".join(x for x in (r["text"] or "").split("\n") if gone.get(key(x), r["doc_id"]) == r["doc_id"])
+        want.append((r["doc_id"], kept, len(kept)))
+    assert sorted((r["doc_id"], r["text"], r["n_chars"]) for r in after.collect()) == sorted(want)
+
+
+def test_near_dedup_by_hand(stages):
+    before, after = next((b, a) for n, b, a in stages if n == "MinHash near-dedup")
+    component = brute({r["doc_id"]: r["text"] for r in before.collect()})
+    want = [(r["doc_id"], r["text"]) for r in before.collect() if component[r["doc_id"]][1] == r["doc_id"]]
+    assert held(after) == sorted(want, key=str) and after.count() < before.count()
+
+
+def test_packing_by_hand(stages):
+    _, before, after = stages[-1]
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    t.encode_special_tokens = True
+    texts = {r["doc_id"]: r["text"] for r in before.collect()}
+    assert whole([r.asDict() | {"ids_crc32": zlib.crc32(r["ids"])} for r in after.collect()], texts, t) < 0.05
 
 
 def test_null_and_repeated_ids(spark, sf):
@@ -46,9 +130,6 @@ def test_null_and_repeated_ids(spark, sf):
     rows = [(1, plain[1]), (1, bad), (None, bad), (None, plain[2]), (None, plain[2]), (3, plain[3]), (3, plain[3]), (4, plain[4]), (4, plain[5]), (None, plain[3]), (5, ""), (5, ""), (6, "")]
     docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
 
-    def held(df):
-        return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
-
     passed = [(k, t) for k, t in rows if t not in (bad, "")]
     assert held(corpus_pipeline.check_rules(spark, docs, sf)) == sorted(passed, key=str)
     once = [(1, plain[1]), (1, bad), (None, plain[2]), (3, plain[3]), (4, plain[4]), (4, plain[5]), (5, ""), (6, "")]
