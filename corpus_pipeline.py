@@ -1,5 +1,6 @@
 """From raw documents to training sequences: five stages, each written as Parquet and read by the next.
 
+A stage reads its documents more than once and keys rows by their place, so `docs` must be a table.
 The first four return the columns of documents; the last returns the pieces of the packed sequences.
 """
 
@@ -23,14 +24,14 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are judged one by one, also those that repeat an id; a null id only has no label.
     """
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.classify(docs, model).filter("kept").select(*docs.columns)
+    rows = _keyed(docs)
+    judged = quality.classify(rows, model, without=docs.columns)
+    return _without(rows, judged.filter(~F.col("kept")).select(ROW), docs)
 
 
 def check_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass every rule. Rows are judged and dropped one by one, whether ids are null or repeat."""
-    rows = _keyed(docs)
-    failed = stored(rules.judge(rows, id_col=ROW).filter(~F.col("kept")).select(ROW), "rejected")
-    return rows.join(F.broadcast(failed) if failed.count() <= SENT_IDS else failed, ROW, "left_anti").select(*docs.columns)
+    return rules.passing(docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,8 +68,14 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key of each row, written once so that the keys stay the same."""
-    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+    """docs with a key of each row: its place in the stage's table, the same on each reading of it."""
+    return docs.withColumn(ROW, F.monotonically_increasing_id())
+
+
+def _without(rows: DataFrame, gone: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows whose keys are not among `gone`, with the columns of `docs`."""
+    gone = stored(gone, "rejected")
+    return rows.join(F.broadcast(gone) if gone.count() <= SENT_IDS else gone, ROW, "left_anti").select(*docs.columns)
 
 
 STAGES = [
