@@ -19,6 +19,8 @@ from siltlog.llm.blocks import expand, join_bytes, split_bytes, squeeze
 
 #: Text bytes after which a block ends: its ids are put together in one piece of memory.
 BLOCK_BYTES = 12_000_000
+#: Documents in a row: their word numbers are compressed together.
+TOGETHER = 64
 #: Words of a bucket that a task remembers the ids of, before it starts afresh.
 REMEMBERED = 1_000_000
 
@@ -30,12 +32,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def _block_rows(batches: Iterable[pa.RecordBatch], pattern: str, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Document rows (block, id, seq) and vocabulary rows (block, bucket, places, names): a bucket's words and their numbers."""
+    """Rows of documents (block, ids, sizes, seq: word numbers end to end) and of the words of a bucket (block, bucket, places, names)."""
     import regex
 
     find, block, size, numbers = regex.compile(pattern).findall, TaskContext.get().partitionId() << 24, 0, {}
     kind = None
-    names = ["block", "id", "seq", "bucket", "places", "names"]
+    names = ["block", "ids", "sizes", "seq", "bucket", "places", "names"]
 
     def vocabulary() -> pa.RecordBatch:
         held = [w.encode() for w in numbers]
@@ -44,18 +46,21 @@ def _block_rows(batches: Iterable[pa.RecordBatch], pattern: str, buckets: int) -
         used, first = np.unique(of[order], return_index=True)
         parts = np.split(order, first[1:])
         n = len(used)
-        return pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.nulls(n, kind), pa.nulls(n, pa.binary()), pa.array(used, pa.int32()), pa.array([squeeze(np.diff(p, prepend=0)) for p in parts], pa.binary()), pa.array([join_bytes([held[k] for k in p.tolist()]) for p in parts], pa.binary())], names)
+        return pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.nulls(n, pa.list_(kind)), *[pa.nulls(n, pa.binary())] * 2, pa.array(used, pa.int32()), pa.array([squeeze(np.diff(p, prepend=0)) for p in parts], pa.binary()), pa.array([join_bytes([held[k] for k in p.tolist()]) for p in parts], pa.binary())], names)
 
     for batch in batches:
         kind = batch.schema.field(0).type
-        for at, some in words.slices(batch.column(1)):
-            seqs = []
-            for text in some.to_pylist():
-                found = find(text or "")
-                seqs.append(squeeze(np.fromiter((numbers.setdefault(w, len(numbers)) for w in found), np.int64, len(found))))
-                size += len(text or "")
-            n = len(seqs)
-            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), batch.column(0).slice(at, n), pa.array(seqs, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names)
+        for at, texts in words.slices(batch.column(1)):
+            rows: list[tuple] = []
+            for lo in range(0, len(texts), TOGETHER):
+                some = texts.slice(lo, TOGETHER)
+                found = [find(text or "") for text in some.to_pylist()]
+                size += sum(map(len, (w for f in found for w in f)))
+                seq = np.fromiter((numbers.setdefault(w, len(numbers)) for f in found for w in f), np.int64, sum(map(len, found)))
+                ids = batch.column(0).slice(at + lo, len(some)).to_pylist()
+                rows.append((ids, squeeze(np.array([len(f) for f in found], np.int64)), squeeze(seq)))
+            n, columns = len(rows), list(zip(*rows))
+            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(columns[0], pa.list_(kind)), *[pa.array(c, pa.binary()) for c in columns[1:]], pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.binary())] * 2], names)
             if size >= BLOCK_BYTES:
                 yield vocabulary()
                 block, size, numbers = block + 1, 0, {}
@@ -65,8 +70,8 @@ def _block_rows(batches: Iterable[pa.RecordBatch], pattern: str, buckets: int) -
 
 def _vocabulary(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = batch.filter(pc.is_valid(batch.column(3)))
-        yield pa.RecordBatch.from_arrays([rows.column(k) for k in (0, 3, 4, 5)], ["block", "bucket", "places", "names"])
+        rows = batch.filter(pc.is_valid(batch.column(4)))
+        yield pa.RecordBatch.from_arrays([rows.column(k) for k in (0, 4, 5, 6)], ["block", "bucket", "places", "names"])
 
 
 def _encoded(batches: Iterable[pa.RecordBatch], pattern: str, ranks_path: str) -> Iterator[pa.RecordBatch]:
@@ -103,12 +108,13 @@ def _assembled(docs: pa.Table, entries: pa.Table, decoded: bool) -> pa.Table:
     lengths, starts = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
     lengths[places], starts[places] = sizes, np.cumsum(sizes) - sizes
     ids, out, ends = ids.astype(np.int32), [], [0]
-    for seq in docs.column("seq").to_pylist():
+    for sizes, seq in zip(docs.column("sizes").to_pylist(), docs.column("seq").to_pylist(), strict=True):
         at = expand(seq)
         out.append(words.gather(ids, starts[at], lengths[at]))
-        ends.append(ends[-1] + len(out[-1]))
+        before = ends[-1] + np.concatenate([[0], np.cumsum(lengths[at])])
+        ends += before[np.cumsum(expand(sizes))].tolist()
     tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *out])))
-    columns = {"id": docs.column("id"), "tokens": tokens}
+    columns = {"id": pc.list_flatten(docs.column("ids")), "tokens": tokens}
     if decoded:
         known = entries.filter(pc.is_valid(entries.column("token")))
         table = TokenBytes(dict(zip(known.column("token").to_pylist(), known.column("bytes").to_pylist(), strict=True)))
@@ -138,7 +144,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     parts = buckets or max(512, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    blocks = rows.mapInArrow(lambda it: _block_rows(it, pattern, parts), f"block long, id {kind}, seq binary, bucket int, places binary, names binary").repartition("block")
+    blocks = rows.mapInArrow(lambda it: _block_rows(it, pattern, parts), f"block long, ids array<{kind}>, sizes binary, seq binary, bucket int, places binary, names binary").repartition("block")
     entries = blocks.mapInArrow(_vocabulary, "block long, bucket int, places binary, names binary").repartition("bucket").sortWithinPartitions("bucket")
     known = entries.mapInArrow(lambda it: _encoded(it, pattern, ranks_path), "block long, places binary, sizes binary, ids binary, used array<int>")
     none = [F.lit(None).cast("int").alias("token"), F.lit(None).cast("binary").alias("bytes")]
