@@ -36,7 +36,7 @@ def expand(data: bytes) -> np.ndarray:
 def join_bytes(parts: list[bytes]) -> bytes:
     """Byte strings as one, compressed."""
     sizes = squeeze(np.fromiter(map(len, parts), np.int64, len(parts)))
-    return len(sizes).to_bytes(4, "little") + sizes + zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+    return len(sizes).to_bytes(4, "little") + sizes + zstandard.ZstdCompressor(level=6).compress(b"".join(parts))
 
 
 def split_bytes(data: bytes) -> list[bytes]:

@@ -18,7 +18,7 @@ from siltlog.llm import words
 from siltlog.llm.blocks import expand, join_bytes, split_bytes, squeeze
 
 #: Text bytes after which a block ends: its ids are put together in one piece of memory.
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 18_000_000
 #: Documents in a row: their word numbers are compressed together.
 TOGETHER = 64
 #: Words of a bucket that a task remembers the ids of, before it starts afresh.
