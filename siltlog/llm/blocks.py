@@ -8,9 +8,14 @@ block are put together from their sequences.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
+import pyarrow as pa
 import zstandard
 
+from siltlog.llm.words import flat, slices
+
 #: Text bytes after which a block ends, and vocabulary entries in a row.
 BLOCK_BYTES, ENTRIES = 48_000_000, 20_000
 
@@ -44,3 +49,22 @@ def split_bytes(data: bytes) -> list[bytes]:
     sizes = expand(data[4 : 4 + n])
     whole, ends = zstandard.ZstdDecompressor().decompress(data[4 + n :]), np.cumsum(sizes)
     return [whole[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+
+
+def text_blocks(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.Array, ...]]:
+    """The columns of runs of rows; a run ends once its texts, in the last column, have `limit` bytes or more."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def whole() -> tuple[pa.Array, ...]:
+        return tuple(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in pa.Table.from_batches(held).columns)
+
+    for batch in batches:
+        for at, texts in slices(batch.column(batch.num_columns - 1)):
+            held.append(batch.slice(at, len(texts)))
+            size += len(flat(texts)[0])
+            if size >= limit:
+                yield whole()
+                held, size = [], 0
+    if held:
+        yield whole()

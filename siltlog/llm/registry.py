@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltlog.llm import bpe, brown, lines, neardup, packing, quality, rules, urls, vectors, warc
+from siltlog.llm import bpe, brown, lines, neardup, packing, passages, quality, rules, urls, vectors, warc
 
 QUERIES = {
     "op1_pack_sequences": packing.op1_pack_sequences,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_warc": warc.op9_warc,
     "op10_class_lm": brown.op10_class_lm,
+    "op11_rlz_passages": passages.op11_rlz_passages,
 }
 
 ORACLE: dict[str, str] = {
@@ -22,4 +23,5 @@ ORACLE: dict[str, str] = {
     "op4_quality_rules": rules.OP4_SQL,
     "op8_line_dedup": lines.OP8_SQL,
     "op9_warc": warc.OP9_SQL,
+    "op11_rlz_passages": passages.OP11_SQL,
 }

@@ -100,38 +100,42 @@ def parts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int
         lo = hi
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(column: pa.Array, lower: bool = True, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word of all rows, and for each row the number of words before it."""
     data, offsets = flat(column)
     found, rows, n = [np.zeros(0, np.uint64)], np.zeros(len(offsets), np.int64), 0
     for lo, hi, first, end in parts(data, offsets):
         starts, ends, before = spans(data[lo:hi], offsets[first:end] - lo)
-        found.append(hash_spans(data[lo:hi], starts, ends))
+        found.append(hash_spans(data[lo:hi], starts, ends, lower, seed))
         rows[first:end] = n + before
         n += len(starts)
     rows[offsets == len(data)] = n
     return np.concatenate(found), rows
 
 
-def _lanes(data: np.ndarray) -> np.ndarray:
-    """The eight lower-cased bytes from each place on, as a number."""
+def _lanes(data: np.ndarray, lower: bool = True) -> np.ndarray:
+    """The eight bytes from each place on, lower-cased if asked, as a number."""
     low = np.zeros(len(data) + 8, np.uint8)
-    low[:-8] = LOWER[data]
+    low[:-8] = LOWER[data] if lower else data
     return np.ndarray((len(data) + 1,), "<u8", low, 0, (1,))
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Words of up to eight bytes are told apart by their bytes and length, longer ones chain the next eight bytes in."""
-    lanes, sizes = _lanes(data), ends - starts
-    out = mix((lanes[starts] & _MASKS[np.minimum(sizes, 8)]) ^ (sizes.astype(np.uint64) * _LENGTH))
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True, seed: int = 0) -> np.ndarray:
+    """Each word's bytes, eight at a time: every eight are mixed with the seed before they join the chain.
+
+    A job that draws its seed anew cannot be given words that were made to collide.
+    """
+    lanes, sizes, key = _lanes(data, lower), ends - starts, mix(np.array([seed ^ 0x5851F42D4C957F2D], np.uint64))
+    out = mix((lanes[starts] & _MASKS[np.minimum(sizes, 8)]) ^ (sizes.astype(np.uint64) * _LENGTH) ^ key)
     more, k = np.flatnonzero(sizes > 8), 8
     while len(more) and k < _LONG:
         lane = lanes[starts[more] + k] & _MASKS[np.minimum(sizes[more] - k, 8)]
-        out[more] = mix((out[more] * _STEP) ^ lane)
+        out[more] = mix((out[more] * _STEP) ^ mix(lane + key))
         k += 8
         more = more[sizes[more] > k]
     for w in more.tolist():
-        out[w] = xxhash.xxh3_64_intdigest(LOWER[data[starts[w] : ends[w]]].tobytes())
+        word = data[starts[w] : ends[w]]
+        out[w] = xxhash.xxh3_64_intdigest((LOWER[word] if lower else word).tobytes(), seed)
     return out
 
 
@@ -160,17 +164,21 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
 _WEIGHTS = (_RANDOM.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2)) + np.uint64(1)
 
 
+def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each `size` (64 at most) values in a row."""
+    n = max(0, len(hashes) - size + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(size):
+        out += hashes[k : n + k] * _WEIGHTS[k]
+    return mix(out)
+
+
 def shingles(hashes: np.ndarray, rows: np.ndarray, size: int = 5) -> Iterator[np.ndarray]:
     """For each row the sorted distinct hashes of its windows of `size` words.
 
     A row with fewer words has its whole sequence as one window; a row without words has none.
     """
-    n = len(hashes)
-    if n >= size:
-        windows = np.zeros(n - size + 1, np.uint64)
-        for k in range(size):
-            windows += hashes[k : n - size + 1 + k] * _WEIGHTS[k]
-        windows = mix(windows)
+    windows = window_hashes(hashes, size)
     for lo, hi in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
         if hi - lo >= size:
             yield np.unique(windows[lo : hi - size + 1])
