@@ -21,9 +21,10 @@ BLOCK_BYTES, ENTRIES = 48_000_000, 20_000
 
 
 def squeeze(numbers: np.ndarray) -> bytes:
-    """Numbers below 2^32, compressed by planes: first the low bytes, then the higher ones as far as there are any."""
-    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    used = 4 - next((k for k in range(4) if planes[3 - k].any()), 3) if len(numbers) else 0
+    """Numbers from 0 on, compressed by planes: first the low bytes, then the higher ones as far as there are any."""
+    width = 8 if len(numbers) and int(numbers.max()) >> 32 else 4
+    planes = np.ascontiguousarray(numbers.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
+    used = width - next((k for k in range(width) if planes[width - 1 - k].any()), width - 1) if len(numbers) else 0
     return bytes([used]) + zstandard.ZstdCompressor(level=1).compress(planes[:used].tobytes())
 
 

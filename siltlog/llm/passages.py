@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from siltlog.llm import words
 from siltlog.llm.blocks import expand, squeeze, text_blocks
+from siltlog.llm.dictionary import spans_of
 from siltlog.llm.shared import stored
 
 #: Words of an anchor; a window holds at least this many.
@@ -178,7 +179,7 @@ def _compared(rows: pa.Table) -> pa.Table:
     return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "found": pa.array([zstandard.ZstdCompressor(level=1).compress(x.tobytes()) for x in np.split(twice, ends[:-1])], pa.binary())})
 
 
-def _spans(n: int, marks: pa.Table, window: int) -> np.ndarray:
+def _covered(n: int, marks: pa.Table, window: int) -> np.ndarray:
     """Whether each word of a block is covered by a repeated window."""
     row = marks.filter(pc.is_valid(marks.column("starts")))
     starts, lengths, asked, entries = (expand(row.column(c)[0].as_py()) for c in ("starts", "lengths", "asked", "entries"))
@@ -196,15 +197,8 @@ def _cut(blocks: pa.Table, marks: pa.Table, window: int) -> pa.Table:
     """(id, text, n_words, n_removed) of a block's documents."""
     ids, texts = _texts(blocks)
     data, offsets = words.flat(texts)
-    spans, before, n = [], np.zeros(len(offsets), np.int64), 0
-    for lo, hi, first, end in words.parts(data, offsets):
-        s, e, rows = words.spans(data[lo:hi], offsets[first:end] - lo)
-        spans.append((s + lo, e + lo))
-        before[first:end] = n + rows
-        n += len(s)
-    before[offsets == len(data)] = n
-    starts, ends = (np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*spans) if spans else ((), ())))
-    stay = ~_spans(n, marks, window)
+    starts, ends, before = spans_of(data, offsets)
+    stay = ~_covered(len(starts), marks, window)
     kept = np.concatenate([[0], np.cumsum(stay)])[before]
     sizes = np.diff(kept)
     starts, lengths = starts[stay], (ends - starts)[stay] + 1
