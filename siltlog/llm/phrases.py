@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltlog.llm import words
@@ -264,10 +264,10 @@ def mine(docs: DataFrame, *, least: int = 100, top: int = 2000, text_col: str =
     n = totals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     found = surroundings(counts).filter("more < f").withColumn("salt", F.pmod(F.xxhash64("words"), F.lit(salts)).cast("int")).join(n, ["lang", "salt"])
 
-    def exact(column: F.Column) -> F.Column:
+    def exact(column: Column) -> Column:
         return column.cast("decimal(19,0)")
 
-    def cut(k: F.Column) -> F.Column:
+    def cut(k: Column) -> Column:
         left, right = F.get("firsts", k - 1), F.get("lasts", F.size("words") - k - 1)
         over = F.call_function("div", (exact(F.col("f")) * exact(F.col("n")) * F.lit(1000).cast("decimal(4,0)")).cast("decimal(38,0)"), exact(left) * exact(right))
         return F.struct(over.cast("long").alias("score"), k.alias("k"), left.alias("l"), right.alias("r"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltlog.llm import bpe, brown, lines, neardup, packing, passages, phrases, quality, rules, urls, vectors, warc
+from siltlog.llm import bpe, brown, interactions, lines, neardup, packing, passages, phrases, quality, rules, urls, vectors, warc
 
 QUERIES = {
     "op1_pack_sequences": packing.op1_pack_sequences,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_class_lm": brown.op10_class_lm,
     "op11_rlz_passages": passages.op11_rlz_passages,
+    "op12_filter_audit": interactions.op12_filter_audit,
     "op13_phrases": phrases.op13_phrases,
 }
 
@@ -25,5 +26,6 @@ ORACLE: dict[str, str] = {
     "op8_line_dedup": lines.OP8_SQL,
     "op9_warc": warc.OP9_SQL,
     "op11_rlz_passages": passages.OP11_SQL,
+    "op12_filter_audit": interactions.OP12_SQL,
     "op13_phrases": phrases.OP13_SQL,
 }
