@@ -29,7 +29,7 @@ from siltlog.llm.shared import stored
 #: Words of the longest phrase.
 LONGEST = 5
 #: Text bytes of a block; entries of a piece of a stream; entries of a range that one task merges, on average.
-BLOCK_BYTES, PIECE, RANGE = 16_000_000, 1 << 16, 1_500_000
+BLOCK_BYTES, PIECE, RANGE = 8_000_000, 1 << 16, 1_000_000
 #: Phrases of a range in the lockstep passes, and keys that the driver gathers to cut ranges alike (for balance only).
 SCANNED, SAMPLED = 400_000, 20_000
 #: Parts in which the rows of one language are ranked first.
@@ -50,15 +50,16 @@ def _blocks(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
         data = _PLAIN[data]
         starts, ends, before = spans_of(data, offsets)
         codes, names = numbers(data, starts, ends)
+        marks = np.flatnonzero(data == 10)
+        cut = np.ones(len(starts), bool)
+        cut[1:] = np.searchsorted(marks, starts[1:]) > np.searchsorted(marks, ends[:-1])
+        cut[before[:-1][np.diff(before) > 0]] = True
+        del data, starts, ends
         coded = pc.fill_null(lang, "und").dictionary_encode()
         langs, of = coded.dictionary, np.repeat(coded.indices.to_numpy().astype(np.int64), np.diff(before))
         pairs, which, counts = np.unique(of << 32 | codes, return_inverse=True, return_counts=True)
         word, kind = names.take(pa.array(pairs & 0xFFFFFFFF)), pairs >> 32
         tagged = pc.binary_join_element_wise(word, langs.cast(pa.large_binary()).take(pa.array(kind)), pa.scalar(b" ", pa.large_binary()))
-        marks = np.concatenate([[0], np.cumsum(data == 10)])
-        cut = np.ones(len(starts), bool)
-        cut[1:] = marks[starts[1:]] > marks[ends[:-1]]
-        cut[before[:-1][np.diff(before) > 0]] = True
         seq = np.insert(which + 1, np.flatnonzero(cut), 0)
         rows = entry_rows(tagged, counts, buckets)
         n = len(rows)
