@@ -44,9 +44,9 @@ def check_envelope(envelopes: DataFrame, body: str = "body") -> DataFrame:
 
 
 def explode_entries(envelopes: DataFrame) -> DataFrame:
-    """A row per entry of the envelopes without error, with its `index` from 0."""
-    keep = [c for c in envelopes.columns if c not in ("entries", "error", "body")]
-    rows = envelopes.filter("error is null").select(*keep, F.posexplode("entries").alias("index", "__e"))
+    """A row per entry, with its `index` from 0; an envelope with an error is one row without an entry."""
+    keep = [c for c in envelopes.columns if c not in ("entries", "body")]
+    rows = envelopes.select(*keep, F.posexplode_outer("entries").alias("index", "__e"))
     return rows.select(*keep, "index", F.col("__e.entry").alias("entry"), F.col("__e.text").alias("entry_text"))
 
 
@@ -136,10 +136,17 @@ def validate_entries(entries: DataFrame, now_ms: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class Batch:
-    """A validated batch; `entries` is best written or cached once, as all three parts read it."""
+    """A validated batch: `rows` has the entries, and a row with an `error` for each envelope that failed whole.
 
-    envelopes: DataFrame
-    entries: DataFrame
+    All parts come from one pass over the envelopes; `rows` is best written once (`operators.ids.stage`)
+    where more than one is used.
+    """
+
+    rows: DataFrame
+
+    @property
+    def entries(self) -> DataFrame:
+        return self.rows.filter("error is null").drop("error")
 
     def accepted(self) -> DataFrame:
         return self.entries.filter("reason is null").drop("reason")
@@ -147,11 +154,20 @@ class Batch:
     def rejected(self) -> DataFrame:
         return self.entries.filter("reason is not null").drop("ts", "level", "service", "message", "attributes")
 
+    def failed(self) -> DataFrame:
+        return self.rows.filter("error is not null").drop("index", "reason", "ts", "level", "service", "message", "attributes")
+
+    @staticmethod
+    def counts() -> dict[str, Column]:
+        """Accepted and rejected entries and failed envelopes, as aggregates of `rows`."""
+        whole, good = F.col("error").isNull(), F.col("reason").isNull()
+        return {"rows": F.count_if(whole & good), "rejected": F.count_if(whole & ~good), "failed_envelopes": F.count_if(~whole)}
+
 
 def split_batch(envelopes: DataFrame, now_ms: int, body: str = "body") -> Batch:
-    """Envelopes checked, exploded and validated; one bad entry never fails its batch."""
-    checked = check_envelope(envelopes, body)
-    return Batch(checked, validate_entries(explode_entries(checked), now_ms))
+    """Envelopes checked, exploded and validated in one pass; one bad entry never fails its batch."""
+    rows = validate_entries(explode_entries(check_envelope(envelopes, body)), now_ms)
+    return Batch(rows.withColumn("reason", F.when(F.col("error").isNull(), F.col("reason"))))
 
 
 def batch_report(batch: Batch, key: str) -> DataFrame:
@@ -160,9 +176,9 @@ def batch_report(batch: Batch, key: str) -> DataFrame:
     A report is as long as its envelope, which is one line of input.
     """
     bad = F.col("reason").isNotNull()
-    found = batch.entries.groupBy(key).agg(
-        F.count_if(~bad).alias("accepted"),
+    found = batch.rows.groupBy(key).agg(
+        F.count_if(~bad & F.col("error").isNull()).alias("accepted"),
         F.array_sort(F.collect_list(F.when(bad, F.struct("index", "reason")))).alias("rejected"),
+        F.max("error").alias("error"),
     )
-    failed = batch.envelopes.filter("error is not null").select(key, F.lit(0).cast("long").alias("accepted"), F.array().cast("array<struct<index:int,reason:string>>").alias("rejected"), F.col("error").alias("outcome"))
-    return found.withColumn("outcome", F.when(F.col("accepted") > 0, "ok").otherwise("all entries were rejected")).unionByName(failed)
+    return found.withColumn("outcome", F.coalesce("error", F.when(F.col("accepted") > 0, "ok").otherwise("all entries were rejected"))).drop("error")
