@@ -14,7 +14,9 @@ MINUTE_MS = 60_000
 ATTRIBUTES = T.MapType(T.StringType(), T.StructType().add("kind", "string").add("str", "string").add("num", "double").add("bool", "boolean"))
 RECORD = T.StructType().add("ts", "timestamp").add("level", "string").add("service", "string").add("message", "string").add("attributes", ATTRIBUTES)
 LOGS = T.StructType([T.StructField("id", T.LongType()), *RECORD.fields, T.StructField("area", T.StringType()), T.StructField("day", T.DateType()), T.StructField("batch_id", T.LongType())])
-ROLLUP = T.StructType().add("bucket", "timestamp").add("service", "string").add("level", "string").add("count", "long").add("area", "string").add("day", "date").add("batch_id", "long")
+#: Widths of stored counts.
+WIDTHS = ("1m", "1h", "1d")
+ROLLUP = T.StructType().add("width", "string").add("bucket", "timestamp").add("service", "string").add("level", "string").add("count", "long").add("area", "string").add("day", "date").add("batch_id", "long")
 
 
 def prepare(spark: SparkSession) -> SparkSession:
