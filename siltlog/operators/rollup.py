@@ -40,14 +40,14 @@ def widen(rollup: DataFrame, *extra: str) -> DataFrame:
 DIGEST_PARTS = 3
 
 
-def day_digests(rollup: DataFrame) -> DataFrame:
-    """(day, n, digest): rows that the counts of each day stand for, and a sum over them that no order or division into batches changes.
+def day_digests(rollup: DataFrame, *by: str) -> DataFrame:
+    """(day, n, digest), or by other columns: rows that the counts of each day stand for, and a sum over them that no order or division into batches changes.
 
     Days with equal digests have equal counts by minute, service and level, but for a chance of 2^-60.
     """
     h = F.xxhash64(F.unix_millis("bucket"), F.coalesce("service", F.lit("\x00")), F.coalesce("level", F.lit("\x00")))
     parts = [F.sum(F.col("count") * F.shiftrightunsigned(h, 20 * k).bitwiseAND(F.lit((1 << 20) - 1))) for k in range(DIGEST_PARTS)]
-    return rollup.groupBy("day").agg(F.sum("count").alias("n"), F.array(*parts).alias("digest"))
+    return rollup.groupBy(*(by or ["day"])).agg(F.sum("count").alias("n"), F.array(*parts).alias("digest"))
 
 
 def rollup_filters(rollup: DataFrame, spec: LogFilter) -> DataFrame:

@@ -21,7 +21,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import date, timedelta
 from functools import reduce
 
@@ -29,13 +29,13 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltlog.functions.timestamps import floor_millis
+from siltlog.functions.timestamps import bucket_start, floor_millis
 from siltlog.operators.rollup import build_rollup, day_digests, widen
-from siltlog.schema import LOGS, ROLLUP, WIDTHS
+from siltlog.schema import BUCKET_MS, LOGS, ROLLUP, WIDTHS
 
 #: Rows in a file at most, and batches that a reader lists in its filter at most; beyond that they are joined.
 FILE_ROWS, LISTED = 5_000_000, 1000
-#: Columns with Bloom filters, and how many distinct values a row group's filter is made for.
+#: Columns with Bloom filters, and how many distinct values a row group's filter is made for at most (about a byte each).
 BLOOM = {"service": 10_000, "attributes.key_value.key": 10_000, "attributes.key_value.value.str": 500_000}
 
 
@@ -115,6 +115,7 @@ class Snapshot:
     version: int
     state: dict
     batches: list[int]
+    listed: dict[str, DataFrame] = field(default_factory=dict, compare=False)
 
     def adopted(self, day: date) -> bool:
         return any(date.fromisoformat(a) <= day <= date.fromisoformat(b) for a, b in self.state["adopted"])
@@ -138,17 +139,28 @@ class Snapshot:
         gone = [(F.col("area") == area) & (F.col("day") == F.lit(date.fromisoformat(day))) & F.col("batch_id").isin(ids) for k, area, day, ids in self.state["gone"] if k == kind]
         return rows.filter(~reduce(Column.__or__, gone)) if gone else rows
 
+    def _rows(self, kind: str, schema) -> DataFrame:
+        """The visible rows; their files are listed once for a snapshot."""
+        if kind not in self.listed:
+            self.listed[kind] = self._read(kind, schema, self.visible(kind))
+        return self.listed[kind]
+
     def _shown(self, rows: DataFrame) -> DataFrame:
         spans = [_days(date.fromisoformat(a), date.fromisoformat(b)) for a, b in self.state["adopted"]]
         return rows.withColumn("area", F.when(reduce(Column.__or__, spans), "managed").otherwise(F.col("area"))) if spans else rows
 
     def logs(self) -> DataFrame:
         """All rows, managed and default; filters on `day` prune files."""
-        return self._shown(self._read("logs", LOGS, self.visible("logs")))
+        return self._shown(self._rows("logs", LOGS))
 
     def rollup(self, width: str = "1m") -> DataFrame:
-        """Partial counts of one width; add them up by (bucket, service, level)."""
-        return self._shown(self._read("rollup", ROLLUP, self.visible("rollup")).filter(F.col("width") == width).drop("width"))
+        """Partial counts of one width; add them up by (bucket, service, level). Wider ones than minutes are stored when counts are folded; minutes that came since are added up here."""
+        rows = self._rows("rollup", ROLLUP)
+        if width == WIDTHS[0]:
+            return self._shown(rows.filter(F.col("width") == width).drop("width"))
+        folded = F.col("batch_id") < 0
+        later = rows.filter((F.col("width") == WIDTHS[0]) & ~folded).withColumn("bucket", bucket_start(F.col("bucket"), BUCKET_MS[width]))
+        return self._shown(rows.filter((F.col("width") == width) & folded).unionByName(later).drop("width"))
 
 
 class LogTable:
@@ -195,7 +207,7 @@ class LogTable:
 
         A batch that is committed stays as it is and False comes back: its rows may have been adopted or
         folded since. One that failed half-way overwrites what it left. `rows` are records with ids; they
-        should be written or cached, as they are read three times. Spark sizes the files of a day by
+        should be written or cached, as they are read twice. Spark sizes the files of a day by
         bytes: small days share a task, large ones are split. The commit file holds the digests of each
         day's rows, by which audits find the days to look at.
         """
@@ -204,10 +216,16 @@ class LogTable:
         if self.files.exists(f"_batches/{batch_id}.json"):
             return False
         routed = route_partition(rows, today, retention, ahead).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        self._put(routed.hint("rebalance", "area", "day").sortWithinPartitions("area", "day", "ts", "id"), "logs", LOGS, "area", "day", "batch_id")
-        counts = widen(build_rollup(routed, "area", "day"), "area", "day").withColumn("batch_id", F.lit(batch_id).cast("long"))
-        self._put(counts.hint("rebalance", "width", "area", "day"), "rollup", ROLLUP, "width", "area", "day", "batch_id")
-        days = {str(r["day"]): [int(r["n"]), *map(int, r["digest"])] for r in day_digests(build_rollup(routed, "day")).collect()}
+        counts = build_rollup(routed, "area", "day").persist()
+        try:
+            found = day_digests(counts, "area", "day").collect()
+            days = {f"{r['area']}/{r['day']}": [int(r["n"]), *map(int, r["digest"])] for r in found}
+            minutes = counts.select("*", F.lit(WIDTHS[0]).alias("width"), F.lit(batch_id).cast("long").alias("batch_id"))
+            self._put(minutes.hint("rebalance", "area", "day"), "rollup", ROLLUP, "width", "area", "day", "batch_id")
+        finally:
+            counts.unpersist()
+        files = routed.hint("rebalance", "area", "day").sortWithinPartitions("area", "day", "ts", "id")
+        self._put(files, "logs", LOGS, "area", "day", "batch_id", bloom=max((n for n, *_ in days.values()), default=1))
         return self.files.put(f"_batches/{batch_id}.json", {"metrics": metrics or {}, "days": days})
 
     def metrics(self, batch_id: int) -> dict | None:
@@ -215,14 +233,15 @@ class LogTable:
         found = self.files.read(f"_batches/{batch_id}.json")
         return None if found is None else found["metrics"]
 
-    def _put(self, rows: DataFrame, kind: str, schema, *folders: str) -> None:
+    def _put(self, rows: DataFrame, kind: str, schema, *folders: str, bloom: int = 0) -> None:
+        """bloom: rows that a file may hold; filters are made for no more values than that."""
         made = rows.select(*schema.fieldNames()).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        for column, distinct in BLOOM.items() if kind == "logs" else ():
-            made.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.expected.ndv#{column}", distinct).option(f"parquet.bloom.filter.adaptive.enabled#{column}", "true")
+        for column, distinct in BLOOM.items() if bloom else ():
+            made.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.expected.ndv#{column}", min(bloom, distinct))
         made.option("maxRecordsPerFile", FILE_ROWS).partitionBy(*folders).parquet(f"{self.root}/{kind}")
 
     def compact_rollup(self) -> int:
-        """Fold the partial counts of all committed batches, day by day, into one batch of counts; rows stay as they are.
+        """Fold the partial counts of all committed batches, day by day, into one batch of counts by minute, hour and day; rows stay as they are.
 
         The batches are listed once: exactly these are read, and the next state names them as replaced.
         One that is committed meanwhile is not among them and counts on its own. If another change of
@@ -235,7 +254,8 @@ class LogTable:
             if len(old) < 2:
                 return 0
             new = -(uuid.uuid4().int >> 66) - 1
-            counts = seen._read("rollup", ROLLUP, old).groupBy("width", "area", "day", "bucket", "service", "level").agg(F.sum("count").alias("count"))
+            minutes = seen._read("rollup", ROLLUP, old).filter(F.col("width") == WIDTHS[0])
+            counts = widen(minutes.drop("width"), "area", "day")
             self._put(counts.withColumn("batch_id", F.lit(new).cast("long")).hint("rebalance", "width", "area", "day"), "rollup", ROLLUP, "width", "area", "day", "batch_id")
             done = self._advance(seen, folds=[new], replaces=sorted({*seen.state["replaces"], *(n for n in old if n >= 0)}))
             self._delete_counts([n for n in seen.state["replaces"] if n >= 0] if done else [new], keep=old)
