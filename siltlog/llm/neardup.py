@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterable, Iterator
 from math import comb
 
@@ -39,21 +40,21 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
-def _described(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def _described(batches: Iterable[pa.RecordBatch], size: int, seed: int = 0) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, texts in words.slices(batch.column(1)):
             counts, digests, signatures = [], [], []
-            for s in words.shingles(*words.word_hashes(texts), size):
+            for s in words.shingles(*words.word_hashes(texts, seed=seed), size):
                 counts.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 signatures.append(signature(s).astype(">u4").tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())], ["id", "n_shingles", "digest", "signature"])
 
 
-def _sets(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterable[pa.RecordBatch], size: int, seed: int = 0) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, texts in words.slices(batch.column(1)):
-            sets = pa.array([s.tobytes() for s in words.shingles(*words.word_hashes(texts), size)], pa.binary())
+            sets = pa.array([s.tobytes() for s in words.shingles(*words.word_hashes(texts, seed=seed), size)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), sets], ["id", "shingles"])
 
 
@@ -239,11 +240,11 @@ def _crossing(regions: DataFrame, sketches: DataFrame, sets: DataFrame, label: D
     return full.groupBy(*blocks).applyInArrow(lambda t: _tied(t, percent), f"a {kind}, b {kind}")
 
 
-def describe(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
+def describe(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, seed: int = 0) -> DataFrame:
     """(id, n_shingles, digest, signature) per row; the last two are null where the text has no word."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lambda it: _described(it, size), f"id {kind}, n_shingles long, digest binary, signature binary")
+    return rows.mapInArrow(lambda it: _described(it, size, seed), f"id {kind}, n_shingles long, digest binary, signature binary")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
@@ -259,16 +260,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     its own: its text can give no component an id, so it links with nothing. Rows that repeat an id
     are one document whose texts all count; each row is returned. Other columns are ignored.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, seed = docs.schema[id_col].dataType.simpleString(), secrets.randbits(63)  # words cannot be made to collide
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    known = stored(describe(rows, id_col="id", size=size), "described")
+    known = stored(describe(rows, id_col="id", size=size, seed=seed), "described")
     classes = known.filter("id is not null and digest is not null").groupBy("digest").agg(F.min("id").alias("node"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"))
     nodes = stored(classes, "classes")
     regions = _regions(nodes.select("node", "signature"))
     wanted = regions.select(F.col("node").alias("id")).distinct()
     n = wanted.count()
     texts = rows.join(F.broadcast(wanted) if n <= SENT_IDS else wanted, "id", "left_semi")
-    sets = stored(texts.mapInArrow(lambda it: _sets(it, size), f"id {kind}, shingles binary"), "sets")
+    sets = stored(texts.mapInArrow(lambda it: _sets(it, size, seed), f"id {kind}, shingles binary"), "sets")
     same = known.filter("digest is not null").join(nodes.select("digest", "node"), "digest").filter("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
     twice = known.filter("digest is not null").groupBy("id").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).filter("least <> most").select("id")
 

@@ -27,16 +27,24 @@ class WordTokenizer:
 
     Words of many texts are found and hashed as arrays; only words that the worker has not met go to
     the tokenizer. A mark right after an ASCII letter begins a word of its own, as in the tokenizer.
+    With `specials`, the tokenizer's own strings (such as an end mark) stand for their tokens wherever
+    a text holds them, as the tokenizer reads them; else they are ordinary text.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, specials: bool = False) -> None:
         import os
+        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # what reaches it is ordinary text
+        added = {t.content.encode(): k for k, t in self.tokenizer.get_added_tokens_decoder().items()} if specials else {}
+        if any(words.BLANK[np.frombuffer(t, np.uint8)].any() for t in added):
+            raise ValueError("a special token must not hold white space")
+        self.added = added
+        self.special = re.compile(b"|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
@@ -53,12 +61,30 @@ class WordTokenizer:
         self.known[word] = got
         return got
 
+    def _specials(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
+        """(start, end, token) of the special strings in a run of bytes; none goes on from one text into the next."""
+        raw = data.tobytes() if self.special else b""
+        if not any(t in raw for t in self.added):
+            return []
+        found = []
+        for lo, hi in zip([0, *offsets.tolist()], [*offsets.tolist(), len(raw)]):
+            found += [(m.start(), m.end(), self.added[m.group()]) for m in self.special.finditer(raw, lo, hi)]
+        return found
+
     def _part(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a run of bytes that cuts no word, and how many of them stand before each offset."""
         breaks = np.zeros(len(data), bool)
         breaks[1:] = _MARKS[data[1:]] & _LETTERS[data[:-1]]
+        found = self._specials(data, offsets)
+        for at, end, _ in found:  # a word of its own
+            breaks[at] = True
+            breaks[at + 1 : end] = False
+            breaks[end : end + 1] = True
         starts, ends, rows = words.spans(data, offsets, breaks)
         hashes = words.hash_spans(data, starts, ends)
+        special = dict(zip(np.searchsorted(starts, [at for at, *_ in found]).tolist(), (k for *_, k in found), strict=True))
+        for word, k in special.items():
+            hashes[word] = words.mix(np.array([k + 1], np.uint64))[0]  # apart from its letters in capitals
         while True:
             _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
             other = ~words.equal_spans(data, starts, ends, first[which])
@@ -70,6 +96,9 @@ class WordTokenizer:
         raw = data.tobytes().lower()  # A-Z only
         distinct = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
         got = [self.known.get(word) or self._learn(word) for word in distinct]
+        for entry, word in enumerate(first.tolist()) if special else ():
+            if word in special:
+                got[entry] = np.array([special[word]], "<u4").tobytes()
         lengths = np.fromiter(map(len, got), np.int64, len(got)) // 4
         begins = np.cumsum(lengths) - lengths
         tokens = words.gather(np.frombuffer(b"".join(got), "<u4"), begins[which], lengths[which])
@@ -138,7 +167,7 @@ class _Windows:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), self.schema, strict=True)], schema=self.schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, capacity: int = 2048, piece: int = 512, group_windows: int = 128) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, capacity: int = 2048, piece: int = 512, group_windows: int = 128, specials: bool = False) -> DataFrame:
     """One row per piece: id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit).
 
     A document's tokens, closed by `end_id`, give full windows first; what is left over is cut into
@@ -146,7 +175,8 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
     windows and deals them to windows by Karmarkar-Karp differencing, raising the window count
     until none exceeds `capacity`. Everything happens where the text is read: no shuffle, and a lost
     task gives the same rows again. A worker holds one group, the words it remembers and the ids of
-    one text; texts of any length are taken in parts.
+    one text; texts of any length are taken in parts. With `specials`, the tokenizer's special strings
+    in a text are their tokens, as it reads them itself; else they are ordinary text.
 
     Null text counts as empty (the document is its end id). Null and repeated ids are packed row by
     row, each row as a document of its own. Other columns are ignored. No rows in, no rows out.
@@ -154,7 +184,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, out = WordTokenizer(tokenizer), None
+        encoder, out = WordTokenizer(tokenizer, specials), None
         for batch in batches:
             schema = pa.schema([("id", batch.schema.field(0).type), *((c, pa.int64()) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")), ("ids", pa.binary())])
             out = out or _Windows(capacity, piece, group_windows, TaskContext.get().partitionId() << 33, schema)
@@ -177,5 +207,5 @@ def op1_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    pieces = pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    pieces = pack(docs, public_tokenizers.path("word_bpe_49k.json"), specials=True)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

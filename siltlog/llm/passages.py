@@ -82,6 +82,8 @@ def _anchors(texts: pa.Array, window: int, seed: int) -> tuple[np.ndarray, ...]:
 
 def _parts(keys: np.ndarray, buckets: int) -> list[tuple[int, slice]]:
     """Slices of sorted hashes by bucket; a bucket is a range of hashes."""
+    if not len(keys):
+        return []
     of = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
     used, first = np.unique(of, return_index=True)
     return [(int(b), slice(lo, hi)) for b, lo, hi in zip(used.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)], strict=True)]

@@ -135,3 +135,41 @@ def test_null_and_repeated_ids(spark, sf):
     once = [(1, plain[1]), (1, bad), (None, plain[2]), (3, plain[3]), (4, plain[4]), (4, plain[5]), (5, ""), (6, "")]
     assert held(corpus_pipeline.dedup_documents(spark, docs, sf)) == sorted(once, key=str)
     assert held(corpus_pipeline.dedup_lines(spark, docs, sf)).count((3, plain[3])) == 2
+
+
+def test_keys_survive_another_cut_of_the_files(spark, tmp_path):
+    """Rows rejected at two splits of the table are the rows that go at sixteen."""
+    path = f"file://{tmp_path}/docs of a%20day"
+    spark.range(0, 30_000, 1, 3).selectExpr("id as doc_id", "concat('text ', id) as text").write.parquet(path)
+    spark.conf.set("spark.sql.leafNodeDefaultParallelism", "2")
+    try:
+        docs = spark.read.parquet(path)
+        gone = corpus_pipeline._keyed(docs).filter("doc_id % 7 = 3").select(corpus_pipeline.ROW)
+        kept = corpus_pipeline._without(corpus_pipeline._keyed(docs), gone, docs)
+        few = {r["doc_id"]: r[corpus_pipeline.ROW] for r in corpus_pipeline._keyed(docs).collect()}
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "16")
+        again = spark.read.parquet(path)
+        assert few == {r["doc_id"]: r[corpus_pipeline.ROW] for r in corpus_pipeline._keyed(again).collect()} and len(set(few.values())) == 30_000
+        assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {k for k in range(30_000) if k % 7 != 3}
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+
+
+def test_stages_of_odd_tables(spark, sf):
+    """Null and repeated ids, an empty table, a very long text and a column of the key's name, stage by stage."""
+    words = "the of and to in is that for it was with on as by at from this are or".split()
+    good = " ".join(f"{words[k % 19]} w{k}" for k in range(120)) + "."
+    rows = [(None, good, "en", "a", 1), (5, good + " one two", "en", "a", 1), (5, "x", "en", "a", 1), (6, None, None, None, None), (7, " ".join(f"the l{k}" for k in range(150_000)), "en", "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+    assert {len(r["text"]) for r in corpus_pipeline.check_rules(spark, docs, sf).collect()} == {len(rows[0][1]), len(rows[1][1]), len(rows[4][1])}
+    lines = corpus_pipeline.dedup_lines(spark, docs, sf)
+    assert sorted((str(r["doc_id"]), r["text"]) for r in lines.collect()) == sorted((str(k), t or "") for k, t, *_ in rows)
+    kept = corpus_pipeline.dedup_documents(spark, docs, sf).collect()
+    assert sorted((str(r["doc_id"]), len(r["text"] or "")) for r in kept) == sorted([("5", len(rows[1][1])), ("5", 1), ("6", 0), ("7", len(rows[4][1]))])
+    pieces = corpus_pipeline.pack(spark, docs, sf).groupBy("doc_id").count().collect()
+    assert {r["doc_id"] for r in pieces} == {None, 5, 6, 7}
+    for stage in (corpus_pipeline.classify, corpus_pipeline.dedup_documents):
+        with pytest.raises(ValueError):
+            stage(spark, docs.withColumnRenamed("n_chars", corpus_pipeline.ROW), sf)
