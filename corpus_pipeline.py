@@ -1,6 +1,7 @@
 """From raw documents to training sequences: five stages, each written as Parquet and read by the next.
 
-A stage reads its documents more than once and keys rows by their place, so `docs` must be a table.
+A stage keys rows by file and place in the file, so `docs` should be a Parquet table; other rows are
+written down first. Keys hold however the files are cut, so executors may come and go between readings.
 The first four return the columns of documents; the last returns the pieces of the packed sequences.
 """
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from siltlog.llm import lines, neardup, packing, quality, rules
 from siltlog.llm.shared import stored
+from siltlog.sources.rowkeys import with_row_key
 
 #: A set of row keys is sent to every executor up to this many (8 bytes each), else both sides are shuffled.
 SENT_IDS = 1_000_000
@@ -64,12 +66,12 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences of 2048 tokens, as pieces with their ids."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), specials=True)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key of each row: its place in the stage's table, the same on each reading of it."""
-    return docs.withColumn(ROW, F.monotonically_increasing_id())
+    """docs with a key of each row, the same on each reading; a column of the key's name is an error."""
+    return with_row_key(docs, ROW)
 
 
 def _without(rows: DataFrame, gone: DataFrame, docs: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltlog.functions.timestamps import floor_millis, millis_text, parse_millis, seconds_text
-from siltlog.operators import audit, buckets, filters, rollup, search
+from siltlog.operators import audit, buckets, filters, rollup, search, stored
 from siltlog.operators.ids import assign_ids
 from siltlog.operators.validate import batch_report, split_batch
 from siltlog.schema import prepare
@@ -219,6 +219,33 @@ def _assign_ids(spark: SparkSession, d: str) -> DataFrame:
     return assign_ids(spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey"), BATCH_MS).select("id", F.shiftright("id", 20).alias("ms"))
 
 
+#: An entry for each rule that can fail, by event_id % 14, and the reason that must come out.
+_ENTRIES = {
+    0: ("""'{"timestamp": 5, "level": "info", "service": "s", "message": "m"}'""", "timestamp must be a string"),
+    1: ("""'{"timestamp": null, "level": "info", "service": "s", "message": "m"}'""", "timestamp is required"),
+    2: ("""'{"timestamp": "2199-01-01T00:00:00Z", "level": "info", "service": "s", "message": "m"}'""", "timestamp is more than 5 minutes in the future"),
+    3: ("""concat('{"timestamp": "', t, '", "level": 3, "service": "s", "message": "m"}')""", "level must be a string"),
+    4: ("""concat('{"timestamp": "', t, '", "service": "s", "message": "m"}')""", "level is required"),
+    5: ("""concat('{"timestamp": "', t, '", "level": "info", "service": 1, "message": "m"}')""", "service must be a non-empty string"),
+    6: ("""concat('{"timestamp": "', t, '", "level": "info", "message": "m"}')""", "service is required"),
+    7: ("""concat('{"timestamp": "', t, '", "level": "info", "service": "s", "message": ""}')""", "message must be a non-empty string"),
+    8: ("""concat('{"timestamp": "', t, '", "level": "info", "service": "s"}')""", "message is required"),
+    9: ("""concat('{"timestamp": "', t, '", "level": "info", "service": "s", "message": "m", "attributes": []}')""", "attributes must be an object"),
+    10: ("""concat('{"timestamp": "', t, '", "level": "info", "service": "s", "message": "m", "attributes": {"x": {}}}')""", "attributes.x must be a string, number or boolean"),
+    11: ("""concat('{"timestamp": "', t, '", "level": "info", "service": "s", "message": "m", "attributes": null}')""", "accepted"),
+    12: ("""'[1]'""", "entry must be an object"),
+}
+
+
+@query("rejected_by_rule", "SELECT event_id, CASE event_id % 14 " + " ".join(f"WHEN {k} THEN '{reason}'" for k, (_, reason) in _ENTRIES.items()) + " ELSE 'accepted' END AS reason FROM events")
+def _rejected_by_rule(spark: SparkSession, d: str) -> DataFrame:
+    """An envelope for each event, with an entry that fails one rule."""
+    e = spark.read.parquet(f"{d}/events.parquet").withColumn("t", millis_text(F.col("ts").cast("timestamp")))
+    entry = "case event_id % 14 " + " ".join(f"when {k} then {text}" for k, (text, _) in _ENTRIES.items()) + """ else concat('{"timestamp": "', t, '", "level": "info", "service": "s", "message": "m"}') end"""
+    rows = split_batch(e.select("event_id", F.concat(F.lit('{"logs": ['), F.expr(entry), F.lit("]}")).alias("body")), 1_900_000_000_000).entries
+    return rows.select("event_id", F.coalesce("reason", F.lit("accepted")).alias("reason"))
+
+
 #: How the timestamp query spoils the text of an event's time, by event_id % 12; the SQL says what must come out.
 _DAMAGE = {
     1: ("substring(t, 1, 19)", "ms // 1000 * 1000"),
@@ -361,15 +388,107 @@ def _table_round_trip(spark: SparkSession, d: str) -> DataFrame:
 _TABLES: dict[tuple[str, str], LogTable] = {}
 
 
-@query("aggregate_stored", f"""WITH {EVENTS} SELECT {START.format('1 hour')} AS start, service AS "group", count(*) AS count FROM ev WHERE {MS} >= {SINCE + 30_500} AND {MS} < {UNTIL} GROUP BY 1, 2""")
-def _aggregate_stored(spark: SparkSession, d: str) -> DataFrame:
-    """Whole minutes from the table's own rollup, cut ones from its rows; the table is written once for a session."""
+def _kept(spark: SparkSession, d: str) -> LogTable:
+    """The table with folded counts, written once for a session; queries only read it."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _TABLES:
-        _TABLES[key] = _table(spark, d)
-        _TABLES[key].compact_rollup()
-    table = _TABLES[key]
-    return buckets.aggregate(table.read_logs(), table.read_rollup(), AggregateSpec(LogFilter(SINCE + 30_500, UNTIL), "1h", "service"))
+        table = _table(spark, d)
+        table.compact_rollup()
+        _TABLES[key] = table
+    return _TABLES[key]
+
+
+@query("aggregate_stored", f"""WITH {EVENTS} SELECT {START.format('1 hour')} AS start, service AS "group", count(*) AS count FROM ev WHERE {MS} >= {SINCE + 30_500} AND {MS} < {UNTIL} GROUP BY 1, 2""")
+def _aggregate_stored(spark: SparkSession, d: str) -> DataFrame:
+    """Whole hours and minutes from the table's own counts, cut minutes from its rows."""
+    return stored.aggregate_stored(_kept(spark, d).snapshot(), AggregateSpec(LogFilter(SINCE + 30_500, UNTIL), "1h", "service"))
+
+
+@query("aggregate_stored_days", f"""WITH {EVENTS} SELECT {START.format('1 day')} AS start, level AS "group", count(*) AS count FROM ev WHERE {MS} >= {SINCE - 1} AND {MS} < {UNTIL} AND service = 'svc-4' GROUP BY 1, 2""")
+def _aggregate_stored_days(spark: SparkSession, d: str) -> DataFrame:
+    """Days from day counts, the last one from hours, minutes and rows."""
+    return stored.aggregate_stored(_kept(spark, d).snapshot(), AggregateSpec(LogFilter(SINCE - 1, UNTIL, service="svc-4"), "1d", "level"))
+
+
+_SHOWN = f"WITH {EVENTS} SELECT CAST(id AS VARCHAR) AS id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS timestamp, level, service, message FROM ev WHERE"
+
+
+@query("page_walk_stored", f"{_SHOWN} level = 'info' AND {MS} < {UNTIL} ORDER BY ts DESC, ev.id DESC LIMIT 50 OFFSET 100")
+def _page_walk_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The third page of a stored table; the counts choose the days that are read."""
+    seen, spec = _kept(spark, d).snapshot(), SearchSpec(LogFilter(until_ms=UNTIL, level="info"), 50)
+    for _ in range(2):
+        _, position = stored.stored_position(seen, spec)
+        if position is None:
+            return search.api_projection(seen.logs().limit(0)).drop("attributes")
+        spec = search.following(spec, position)
+    return search.api_projection(stored.stored_page(seen, spec)).drop("attributes")
+
+
+@query("search_stored_text", f"{_SHOWN} contains(lower(message), 'purchase by user 1') AND even AND service = 'svc-2' ORDER BY ts DESC, ev.id DESC LIMIT 40")
+def _search_stored_text(spark: SparkSession, d: str) -> DataFrame:
+    """Text and attributes, which the counts do not know: more days are read while the page is short."""
+    spec = SearchSpec(LogFilter(service="svc-2", q="PURCHASE by user 1", attributes=(("even", "true"),)), 40)
+    return search.api_projection(stored.stored_page(_kept(spark, d).snapshot(), spec)).drop("attributes")
+
+
+@query("point_lookup_stored", f"{_SHOWN} type = 'error' AND k = 42 AND service = 'svc-3'")
+def _point_lookup_stored(spark: SparkSession, d: str) -> DataFrame:
+    """A service and attributes of a stored table, whose files have Bloom filters on them."""
+    rows = filters.apply_filters(_kept(spark, d).read_logs(), LogFilter(service="svc-3", attributes=(("type", "error"), ("k", "42"))))
+    return search.api_projection(rows).drop("attributes")
+
+
+class _Interrupted(LogTable):
+    """A table that calls `meanwhile` once, when folded counts are written and their commit is not."""
+
+    meanwhile: Callable[[], object] | None = None
+
+    def _advance(self, seen, **changes) -> bool:
+        call, self.meanwhile = self.meanwhile, None
+        if call:
+            call()
+        return super()._advance(seen, **changes)
+
+
+@query("table_compacted_while_written", f"WITH {EVENTS} {_ROLLUP.format('ev')}")
+def _table_compacted_while_written(spark: SparkSession, d: str) -> DataFrame:
+    """A third batch is committed and days are adopted in the middle of a compaction; all counts are there once."""
+    from siltlog.sources.scratch import scratch_path
+
+    table, rows = _Interrupted(spark, scratch_path(spark, "log-table")), events_logs(spark, d)
+    for k in range(2):
+        table.append_logs(rows.filter(F.col("id") % 3 == k), k, TODAY, 10, 2)
+
+    def meanwhile() -> None:
+        other = LogTable(spark, table.root)
+        other.append_logs(rows.filter(F.col("id") % 3 == 2), 2, TODAY, 10, 2)
+        other.adopt_default(TODAY, 60, 60)
+
+    table.meanwhile = meanwhile
+    table.compact_rollup()
+    return _shown(rollup.merge_rollup(table.read_rollup()))
+
+
+@query(
+    "audit_stored",
+    f"""WITH {EVENTS}, r AS (SELECT time_bucket(INTERVAL '1 minute', ts, TIMESTAMP '2000-01-01') AS b, service, level, count(*) AS n, count(*) FILTER (WHERE id % 2 = 0) AS even_ids FROM ev WHERE CAST(ts AS DATE) = DATE '2024-01-10' GROUP BY 1, 2, 3)
+      SELECT strftime(b, '%Y-%m-%dT%H:%M:%SZ') AS bucket, service, level, n AS expected, even_ids AS found FROM r WHERE n <> even_ids""",
+)
+def _audit_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The counts of one day and batch are lost; digests of the commits find the day, and only it is counted again."""
+    table = _table(spark, d)
+    for area in ("managed", "default"):
+        table.files.delete(f"rollup/width=1m/area={area}/day=2024-01-10/batch_id=1")
+    return audit.audit_table(table, deep=False)
+
+
+@query("audit_ids_planted", "SELECT event_id AS id, CASE WHEN event_id % 1000 = 0 THEN 3 ELSE 2 END AS count FROM events WHERE event_id % 1000 = 0 OR event_id % 1500 = 7")
+def _audit_ids_planted(spark: SparkSession, d: str) -> DataFrame:
+    """Unique ids with some that come again, within a part of the rows and across parts."""
+    rows = events_logs(spark, d).select("id")
+    twice = rows.filter("id % 1000 = 0")
+    return audit.audit_ids(rows.unionByName(twice).unionByName(twice).unionByName(rows.filter("id % 1500 = 7")))
 
 
 @query("table_replayed", f"WITH {EVENTS} SELECT 'managed' AS area, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, level, count(*) AS rows FROM ev GROUP BY 1, 2, 3")
@@ -428,3 +547,18 @@ def _stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     _envelopes(spark, d).select("body").write.text(source)
     stream_ingest(spark, source, root, checkpoint, now_ms=1_900_000_000_000).awaitTermination()
     return ingest_metrics(LogTable(spark, root)).agg(F.sum("rows").alias("rows"), F.sum("rejected").alias("rejected"))
+
+
+@query("bounded_intake", "SELECT count(*) FILTER (WHERE event_id % 9 IN (0, 8)) AS rows, count(*) FILTER (WHERE event_id % 9 NOT IN (0, 8)) AS rejected, TRUE AS in_five, TRUE AS bounded FROM events WHERE user_id % 10 NOT IN (1, 2, 3, 4)")
+def _bounded_intake(spark: SparkSession, d: str) -> DataFrame:
+    """All envelopes as one file, committed in flushes of a sixth of its bytes; no flush is larger but for its last line."""
+    from siltlog.sources.scratch import scratch_path
+    from siltlog.streaming.ingest import ingest_metrics, stream_ingest
+
+    source, root, checkpoint = (scratch_path(spark, n) for n in ("envelopes", "stream-table", "stream-checkpoint"))
+    bodies = _envelopes(spark, d).select("body")
+    size = bodies.agg(F.sum(F.octet_length("body")).alias("all"), F.max(F.octet_length("body")).alias("longest")).first()
+    bodies.coalesce(1).write.text(source)
+    stream_ingest(spark, source, root, checkpoint, max_bytes=size["all"] // 6 + 1, now_ms=1_900_000_000_000).awaitTermination()
+    bounded = F.max("bytes") <= size["all"] // 6 + 1 + size["longest"]
+    return ingest_metrics(LogTable(spark, root)).agg(F.sum("rows").alias("rows"), F.sum("rejected").alias("rejected"), (F.count("*") >= 5).alias("in_five"), bounded.alias("bounded"))
