@@ -29,7 +29,7 @@ from siltlog.llm.shared import stored
 #: Words of the longest phrase.
 LONGEST = 5
 #: Text bytes of a block; entries of a piece of a stream; entries of a range that one task merges, on average.
-BLOCK_BYTES, PIECE, RANGE = 8_000_000, 1 << 16, 1_000_000
+BLOCK_BYTES, PIECE, RANGE = 5_000_000, 1 << 16, 400_000
 #: Phrases of a range in the lockstep passes, and keys that the driver gathers to cut ranges alike (for balance only).
 SCANNED, SAMPLED = 400_000, 20_000
 #: Parts in which the rows of one language are ranked first.
@@ -148,14 +148,25 @@ def _dealt(batches: Iterable[pa.RecordBatch], cuts: list[tuple]) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * len(types), types, strict=True)], ["range", "lang", *DATA])
 
 
+def _end_to_end(column: pa.ChunkedArray, n: int) -> np.ndarray:
+    """The packed numbers of all rows, `n` in all, each row unpacked into its place."""
+    out, at = np.empty(n, np.int64), 0
+    for b in column.to_pylist():
+        held = expand(b)
+        out[at : at + len(held)] = held
+        at += len(held)
+    return out
+
+
 def _merged(rows: pa.Table, least: int) -> pa.Table:
     """Counts of the phrases of a range, from runs of common beginnings. The first and last run of each length may go on next door and are kept whatever they count."""
     coded = rows.column("lang").combine_chunks().dictionary_encode()
-    held = [np.concatenate([np.zeros(0, np.int64), *map(expand, rows.column(c).to_pylist())]) for c in DATA]
     sizes = [len(expand(b)) for b in rows.column("counts").to_pylist()]
+    held = [_end_to_end(rows.column(c), sum(sizes)) for c in DATA]
     word = np.unique(held[0], return_index=True)
     lang_of = np.repeat(coded.indices.to_numpy(), sizes)[word[1]]  # a word is one of its language
-    columns, counts = _sorted([c.astype(np.uint64) for c in held[:LONGEST]], held[LONGEST])
+    columns, counts = _sorted([c.view(np.uint64) for c in held[:LONGEST]], held[LONGEST])
+    del held
     lang = lang_of[np.searchsorted(word[0], columns[0].astype(np.int64))]
     n, new = len(counts), np.zeros(len(counts), bool)
     new[:1] = True
@@ -168,10 +179,12 @@ def _merged(rows: pa.Table, least: int) -> pa.Table:
         sums = np.add.reduceat(counts, at) if n else counts
         edge = np.zeros(len(at), bool)
         edge[:1] = edge[-1:] = True
-        at, sums = at[w := (columns[k][at] > 0) & ((sums >= least) | edge)], sums[w]
+        wanted = (columns[k][at] > 0) & ((sums >= least) | edge)
+        at, sums = at[wanted], sums[wanted]
         kinds.append(lang[at])
         found.append(pa.FixedSizeListArray.from_arrays(pa.array(np.stack([c[at] for c in columns[: k + 1]], 1).ravel().astype(np.int64)), k + 1).cast(pa.list_(pa.int64())))
         total.append(sums)
+    pa.default_memory_pool().release_unused()
     return pa.table({"lang": coded.dictionary.take(pa.array(np.concatenate(kinds))), "words": pa.concat_arrays(found), "f": pa.array(np.concatenate(total).astype(np.int64))})
 
 
