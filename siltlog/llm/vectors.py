@@ -15,12 +15,14 @@ from pyspark.sql import types as T
 from siltlog.llm.components import components
 from siltlog.llm.shared import stored
 
-#: Nearest pivots that describe a vector, and the shared ones that make a candidate.
-NEAREST, SHARED = 5, 2
+#: Pivots that two vectors share at least to be compared.
+SHARED = 2
 #: Vectors of a list that one task compares with each other or with as many of another part.
 PART = 1024
-#: Most pivots, taken from a sample of twice as many vectors, and the cosine above which one replaces another.
-MOST_PIVOTS, APART = 1024, 0.9
+#: Most pivots, taken from a sample of twice as many vectors.
+MOST_PIVOTS = 1024
+#: List of the vectors next to the centre, and no list.
+CENTRE, NONE = 0, -1
 
 
 def _rows(column: pa.Array) -> np.ndarray:
@@ -28,48 +30,84 @@ def _rows(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; rows of zeros stay."""
+    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of tiny and huge components stay finite
-    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return _scaled(x / np.abs(x).max(axis=1, keepdims=True))  # squares of tiny and huge components stay finite
 
 
-def _apart(points: list[list[float]], most: int) -> np.ndarray:
-    """Unit vectors of points no two of which are close: near ties among pivots would make their order chance."""
-    width = max(map(len, points), default=0)
-    found = np.zeros((0, width))
-    for x in _unit(np.array([[*p, *[0.0] * (width - len(p))] for p in points], np.float64).reshape(-1, width)):
-        if len(found) < most and (found @ x <= APART).all():
-            found = np.vstack([found, x])
-    return found
+class Reference:
+    """Ordered reference points, seen from a centre, and the lists that a vector enters by its nearest ones.
 
+    Vectors that lean to one side differ little from each other in direction, so they are described
+    after the mean of the sample is taken away. It is taken away in full where that leaves linked
+    vectors close in direction, and else in part: what is left has a squared length of 4 * (1 - least)
+    on average, of which linked vectors (at most 2 * (1 - least) apart, squared) keep a cosine of 0.75.
+    Vectors much nearer to the centre than that also enter one list of their own.
+    """
 
-def _described(batches: Iterable[pa.RecordBatch], pivots: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Adds the numbers of the nearest pivots, in rising order; vectors of another length are cut or filled with 0."""
+    def __init__(self, points: list[list[float]], most: int, least: float) -> None:
+        width = max(map(len, points))
+        sample = _unit(np.array([[*p, *[0.0] * (width - len(p))] for p in points], np.float64))
+        mean = sample.mean(axis=0)
+        length, self.wide = float(mean @ mean), 4 * (1 - least)
+        keep = min(max(self.wide - (1 - length), 0.0) / max(length, 1e-9), 1.0) ** 0.5
+        self.centre = (1 - keep) * mean
+        self.pivots = self._farthest(_scaled(sample - self.centre), most)
+        self.nearest = min(len(self.pivots), max(SHARED + 1, len(self.pivots).bit_length()))
+        #: Places in the order of the nearest pivots that make a list: the nearer one, the farther may the other be.
+        self.places = [(i, j) for i, j in combinations(range(self.nearest), SHARED) if i + j < max(self.nearest, SHARED)]
+
+    @staticmethod
+    def _farthest(sample: np.ndarray, most: int) -> np.ndarray:
+        """Each next point is the one farthest from those before; the first is the farthest from the first of the sample."""
+        found = [int(np.argmin(sample @ sample[0]))]
+        near = sample @ sample[found[0]]
+        while len(found) < most and near.min() < 1 - 1e-6:
+            found.append(int(np.argmin(near)))
+            near = np.maximum(near, sample @ sample[found[-1]])
+        pivots = sample[found]
+        return pivots if len(found) >= SHARED else np.vstack([pivots, -pivots])
+
+    def lists(self, unit: np.ndarray) -> np.ndarray:
+        """Numbers of the lists of each vector; the last is CENTRE or NONE. Vectors of another length are cut or filled with 0."""
+        k = min(unit.shape[1], len(self.centre))
+        left = unit[:, :k] - self.centre[:k]
+        near = _scaled(left) @ self.pivots[:, :k].T
+        order = np.argsort(-near, axis=1, kind="stable")[:, : self.nearest].astype(np.int32)
+        n = len(self.pivots)
+        made = [1 + np.minimum(order[:, i], order[:, j]) * n + np.maximum(order[:, i], order[:, j]) for i, j in self.places]
+        inner = (left * left).sum(axis=1) < self.wide / 2
+        return np.stack([*made, np.where(inner, CENTRE, NONE)], axis=1).astype(np.int32)
+
+
+def _described(batches: Iterable[pa.RecordBatch], reference: Reference) -> Iterator[pa.RecordBatch]:
+    """Adds the numbers of the lists of each vector."""
     for batch in batches:
-        found = np.zeros((batch.num_rows, min(NEAREST, len(pivots))), np.int32)
+        found = np.full((batch.num_rows, len(reference.places) + 1), NONE, np.int32)
         sizes = pc.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False)
         for d in np.unique(sizes):
             some = np.flatnonzero(sizes == d)
-            unit = _unit(_rows(batch.column(3).take(pa.array(some))))
-            k = min(int(d), pivots.shape[1])
-            near = unit[:, :k] @ pivots[:, :k].T
-            top = np.argpartition(-near, found.shape[1] - 1, axis=1)[:, : found.shape[1]]
-            found[some] = np.sort(top, axis=1)
+            for at in range(0, len(some), 2048):
+                part = some[at : at + 2048]
+                found[part] = reference.lists(_unit(_rows(batch.column(3).take(pa.array(part)))))
         column = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, found.shape[1], dtype=np.int32)), pa.array(found.ravel()))
-        yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, "pivots"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, "lists"])
 
 
 def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For rows of sorted pivot numbers, the two smallest that both have (-1: fewer)."""
-    both = (a[:, :, None] == b[:, None, :]).any(axis=2)
-    order = np.where(both, a, np.iinfo(np.int32).max)
-    return np.sort(order, axis=1)[:, :SHARED]
+    """For rows of list numbers, the smallest that both have."""
+    both = (a[:, :, None] == b[:, None, :]).any(axis=2) & (a != NONE)
+    return np.where(both, a, np.iinfo(np.int32).max).min(axis=1)
 
 
-def _links(ids: np.ndarray, weights: np.ndarray, unit: np.ndarray, pivots: np.ndarray, side: np.ndarray, key: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+def _links(ids: np.ndarray, weights: np.ndarray, unit: np.ndarray, lists: np.ndarray, side: np.ndarray, key: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Links of one list or of two parts of it: counts for each vector, and the smallest linked place of each group.
 
-    A pair that several lists hold is counted in the list of its smallest shared pivots only.
+    A pair that several lists hold is counted in the smallest of them only.
     """
     n = len(ids)
     counts, linked = np.zeros(n, np.int64), np.zeros((n, n), bool)
@@ -81,9 +119,9 @@ def _links(ids: np.ndarray, weights: np.ndarray, unit: np.ndarray, pivots: np.nd
         keep = (i < j) & ((side[i] != side[j]) if two else True)
         i, j = i[keep], j[keep]
         linked[i, j] = linked[j, i] = True
-        for lo in range(0, len(i), 100_000):
-            a, b = i[lo : lo + 100_000], j[lo : lo + 100_000]
-            own = (_first_shared(pivots[a], pivots[b]) == key).all(axis=1)
+        for lo in range(0, len(i), 50_000):
+            a, b = i[lo : lo + 50_000], j[lo : lo + 50_000]
+            own = _first_shared(lists[a], lists[b]) == key
             np.add.at(counts, a[own], weights[b[own]])
             np.add.at(counts, b[own], weights[a[own]])
     np.fill_diagonal(linked, True)
@@ -96,7 +134,7 @@ def _links(ids: np.ndarray, weights: np.ndarray, unit: np.ndarray, pivots: np.nd
 
 
 def _compared(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (group, id, weight, vector, pivots, p, q, side): the rows of a group follow each other."""
+    """Sorted rows (group, id, weight, vector, lists, list, side): the rows of a group follow each other."""
     held: list[pa.RecordBatch] = []
 
     def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -109,8 +147,8 @@ def _compared(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.Re
         for d in np.unique(sizes):
             some = np.flatnonzero(sizes == d)
             unit[some, :d] = _unit(_rows(table.column("vector").take(pa.array(some)).combine_chunks()))
-        pivots = _rows(table.column("pivots").combine_chunks()).astype(np.int32)
-        p, q, side = (table.column(c).to_numpy() for c in ("p", "q", "side"))
+        lists = table.column("lists").combine_chunks().flatten().to_numpy().reshape(len(groups), -1)
+        own, side = (table.column(c).to_numpy() for c in ("list", "side"))
         edges = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
         a: list = []
         b: list = []
@@ -118,7 +156,7 @@ def _compared(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.Re
         for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(groups)], strict=True):
             if hi - lo < 2:
                 continue
-            counts, label = _links(np.arange(hi - lo), weights[lo:hi], unit[lo:hi], pivots[lo:hi], side[lo:hi], np.array([p[lo], q[lo]]), least)
+            counts, label = _links(np.arange(hi - lo), weights[lo:hi], unit[lo:hi], lists[lo:hi], side[lo:hi], int(own[lo]), least)
             for k in np.flatnonzero(counts).tolist():
                 a.append(ids[lo + k]), b.append(None), n.append(int(counts[k]))
             for k in np.flatnonzero(label != np.arange(hi - lo)).tolist():
@@ -144,16 +182,17 @@ def _compared(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.Re
 def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, pivots: int | None = None) -> DataFrame:
     """(id, n_links, component_id, kept) per row: vectors of one label whose cosine is `least` or more are linked.
 
-    Equal vectors of a label form a class. A class is described by its NEAREST pivots, the closest of
-    the reference points, and enters the inverted list of each two of them; classes that meet in a
-    list share SHARED pivots or more and are compared. Long lists are dealt into parts of about PART
-    vectors, and parts are compared by twos, so a list of any length is compared whole. Links are
-    counted where they are found and never listed: what leaves a list is a count for each vector and
-    a spanning tree of each linked group.
+    Equal vectors of a label form a class. A class is described by the order of its nearest pivots (as
+    many as their number has binary digits) and enters the inverted lists of two of them whose
+    ranks add up to little; classes that meet in a list share SHARED pivots near the front of both
+    orders and are compared. Long lists are dealt into parts of about PART vectors, and parts are
+    compared by twos, so a list of any length is compared whole. Links are counted where they are
+    found and never listed: what leaves a list is a count for each vector and a spanning tree of each
+    linked group.
 
-    The reference points are taken from the 2 * `pivots` vectors of smallest id hash, leaving out those
-    close to one taken before; `pivots` is by default half the square root of the class count, at
-    least 32 and at most MOST_PIVOTS.
+    The reference points are the farthest from each other of the 2 * `pivots` vectors of smallest id
+    hash, seen from their mean (`Reference`); `pivots` is by default half the square root of the class
+    count, at least 32 and at most MOST_PIVOTS.
 
     A vector that is null, empty or zero, or holds a null or a non-finite component, a null label and
     a null id link with nothing. Vectors of different lengths are not linked. Rows that repeat an id
@@ -170,20 +209,19 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     wanted = pivots or max(32, min(MOST_PIVOTS, int(n**0.5 / 2)))
     points = [r[0] for r in classes.orderBy(F.xxhash64("node"), "node").limit(2 * wanted).select("vector").collect()]
     if n > 1:
-        reference = _apart(points, wanted)
-        if len(reference) < SHARED:  # all vectors are close to one: its opposite makes a second point
-            reference = np.vstack([reference, -reference])
-        described = classes.mapInArrow(lambda it: _described(it, reference), T.StructType([*classes.schema.fields, T.StructField("pivots", T.ArrayType(T.IntegerType()))]))
-        pairs = [F.struct(F.get("pivots", F.lit(i)).alias("p"), F.get("pivots", F.lit(j)).alias("q")) for i, j in combinations(range(min(NEAREST, len(reference))), SHARED)]
-        listed = described.select("*", F.inline(F.array(*pairs)))
-        sizes = described.select("label", F.size("vector").alias("d"), F.inline(F.array(*pairs))).groupBy("label", "d", "p", "q").agg(F.count("*").alias("in_list")).filter("in_list > 1")
-        listed = listed.withColumn("d", F.size("vector")).join(sizes, ["label", "d", "p", "q"])
+        reference = Reference(points, wanted, least)
+        described = classes.mapInArrow(lambda it: _described(it, reference), T.StructType([*classes.schema.fields, T.StructField("lists", T.ArrayType(T.IntegerType()))]))
+        described = described.withColumn("d", F.size("vector"))
+        entered = F.explode(F.filter("lists", lambda x: x != NONE)).alias("list")
+        listed = described.select("*", entered)
+        sizes = described.select("label", "d", entered).groupBy("label", "d", "list").agg(F.count("*").alias("in_list")).filter("in_list > 1")
+        listed = listed.join(sizes, ["label", "d", "list"])
         parts = F.ceil(F.col("in_list") / PART)
         listed = listed.withColumn("side", F.pmod(F.xxhash64("node", F.lit(3)), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-        group = F.xxhash64("label", "d", "p", "q", F.least("side", "other"), F.greatest("side", "other"))
-        listed = listed.select(group.alias("group"), F.col("node").alias("id"), "weight", "vector", "pivots", "p", "q", "side", "label", "d")
+        group = F.xxhash64("label", "d", "list", F.least("side", "other"), F.greatest("side", "other"))
+        listed = listed.select(group.alias("group"), F.col("node").alias("id"), "weight", "vector", "lists", "list", "side")
         sorted_ = listed.repartition("group").sortWithinPartitions("group")
-        found = sorted_.select("group", "id", "weight", "vector", "pivots", "p", "q", "side").mapInArrow(lambda it: _compared(it, least), f"a {kind}, b {kind}, n long")
+        found = sorted_.mapInArrow(lambda it: _compared(it, least), f"a {kind}, b {kind}, n long")
         found = stored(found, "vector-links")
         more = found.filter("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("more"))
         linked = components(found.filter("n is null").select("a", "b")).select(F.col("id").alias("node"), "component")

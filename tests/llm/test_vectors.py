@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from siltlog.llm import vectors
 from siltlog.llm.components import components
@@ -61,6 +62,38 @@ def test_long_lists_are_compared_in_parts(spark, monkeypatch):
     assert sorted(map(tuple, vectors.near_vectors(frame, pivots=4).collect())) == whole
 
 
+def leaning(cosine, n=6000, wide=384, pairs=600, seed=8):
+    """Unit vectors whose mean cosine is given; the last ones are at 0.982 to the first."""
+    rng = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(cosine**0.5 * unit(rng.normal(size=(1, wide))) + (1 - cosine) ** 0.5 * unit(rng.normal(size=(n, wide))))
+    g = rng.normal(size=(pairs, wide))
+    g -= (g * x[:pairs]).sum(axis=1, keepdims=True) * x[:pairs]
+    return np.vstack([x, 0.982 * x[:pairs] + (1 - 0.982**2) ** 0.5 * unit(g)])
+
+
+@pytest.mark.parametrize("cosine", [0, 0.8, 0.92])
+def test_leaning_vectors_meet_in_few_lists(cosine):
+    x, pairs = leaning(cosine), 600
+    some = np.random.default_rng(1).permutation(len(x))[:80].tolist()
+    lists = vectors.Reference(x[some].tolist(), 40, 0.98).lists(x)
+    numbers, n = np.unique(lists[lists != vectors.NONE], return_counts=True)
+    assert (n * (n - 1) / 2).sum() < 0.25 * len(x) * (len(x) - 1) / 2
+    shared = vectors._first_shared(lists[:pairs], lists[-pairs:]) < np.iinfo(np.int32).max
+    assert shared.mean() >= 0.9
+
+
+def test_one_narrow_cone(spark):
+    # all but a few vectors lie next to the mean, some of them on either side of it
+    x = leaning(0.985, 300, 24, 40)
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(np.float32(x))] + [(900 + k, v.tolist(), 0) for k, v in enumerate(np.float32(leaning(0, 20, 24, 5)))]
+    want = brute(rows)
+    got = {r["vec_id"]: r for r in vectors.near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()}
+    links = sum(n for n, _ in want.values())
+    assert links > 10_000 and 0.95 * links <= sum(r["n_links"] for r in got.values()) <= links
+    assert all(got[k]["n_links"] <= n for k, (n, _) in want.items())
+
+
 def test_odd_vectors(spark):
     a = [1.0, 0.0, 0.5]
     rows = [(1, a, 0), (2, a, 0), (3, [2.0, 0.0, 1.0], 0), (4, a, 1), (5, a, None), (6, None, 0), (7, [], 0), (8, [0.0, 0.0, 0.0], 0), (9, [1.0, None, 0.5], 0), (10, [1.0, float("nan"), 0.5], 0), (11, [1.0, float("inf"), 0.5], 0), (12, [1.0, -0.0, 0.5], 0), (13, [1.0, 0.0], 0), (14, [-1.0, 0.0, -0.5], 0)]
