@@ -21,8 +21,10 @@ SHARED = 2
 PART = 1024
 #: Most pivots, taken from a sample of twice as many vectors.
 MOST_PIVOTS = 1024
-#: List of the vectors next to the centre, and no list.
-CENTRE, NONE = 0, -1
+#: Share of planted pairs (PLANTED or more) that must meet in a list, and the most nearest pivots that are tried for it.
+ENOUGH, PLANTED, MOST_NEAREST = 0.97, 1000, 16
+#: List of the vectors next to the centre, no list, and a number above all lists.
+CENTRE, NONE, NEVER = 0, -1, np.iinfo(np.int32).max
 
 
 def _rows(column: pa.Array) -> np.ndarray:
@@ -40,37 +42,42 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 class Reference:
-    """Ordered reference points, seen from a centre, and the lists that a vector enters by its nearest ones.
+    """Reference points, seen from the mean of a sample, and the lists that a vector enters by the order of its nearest ones.
 
-    Vectors that lean to one side differ little from each other in direction, so they are described
-    after the mean of the sample is taken away. It is taken away in full where that leaves linked
-    vectors close in direction, and else in part: what is left has a squared length of 4 * (1 - least)
-    on average, of which linked vectors (at most 2 * (1 - least) apart, squared) keep a cosine of 0.75.
-    Vectors much nearer to the centre than that also enter one list of their own.
+    Vectors that lean to one side differ little in direction, so they are described after the mean is
+    taken away. How many nearest points describe a vector is found by planting: each vector of the
+    sample that is no such point gets partners whose cosine is just `least`, and the number rises until ENOUGH of these
+    pairs meet in a list, so narrow cones cost more lists, not recall. Vectors no farther from the
+    mean than linked ones are from each other also enter one list of their own.
     """
 
     def __init__(self, points: list[list[float]], most: int, least: float) -> None:
         width = max(map(len, points))
         sample = _unit(np.array([[*p, *[0.0] * (width - len(p))] for p in points], np.float64))
-        mean = sample.mean(axis=0)
-        length, self.wide = float(mean @ mean), 4 * (1 - least)
-        keep = min(max(self.wide - (1 - length), 0.0) / max(length, 1e-9), 1.0) ** 0.5
-        self.centre = (1 - keep) * mean
-        self.pivots = self._farthest(_scaled(sample - self.centre), most)
-        self.nearest = min(len(self.pivots), max(SHARED + 1, len(self.pivots).bit_length()))
-        #: Places in the order of the nearest pivots that make a list: the nearer one, the farther may the other be.
-        self.places = [(i, j) for i, j in combinations(range(self.nearest), SHARED) if i + j < max(self.nearest, SHARED)]
+        self.centre, self.inner = sample.mean(axis=0), 1 - least
+        seen = _scaled(sample - self.centre)
+        found = self._farthest(seen, most)
+        self.pivots = seen[found] if len(found) >= SHARED else np.vstack([seen[found], -seen[found]])
+        others = np.setdiff1d(np.arange(len(sample)), found)
+        sample = sample[np.resize(others if len(others) else found, max(PLANTED, len(others)))]
+        aside = np.random.default_rng(7).normal(size=sample.shape)
+        aside = _scaled(aside - (aside * sample).sum(axis=1, keepdims=True) * sample)
+        planted = least * sample + max(1 - least * least, 0.0) ** 0.5 * aside
+        for self.nearest in range(min(SHARED + 1, len(self.pivots)), min(MOST_NEAREST, len(self.pivots)) + 1):
+            #: Places in the order of the nearest points that make a list: the nearer one, the farther may the other be.
+            self.places = [(i, j) for i, j in combinations(range(self.nearest), SHARED) if i + j < max(self.nearest, SHARED)]
+            if (_first_shared(self.lists(sample), self.lists(planted)) < NEVER).mean() >= ENOUGH:
+                break
 
     @staticmethod
-    def _farthest(sample: np.ndarray, most: int) -> np.ndarray:
-        """Each next point is the one farthest from those before; the first is the farthest from the first of the sample."""
+    def _farthest(sample: np.ndarray, most: int) -> list[int]:
+        """Places of the points. Each next one is the one farthest from those before; the first is the farthest from the first of the sample."""
         found = [int(np.argmin(sample @ sample[0]))]
         near = sample @ sample[found[0]]
         while len(found) < most and near.min() < 1 - 1e-6:
             found.append(int(np.argmin(near)))
             near = np.maximum(near, sample @ sample[found[-1]])
-        pivots = sample[found]
-        return pivots if len(found) >= SHARED else np.vstack([pivots, -pivots])
+        return found
 
     def lists(self, unit: np.ndarray) -> np.ndarray:
         """Numbers of the lists of each vector; the last is CENTRE or NONE. Vectors of another length are cut or filled with 0."""
@@ -80,7 +87,7 @@ class Reference:
         order = np.argsort(-near, axis=1, kind="stable")[:, : self.nearest].astype(np.int32)
         n = len(self.pivots)
         made = [1 + np.minimum(order[:, i], order[:, j]) * n + np.maximum(order[:, i], order[:, j]) for i, j in self.places]
-        inner = (left * left).sum(axis=1) < self.wide / 2
+        inner = (left * left).sum(axis=1) <= self.inner
         return np.stack([*made, np.where(inner, CENTRE, NONE)], axis=1).astype(np.int32)
 
 
@@ -101,7 +108,7 @@ def _described(batches: Iterable[pa.RecordBatch], reference: Reference) -> Itera
 def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For rows of list numbers, the smallest that both have."""
     both = (a[:, :, None] == b[:, None, :]).any(axis=2) & (a != NONE)
-    return np.where(both, a, np.iinfo(np.int32).max).min(axis=1)
+    return np.where(both, a, NEVER).min(axis=1)
 
 
 def _links(ids: np.ndarray, weights: np.ndarray, unit: np.ndarray, lists: np.ndarray, side: np.ndarray, key: int, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -182,16 +189,15 @@ def _compared(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.Re
 def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, pivots: int | None = None) -> DataFrame:
     """(id, n_links, component_id, kept) per row: vectors of one label whose cosine is `least` or more are linked.
 
-    Equal vectors of a label form a class. A class is described by the order of its nearest pivots (as
-    many as their number has binary digits) and enters the inverted lists of two of them whose
-    ranks add up to little; classes that meet in a list share SHARED pivots near the front of both
+    Equal vectors of a label form a class. A class is described by the order of its nearest pivots and
+    enters the inverted lists of two of them whose ranks add up to little; classes that meet in a list share SHARED pivots near the front of both
     orders and are compared. Long lists are dealt into parts of about PART vectors, and parts are
     compared by twos, so a list of any length is compared whole. Links are counted where they are
     found and never listed: what leaves a list is a count for each vector and a spanning tree of each
     linked group.
 
     The reference points are the farthest from each other of the 2 * `pivots` vectors of smallest id
-    hash, seen from their mean (`Reference`); `pivots` is by default half the square root of the class
+    hash, seen from their mean (`Reference`); `pivots` is by default the square root of the class
     count, at least 32 and at most MOST_PIVOTS.
 
     A vector that is null, empty or zero, or holds a null or a non-finite component, a null label and
@@ -206,7 +212,7 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     usable = rows.filter(good).select("id", "label", F.transform("vector", lambda x: x + F.lit(0).cast("float")).alias("vector"))
     classes = stored(usable.groupBy("label", "vector").agg(F.min("id").alias("node"), F.count("*").alias("weight")).select("node", "label", "weight", "vector"), "vector-classes")
     n = classes.count()
-    wanted = pivots or max(32, min(MOST_PIVOTS, int(n**0.5 / 2)))
+    wanted = pivots or max(32, min(MOST_PIVOTS, int(n**0.5)))
     points = [r[0] for r in classes.orderBy(F.xxhash64("node"), "node").limit(2 * wanted).select("vector").collect()]
     if n > 1:
         reference = Reference(points, wanted, least)
