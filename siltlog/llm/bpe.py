@@ -6,6 +6,7 @@ import base64
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ from siltlog.llm.blocks import expand, join_bytes, split_bytes, squeeze
 BLOCK_BYTES = 18_000_000
 #: Documents in a row: their word numbers are compressed together.
 TOGETHER = 64
+#: Characters from which a text's pre-tokens are found in runs, and the pre-tokens or ids of a run.
+LONG, RUN = 500_000, 200_000
 #: Words of a bucket that a task remembers the ids of, before it starts afresh.
 REMEMBERED = 1_000_000
 
@@ -35,10 +38,19 @@ def _block_rows(batches: Iterable[pa.RecordBatch], pattern: str, buckets: int) -
     """Rows of documents (block, ids, sizes, seq: word numbers end to end) and of the words of a bucket (block, bucket, places, names)."""
     import regex
 
-    find, block, size, numbers = regex.compile(pattern).findall, TaskContext.get().partitionId() << 24, 0, {}
+    compiled, block, size, numbers = regex.compile(pattern), TaskContext.get().partitionId() << 24, 0, {}
     kind = None
     names = ["block", "ids", "sizes", "seq", "bucket", "places", "names"]
 
+    def found(text: str) -> Iterator[list[str]]:
+        """The pre-tokens of a text; those of a long one in runs, so that they are never held together."""
+        if len(text) < LONG:
+            yield compiled.findall(text)
+            return
+        matches = compiled.finditer(text)
+        while run := [m.group() for m in islice(matches, RUN)]:
+            yield run
+
     def vocabulary() -> pa.RecordBatch:
         held = [w.encode() for w in numbers]
         of = np.fromiter((zlib.crc32(w) % buckets for w in held), np.int64, len(held))
@@ -54,11 +66,15 @@ def _block_rows(batches: Iterable[pa.RecordBatch], pattern: str, buckets: int) -
             rows: list[tuple] = []
             for lo in range(0, len(texts), TOGETHER):
                 some = texts.slice(lo, TOGETHER)
-                found = [find(text or "") for text in some.to_pylist()]
-                size += sum(map(len, (w for f in found for w in f)))
-                seq = np.fromiter((numbers.setdefault(w, len(numbers)) for f in found for w in f), np.int64, sum(map(len, found)))
+                sizes, runs = np.zeros(len(some), np.int64), [np.zeros(0, np.uint32)]
+                for k, text in enumerate(some):
+                    for run in found(text.as_py() or ""):
+                        size += sum(map(len, run))
+                        runs.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in run), np.uint32, len(run)))
+                        sizes[k] += len(run)
+                seq = np.concatenate(runs)
                 ids = batch.column(0).slice(at + lo, len(some)).to_pylist()
-                rows.append((ids, squeeze(np.array([len(f) for f in found], np.int64)), squeeze(seq)))
+                rows.append((ids, squeeze(sizes), squeeze(seq)))
             n, columns = len(rows), list(zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(columns[0], pa.list_(kind)), *[pa.array(c, pa.binary()) for c in columns[1:]], pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.binary())] * 2], names)
             if size >= BLOCK_BYTES:
@@ -98,6 +114,10 @@ def _encoded(batches: Iterable[pa.RecordBatch], pattern: str, ranks_path: str) -
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary()), pa.array(used, pa.list_(pa.int32()))], ["block", "places", "sizes", "ids", "used"])
 
 
+def _runs(values: np.ndarray) -> Iterator[np.ndarray]:
+    return (values[lo : lo + RUN] for lo in range(0, len(values), RUN))
+
+
 def _assembled(docs: pa.Table, entries: pa.Table, decoded: bool) -> pa.Table:
     """Ids of each document of a block and, if `decoded`, the bytes that they stand for by the block's rows of the token table."""
     docs = docs.filter(pc.is_valid(docs.column("seq")))
@@ -110,9 +130,9 @@ def _assembled(docs: pa.Table, entries: pa.Table, decoded: bool) -> pa.Table:
     ids, out, ends = ids.astype(np.int32), [], [0]
     for sizes, seq in zip(docs.column("sizes").to_pylist(), docs.column("seq").to_pylist(), strict=True):
         at = expand(seq)
-        out.append(words.gather(ids, starts[at], lengths[at]))
-        before = ends[-1] + np.concatenate([[0], np.cumsum(lengths[at])])
-        ends += before[np.cumsum(expand(sizes))].tolist()
+        out += [words.gather(ids, starts[run], lengths[run]) for run in _runs(at)]
+        for run in np.split(at, np.cumsum(expand(sizes))[:-1]):
+            ends.append(ends[-1] + int(lengths[run].sum()))
     tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *out])))
     columns = {"id": pc.list_flatten(docs.column("ids")), "tokens": tokens}
     if decoded:
@@ -172,13 +192,13 @@ class TokenBytes:
     def of(self, column: pa.Array) -> pa.Array:
         """Bytes of each array of ids; null gives null, an unknown id fails."""
         ids = column.flatten().to_numpy(zero_copy_only=False)
-        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.lengths) or self.lengths[ids].min() < 0):
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.lengths) or any(self.lengths[run].min() < 0 for run in _runs(ids))):
             raise ValueError("unknown token id")
-        lengths = self.lengths[ids]
-        rows = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        data = words.gather(self.data, self.starts[ids], lengths)
-        ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(rows)])].astype(np.int64)
-        made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
+        edges = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        rows = len(column)
+        data = np.concatenate([np.zeros(0, np.uint8), *[words.gather(self.data, self.starts[run], self.lengths[run]) for run in _runs(ids)]])
+        ends = np.cumsum([0, *[int(self.lengths[ids[a:b]].sum()) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]], dtype=np.int64)
+        made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), rows, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
         return pc.if_else(column.is_valid(), made, pa.scalar(None, pa.large_binary())).cast(pa.binary())
 
 
