@@ -179,7 +179,9 @@ def classify(docs: DataFrame, model: Model, *, text_col: str = "text", host_col:
 
     A host's score is the mean of its documents' scores, drawn to the mean of all by a prior whose
     weight comes from how much hosts differ; a path's (host and path column) is drawn to its host's
-    in the same way. `quality` adds the path's log odds against the mean of all to the document's.
+    in the same way. Both leave the document itself out, whose score is evidence of its own: with no
+    other document in its path it has its host's score, with none in its host the mean of all.
+    `quality` adds the path's log odds against the mean of all to the document's.
     Texts are scored once: the rows with their scores are written before they are grouped.
 
     Null and empty texts are scored as texts without words; null hosts and paths are a host and a
@@ -212,11 +214,14 @@ def classify(docs: DataFrame, model: Model, *, text_col: str = "text", host_col:
 
     mean, host_weight = prior(hosts)
     _, path_weight = prior(paths)
-    hosts = hosts.select(F.col("host").alias("of"), ((F.col("s") + host_weight * mean) / (F.col("n") + host_weight)).alias("host_score"))
-    paths = paths.join(hosts, F.col("host").eqNullSafe(F.col("of"))).select("host", "path", "host_score", ((F.col("s") + path_weight * F.col("host_score")) / (F.col("n") + path_weight)).alias("path_score"))
-    paths = stored(paths, "path-scores").select(F.struct("host", "path").alias("site"), "host_score", "path_score")
+    hosts = hosts.select(F.col("host").alias("of"), F.col("n").alias("host_n"), F.col("s").alias("host_s"))
+    paths = paths.join(hosts, F.col("host").eqNullSafe(F.col("of"))).select(F.struct("host", "path").alias("site"), "n", "s", "host_n", "host_s")
+    paths = stored(paths, "sites")
     small = paths.count() <= SENT_PATHS
     joined = rows.join(F.broadcast(paths) if small else paths, F.struct("host", "path").eqNullSafe(F.col("site")), "left")
+    others = lambda total: F.greatest(F.col(total) - F.col("doc_score"), F.lit(0.0))
+    joined = joined.withColumn("host_score", (others("host_s") + host_weight * mean) / (F.col("host_n") - 1 + host_weight))
+    joined = joined.withColumn("path_score", (others("s") + path_weight * F.col("host_score")) / (F.col("n") - 1 + path_weight))
     quality = 1 / (1 + F.exp(-(_logit(F.col("doc_score")) + _logit(F.col("path_score")) - _logit(F.lit(mean)))))
     return joined.select(*[F.col(f"row.`{c}`").alias(c) for c in names], "doc_score", "host_score", "path_score", quality.alias("quality"), (quality >= threshold).alias("kept"))
 

@@ -82,7 +82,7 @@ def test_classifier_by_hand(spark, sf, stages):
     want = []
     for r, s in zip(rows, scores, strict=True):
         (n, t), (m, u) = hosts[r["source"]], paths[r["source"], r["lang"]]
-        path = (u + b * (t + a * mean) / (n + a)) / (m + b)
+        path = (u - s + b * (t - s + a * mean) / (n - 1 + a)) / (m - 1 + b)
         odds = [math.log(p / (1 - p)) for p in (min(max(x, 1e-6), 1 - 1e-6) for x in (s, path, mean))]
         if odds[0] + odds[1] - odds[2] >= 0:
             want.append((r["doc_id"], r["text"]))

@@ -155,6 +155,18 @@ def test_byte_bpe(spark):
     assert len(got[2]) == 2 and got[None][0][1] == b"the" and bpe.encode(df.limit(0), path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_byte_bpe_of_long_texts_in_runs(spark):
+    import public_tokenizers
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoder = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    texts = ["it's  a   long\n\n text 12345 \t end " * 40_000, "don't  stop  " * 9, "a b\n" + " " * 3000, ""]
+    got = {r["doc_id"]: r for r in bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, public_tokenizers.PATTERN, buckets=3, decoded=True).collect()}
+    for k, t in enumerate(texts):
+        assert got[k]["tokens"] == encoder.encode_ordinary(t) and bytes(got[k]["decoded"]) == t.encode()
+
+
 def test_byte_bpe_query_on_all_documents(spark):
     import public_tokenizers
     import tiktoken
@@ -491,7 +503,7 @@ def test_quality_features(monkeypatch):
 
 def test_posteriors_by_hand(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("site", F.lit(1)).withColumn("row", F.lit(2)).withColumn("__site", F.lit(3))
-    docs = docs.withColumn("source", F.when(F.col("doc_id") % 11 > 0, F.col("source"))).unionByName(docs.limit(3))
+    docs = docs.withColumn("source", F.when(F.col("doc_id") == 5, "alone").when(F.col("doc_id") % 11 > 0, F.col("source"))).unionByName(docs.filter("doc_id in (1, 2, 3)"))
     model = quality.fit(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
     got = quality.classify(docs, model, without=("text",)).collect()
     assert len(got) == docs.count() and got[0]["__site"] == 3 and "text" not in got[0]
@@ -509,14 +521,15 @@ def test_posteriors_by_hand(spark):
         spread = (sum(c * (s / c - mean) ** 2 for c, s in of.values()) - (len(of) - 1) * within) / (n - sum(c * c for c, _ in of.values()) / n)
         return mean, min(max(within / spread - 1, 1), 1e6) if spread > 0 else 1e6
 
+    assert sum(r["source"] == "alone" for r in got) == 1
     hosts, paths = groups(lambda r: r["source"]), groups(lambda r: (r["source"], r["lang"]))
     (mean, a), (_, b) = prior(hosts), prior(paths)
     logit = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
     assert None in hosts and len(paths) > len(hosts)
     for r in got:
         (n, s), (m, t) = hosts[r["source"]], paths[r["source"], r["lang"]]
-        host = (s + a * mean) / (n + a)
-        path = (t + b * host) / (m + b)
+        host = (s - r["doc_score"] + a * mean) / (n - 1 + a)
+        path = (t - r["doc_score"] + b * host) / (m - 1 + b)
         odds = logit(r["doc_score"]) + logit(path) - logit(mean)
         assert (r["host_score"], r["path_score"], r["quality"]) == pytest.approx((host, path, 1 / (1 + math.exp(-odds)))) and r["kept"] == (r["quality"] >= 0.5)
 
