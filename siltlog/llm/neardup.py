@@ -24,19 +24,23 @@ SMALL = 8
 MISSED = 1e-6
 #: Regions of more members, or of more shingles, are dealt to parts; each part of rows meets each part of columns.
 LARGE, LARGE_SHINGLES = 2048, 4_000_000
+#: Values in each further order for members of crowded regions, drawn from DEEP_VALUES; a depth that needs over MOST_TREES orders is left out.
+DEEPER, DEEP_VALUES, MOST_TREES = (8, 12), 1024, 1000
 #: Document ids are sent to every executor up to this many (8 bytes each), else both sides are shuffled.
 SENT_IDS = 1_000_000
 
 _RANDOM = np.random.default_rng(7)
 _FACTOR = (_RANDOM.integers(0, 2**31, VALUES, dtype=np.uint32) * np.uint32(2)) + np.uint32(1)
 _SHIFT = _RANDOM.integers(0, 2**32, VALUES, dtype=np.uint32)
+_DEEP_FACTOR = (_RANDOM.integers(0, 2**31, DEEP_VALUES, dtype=np.uint32) * np.uint32(2)) + np.uint32(1)
+_DEEP_SHIFT = _RANDOM.integers(0, 2**32, DEEP_VALUES, dtype=np.uint32)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
+def signature(shingles: np.ndarray, factor: np.ndarray = _FACTOR, shift: np.ndarray = _SHIFT) -> np.ndarray:
     keys = (shingles >> np.uint64(32)).astype(np.uint32)
-    least = np.full(VALUES, 2**32 - 1, np.uint32)
+    least = np.full(len(factor), 2**32 - 1, np.uint32)
     for at in range(0, len(keys), 2048):
-        np.minimum(least, (keys[at : at + 2048, None] * _FACTOR + _SHIFT).min(axis=0), out=least)
+        np.minimum(least, (keys[at : at + 2048, None] * factor + shift).min(axis=0), out=least)
     return least
 
 
@@ -201,43 +205,98 @@ def _tied(block: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": nodes.take(pa.array(np.concatenate(left))), "b": nodes.take(pa.array(np.concatenate(right)))})
 
 
-def _crossing(regions: DataFrame, sketches: DataFrame, sets: DataFrame, label: DataFrame | None, percent: int) -> DataFrame:
+def _orders_needed(depth: int, percent: int) -> int | None:
+    """Orders of `depth` random values in which a pair of just `percent` meets, but for a chance of MISSED; None above MOST_TREES."""
+    p, every = percent / 100, range(DEEP_VALUES + 1)
+    equal = np.array([comb(DEEP_VALUES, m) * p**m * (1 - p) ** (DEEP_VALUES - m) for m in every])
+    apart = 1 - np.array([comb(m, depth) / comb(DEEP_VALUES, depth) for m in every])
+    return next((n for n in range(1, MOST_TREES + 1) if (equal * apart**n).sum() <= MISSED), None)
+
+
+def _deep_keys(batches: Iterable[pa.RecordBatch], depth: int, orders: int) -> Iterator[pa.RecordBatch]:
+    rng = np.random.default_rng(depth)
+    chosen = np.array([rng.choice(DEEP_VALUES, depth, replace=False) for _ in range(orders)])
+    factor = rng.integers(0, 2**63, (orders, depth), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            some = batch.slice(at, 1000)
+            keys = [((signature(np.frombuffer(s.as_buffer(), np.uint64), _DEEP_FACTOR, _DEEP_SHIFT)[chosen].astype(np.uint64) + np.uint64(1)) * factor).sum(axis=1) for s in some.column(1)]
+            ends = pa.array(np.arange(some.num_rows + 1) * orders, pa.int32())
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys).view(np.int64)))], ["node", "keys"])
+
+
+def _deeper(crowded: DataFrame, sets: DataFrame, depth: int, orders: int) -> DataFrame:
+    """(key, node): each node once in each of `orders` orders; nodes of a key share `depth` values."""
+    kind = crowded.schema["node"].dataType.simpleString()
+    full = crowded.join(sets.select(F.col("id").alias("node"), "shingles"), "node")
+    keys = full.select("node", "shingles").mapInArrow(lambda it: _deep_keys(it, depth, orders), f"node {kind}, keys array<long>")
+    return stored(keys.select(F.explode("keys").alias("key"), "node"), "deeper")
+
+
+def _crossing(regions: DataFrame, sketches: DataFrame, sets: DataFrame, label: DataFrame | None, percent: int, depths: tuple[int, ...] = ()) -> DataFrame:
     """(a, b): links between members of a region whose components differ, as a spanning forest of each block.
 
+    Regions that one block can hold are compared as they are. Members of crowded ones go on to orders
+    of the next of `depths`, so many that a pair of just the wanted similarity meets in one, but for
+    a chance of MISSED. What is still crowded at the last depth is compared in full.
+    """
+    members, found = regions.filter(F.col("n") > min(SMALL, LARGE)).select("key", "node"), None
+    for depth in (*depths, None):
+        orders = depth and _orders_needed(depth, percent)
+        if depth and not orders:
+            continue
+        links, crowded = _compared(members, sketches, sets, label, percent, whole=depth is None)
+        found = links if found is None else found.unionByName(links)
+        if crowded is None:
+            break
+        members = _deeper(crowded, sets, depth, orders)
+    return found
+
+
+def _compared(members: DataFrame, sketches: DataFrame, sets: DataFrame, label: DataFrame | None, percent: int, *, whole: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Links (a, b) across the components of each region, and the nodes of regions left out as crowded, if any.
+
     Members outside a region's most frequent component are rows, all members are columns. Both are dealt
     to parts, and each part of rows meets each part of columns; small regions share a block. Members
     whose sketches agree with no partner of another component leave before the full sets come in.
+    A region is crowded if its rows and columns have more pairs than a block; none is if `whole`.
     """
-    members = regions.filter(F.col("n") > min(SMALL, LARGE)).select("key", "node")
+    kind, least = members.schema["node"].dataType.simpleString(), _agreement(percent)
+    of = sketches.select("node", "n_shingles")
     if label is None:
-        members = members.withColumn("component", F.col("node"))
+        of = of.withColumn("component", F.col("node"))
     else:
-        members = members.join(label.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    members = members.join(sketches, "node")
+        of = of.join(label.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    members = members.join(of, "node")
     sizes = members.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("s"))
     sizes = sizes.groupBy("key").agg(F.sum("c").alias("n"), F.sum("s").alias("s"), F.max(F.struct("c", "component", "s")).alias("main"))
     down = F.greatest((F.col("n") - F.col("main.c")) / LARGE, (F.col("s") - F.col("main.s")) / LARGE_SHINGLES)
     sizes = sizes.filter(F.col("n") > F.col("main.c")).select(
         "key",
         F.col("main.component").alias("main"),
+        ((F.col("n") - F.col("main.c")) * F.col("n")).alias("pairs"),
         (2 * F.col("s") - F.col("main.s")).alias("size"),
         F.ceil(down).cast("int").alias("down"),
         F.ceil(F.greatest(F.col("n") / LARGE, F.col("s") / LARGE_SHINGLES)).cast("int").alias("across"),
     )
-    sizes = stored(sizes, "open-regions")
+    sizes, crowded = stored(sizes, "open-regions"), None
+    if not whole:
+        above = sizes.filter(F.col("pairs") > LARGE * LARGE)
+        if above.limit(1).count():
+            crowded = stored(members.join(above.select("key"), "key").select("node").distinct(), "crowded")
+            sizes = sizes.filter(F.col("pairs") <= LARGE * LARGE)
     single = (F.col("down") == 1) & (F.col("across") == 1)
     bins = max(1, (sizes.filter(single).agg(F.sum("size")).first()[0] or 0) // LARGE_SHINGLES)
-    held = members.join(sizes.drop("size"), "key")
+    held = members.join(sizes.drop("size", "pairs"), "key").join(sketches.select("node", "sketch"), "node")
     part = F.xxhash64("node", "key")
     columns = held.select("*", F.lit(False).alias("is_row"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("r"), F.pmod(part, F.col("across")).cast("int").alias("c"))
     rows = held.filter(F.col("component") != F.col("main"))
     rows = rows.select("*", F.lit(True).alias("is_row"), F.pmod(part, F.col("down")).cast("int").alias("r"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("c"))
     both = columns.unionByName(rows).withColumn("single", single).withColumn("block", F.when(single, F.pmod("key", F.lit(bins))).otherwise(F.col("key")))
-    kind, least = regions.schema["node"].dataType.simpleString(), _agreement(percent)
     blocks = ["single", "block", "r", "c"]
     active = both.groupBy(*blocks).applyInArrow(lambda t: _active(t, least, percent), f"single boolean, block long, r int, c int, key long, node {kind}, is_row boolean, component int")
     full = active.join(sets.select(F.col("id").alias("node"), "shingles"), "node")
-    return full.groupBy(*blocks).applyInArrow(lambda t: _tied(t, percent), f"a {kind}, b {kind}")
+    return full.groupBy(*blocks).applyInArrow(lambda t: _tied(t, percent), f"a {kind}, b {kind}"), crowded
 
 
 def describe(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, seed: int = 0) -> DataFrame:
@@ -252,9 +311,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Documents of equal shingle sets form a class; signatures of classes stand in TREES sorted orders.
     Members of a region, those that share DEPTH or more leading values, are candidates: all of a small
-    region, sorted neighbours of a larger one, confirmed on the full sets. Then all members of larger
-    regions whose components still differ are compared, first by signature, and on the full sets where
-    enough values agree. Each component is found, not every link within one.
+    region, sorted neighbours of a larger one, confirmed on the full sets. Then members of larger regions
+    whose components still differ are compared, first by signature, and on the full sets where enough
+    values agree; depth follows crowding, as members of a crowded region are dealt to many orders of
+    DEEPER values, and compared in full where the last of these are still crowded. Each component is
+    found, not every link within one.
 
     Null or blank texts have no shingle, link with nothing and are kept. A null id stays a row of
     its own: its text can give no component an id, so it links with nothing. Rows that repeat an id
@@ -281,7 +342,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     full = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     links = stored(full.select("a", "b", "x", "y").mapInArrow(lambda it: _linked(it, percent), f"a {kind}, b {kind}"), "links")
     label = components(links)
-    more = stored(_crossing(regions, sketches, sets, label, percent), "crossing")
+    more = stored(_crossing(regions, sketches, sets, label, percent, DEEPER), "crossing")
     if more.limit(1).count():
         links = links.unionByName(more)
         label = components(links)

@@ -301,6 +301,57 @@ def test_near_duplicates_that_share_a_template(spark, monkeypatch):
         assert found >= 0.99 * 600 and all(c in (k, k - k % 2) for k, c in got.items())
 
 
+def template_pairs(pairs, template, own, same, seed=0):
+    """Texts 2k and 2k + 1 are near copies; all share a template, which alone is below the threshold."""
+    import random
+
+    head, texts = [f"t{k}" for k in range(template)], {}
+    for k in range(pairs):
+        tail = [f"d{k}x{i}" for i in range(own)]
+        texts[2 * k] = " ".join(head + tail)
+        texts[2 * k + 1] = " ".join([*head, *tail[:same], *(f"e{k}x{i}" for i in range(own - same))])
+    order = list(texts.items())
+    random.Random(seed).shuffle(order)
+    return order
+
+
+def test_orders_go_deeper_where_regions_are_crowded(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "LARGE", 30)
+    seen, compare = [], neardup._compared
+
+    def watched(members, *args, **named):
+        links, crowded = compare(members, *args, **named)
+        seen.append((named["whole"], crowded is not None))
+        return links, crowded
+
+    monkeypatch.setattr(neardup, "_compared", watched)
+    order = template_pairs(200, 300, 80, 38)  # similarities of 0.65 and, in pairs, 0.8
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string")).collect()}
+    assert got == {k: k - k % 2 for k, _ in order}
+    assert seen[0] == (False, True) and seen[-1][1] is False and len(seen) > 1
+
+
+def test_deeper_orders_bring_every_link_together(spark):
+    """Of pairs of just the wanted similarity, none is missed; others at 0.3 hardly meet."""
+    rng = np.random.default_rng(2)
+    sets, links = [], set()
+    common = rng.integers(0, 2**64, 46, np.uint64)
+    for k in range(60):
+        base = np.concatenate([common, rng.integers(0, 2**64, 40, np.uint64)])
+        for j in (0, 1):
+            sets.append((2 * k + j, np.unique(np.append(base, rng.integers(0, 2**64, 14, np.uint64))).tobytes()))
+        links.add((2 * k, 2 * k + 1))
+    df = spark.createDataFrame(sets, "id long, shingles binary")
+    for depth in neardup.DEEPER:
+        orders = neardup._orders_needed(depth, 75)
+        keys = neardup._deeper(df.select(F.col("id").alias("node")), df, depth, orders)
+        assert keys.count() == 120 * orders
+        two = keys.alias("x").join(keys.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")))
+        met = {tuple(r) for r in two.select("x.node", "y.node").distinct().collect()}
+        assert links <= met and len(met) < 120 * 119 / 2 / 5
+    assert neardup._orders_needed(8, 20) is None
+
+
 def test_warc_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/", "x", 0), (2, None, "x", 0), (3, "u\r\nEvil: 1", None, 0), (4, "u", "", 0), (5, "é", "é漢\r\n\r\nWARC/1.1\r\n", 0), (6, "big", "y" * 300_000, 0)], "page_id long, url string, html string, sha int")
     path = f"file://{tmp_path}/w"
