@@ -23,7 +23,7 @@ def _digest(host: str, path: str) -> int:
 
 
 def build(rules: list[Rule], path: str) -> None:
-    """Write rules as one file: four counts, sorted digests, offsets of the full strings, path lengths, the strings.
+    """Write rules as one file: four counts and the longest host, sorted digests, offsets of the full strings, path lengths, the strings.
 
     A repeated host and path keeps its last verdict. The file is meant to be memory-mapped: tasks on
     one machine share its pages, and only the touched pages are read.
@@ -34,9 +34,9 @@ def build(rules: list[Rule], path: str) -> None:
     order = np.argsort(keys, kind="stable")
     names = [names[k] for k in order]
     lengths = np.unique(np.array([len(p) for _, p in last], np.int64))
-    text = b"".join(names)
+    text, longest = b"".join(names), max((len(h) for h, _ in last), default=0)
     with open(path, "wb") as out:
-        for part in (np.array([len(keys), len(keys) + 1, len(lengths), len(text)], np.int64), keys[order], np.cumsum([0, *map(len, names)], dtype=np.int64), lengths):
+        for part in (np.array([len(keys), len(keys) + 1, len(lengths), len(text), longest], np.int64), keys[order], np.cumsum([0, *map(len, names)], dtype=np.int64), lengths):
             out.write(part.tobytes())
         out.write(text)
 
@@ -45,7 +45,8 @@ class Rules:
     """Memory-mapped rules of a file made by `build`."""
 
     def __init__(self, path: str) -> None:
-        sizes, at, parts = np.memmap(path, np.int64, "r", shape=(4,)).tolist(), 32, []
+        *sizes, self.longest = np.memmap(path, np.int64, "r", shape=(5,)).tolist()
+        at, parts = 40, []
         for n, kind in zip(sizes, (np.uint64, np.int64, np.int64, np.uint8), strict=True):
             parts.append(np.memmap(path, kind, "r", at, (n,)) if n else np.zeros(0, kind))
             at += n * np.dtype(kind).itemsize
@@ -56,7 +57,8 @@ class Rules:
         """For each url the rule of the longest fit (longest host on a tie) and the verdict."""
         of, parts, keys = [], [], []
         for k, (host, path) in enumerate(zip(hosts, paths, strict=True)):
-            suffix = host
+            # a suffix longer than every rule's host fits none
+            suffix = host if len(host) <= self.longest else host[-self.longest - 1 :].partition(".")[2]
             while suffix:
                 for n in self.lengths:
                     if n <= len(path):

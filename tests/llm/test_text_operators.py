@@ -65,6 +65,9 @@ def test_url_filter(spark):
     assert got[9][2:] == ("example.org/en/1", "block") and got[10][:2] == ("q", "") and got[11][:3] == ("é.org", "/ö/\nz", "org/")
     assert urls.judge_urls(df, [], default="block").filter("verdict = 'block'").count() == len(rows)
     assert urls.judge_urls(df.limit(0), urls.OP2_RULES).count() == 0
+    far = ["x://" + "a." * 50_000 + "org/", "x://" + "a" * 300 + ".com/de/", "x://.com/de/", "x://com./de/"]
+    again = spark.createDataFrame([(1, far[0]), (1, far[0]), (None, far[1]), (2, far[2]), (3, far[3])], "page_id long, url string")
+    assert sorted(map(str, ((r["page_id"], r["rule"]) for r in urls.judge_urls(again, urls.OP2_RULES).collect()))) == ["(1, 'org/')", "(1, 'org/')", "(2, 'com/de/')", "(3, None)", "(None, 'com/de/')"]
 
 
 def test_digest_collisions_are_told_apart(tmp_path):
@@ -585,6 +588,21 @@ def test_posteriors_by_hand(spark):
         assert (r["host_score"], r["path_score"], r["quality"]) == pytest.approx((host, path, 1 / (1 + math.exp(-odds)))) and r["kept"] == (r["quality"] >= 0.5)
 
 
+def test_groups_above_the_sent_limit_are_salted(spark, tmp_path, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("source", F.when(F.col("doc_id") % 7 > 0, F.col("source"))).withColumn("m", F.create_map("lang", "doc_id"))
+    model = quality.fit(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    pages = spark.createDataFrame([(k, None if k % 3 else f"u{k}", "" if k % 2 else f"page {k % 10}") for k in range(60)] + [(None, "u", "")], "page_id long, url string, html string")
+    got = []
+    for sent in (10**6, 0):
+        monkeypatch.setattr(quality, "SENT_PATHS", sent)
+        monkeypatch.setattr(warc, "SENT_DIGESTS", sent)
+        warc.write_pages(pages, str(tmp_path / f"w{sent}"))
+        records = warc.read_pages(spark, str(tmp_path / f"w{sent}")).select("id", "target_uri", "record_type", "refers_to")
+        judged = quality.classify(docs, model, without=("text", "m")).select("doc_id", F.round("quality", 9), "kept")
+        got.append((sorted(map(str, records.collect())), sorted(map(str, judged.collect()))))
+    assert got[0] == got[1] and len(got[0][0]) == 61 and len(got[0][1]) == docs.count()
+
+
 def test_quality_shrinks_sparse_hosts(spark):
     good, bad = "the cat sat on the mat and it was good. ", "### *** $$$ %%% ||| "
     rows = [(k, good, "large", "en", k) for k in range(60)] + [(100 + k, bad, "poor", "en", k) for k in range(60)] + [(200, bad, "tiny", "en", 0), (201, None, None, None, 0), (202, "", "large", None, 0)]
