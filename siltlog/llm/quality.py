@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from siltlog.llm import words
 from siltlog.llm.rules import STOP_WORDS
-from siltlog.llm.shared import stored
+from siltlog.llm.shared import join_group, stored
 
 #: Labelled rows that the classifier is fitted on at most, those of smallest hash of id and text.
 LABELLED = 2_000
@@ -217,8 +217,7 @@ def classify(docs: DataFrame, model: Model, *, text_col: str = "text", host_col:
     hosts = hosts.select(F.col("host").alias("of"), F.col("n").alias("host_n"), F.col("s").alias("host_s"))
     paths = paths.join(hosts, F.col("host").eqNullSafe(F.col("of"))).select(F.struct("host", "path").alias("site"), "n", "s", "host_n", "host_s")
     paths = stored(paths, "sites")
-    small = paths.count() <= SENT_PATHS
-    joined = rows.join(F.broadcast(paths) if small else paths, F.struct("host", "path").eqNullSafe(F.col("site")), "left")
+    joined = join_group(rows, paths, F.struct("host", "path").eqNullSafe(F.col("site")), SENT_PATHS, F.monotonically_increasing_id())
     others = lambda total: F.greatest(F.col(total) - F.col("doc_score"), F.lit(0.0))
     joined = joined.withColumn("host_score", (others("host_s") + host_weight * mean) / (F.col("host_n") - 1 + host_weight))
     joined = joined.withColumn("path_score", (others("s") + path_weight * F.col("host_score")) / (F.col("n") - 1 + path_weight))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
-from siltlog.llm.shared import shared_path, stored
+from siltlog.llm.shared import join_group, shared_path, stored
 
 FIELDS = ["record_id string", "record_type string", "target_uri string", "date string", "payload_digest string", "refers_to string", "original_length long", "content_length long"]
 SCHEMA = ", ".join([*FIELDS, "payload binary"])
@@ -327,9 +327,9 @@ def write_pages(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col
     register(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha", digest(F.col("payload"))).withColumn("bytes", F.length("payload").cast("long"))
-    groups = rows.filter(F.col("id").isNotNull() & (F.col("bytes") >= least_bytes)).groupBy("sha").agg(F.max("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("sha", "first")
+    groups = rows.filter(F.col("id").isNotNull() & (F.col("bytes") >= least_bytes)).groupBy("sha").agg(F.max("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("sha").alias("group"), "first")
     groups = stored(groups, "digests")
-    rows = rows.join(F.broadcast(groups) if groups.count() <= SENT_DIGESTS else groups, "sha", "left")
+    rows = join_group(rows, groups, F.col("sha") == F.col("group"), SENT_DIGESTS, F.xxhash64("id", "url"))
     again = (F.col("first").isNotNull() & (F.col("bytes") >= least_bytes) & (F.col("id") < F.col("first"))).alias("again")
     rows = rows.withColumn("again", F.coalesce(again, F.lit(False)))
 
