@@ -28,10 +28,12 @@ from siltlog.llm.shared import stored
 
 #: Words of the longest phrase.
 LONGEST = 5
-#: Text bytes of a block; entries of a piece of a stream; entries of a range that one task merges, on average.
+#: Text bytes of a block; entries of a piece of a stream; entries of a range on average, and of what is merged at once.
 BLOCK_BYTES, PIECE, RANGE = 5_000_000, 1 << 16, 400_000
 #: Phrases of a range in the lockstep passes, and keys that the driver gathers to cut ranges alike (for balance only).
 SCANNED, SAMPLED = 400_000, 20_000
+#: Keys of a range's length of a stream, from which ranges are cut.
+KEYS = 100
 #: Parts in which the rows of one language are ranked first.
 SALTS = 64
 
@@ -84,8 +86,12 @@ def _sorted(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndar
     return [c[order[at]] for c in columns], np.add.reduceat(counts[order], at) if len(at) else counts[:0]
 
 
-def _pieces(blocks: pa.Table, known: pa.Table) -> pa.Table:
-    """Sorted streams of a block, a row for PIECE entries of a language: (lang, n, first, middle, last, data)."""
+def _pieces(blocks: pa.Table, known: pa.Table, step: int) -> pa.Table:
+    """Sorted streams of a block, a row for PIECE entries of a language: (lang, n, first, keys, last, data).
+
+    `keys` are those of one entry in `step`. Streams of like texts have like keys at like places, so
+    each stream begins to count elsewhere: else all keys lie close together and the ranges between are large.
+    """
     out: list[tuple] = []
     row = blocks.filter(pc.is_valid(blocks.column("seq"))) if blocks.num_rows else blocks
     if row.num_rows and known.num_rows:
@@ -94,6 +100,7 @@ def _pieces(blocks: pa.Table, known: pa.Table) -> pa.Table:
         flow = np.concatenate([ids[seq], np.zeros(LONGEST, np.uint64)])
         begin = np.flatnonzero((flow[:-1] > 0) & (flow[1:] > 0))
         kind = of[seq[begin] - 1]
+        first = np.random.default_rng(row.column("block")[0].as_py()).integers(step, size=len(langs)).tolist()
         for k, lang in enumerate(langs):
             at = begin[kind == k]
             columns = [flow[at]]
@@ -102,14 +109,15 @@ def _pieces(blocks: pa.Table, known: pa.Table) -> pa.Table:
             columns, counts = _sorted(columns, np.ones(len(at), np.int64))
             for lo in range(0, len(counts), PIECE):
                 hi = min(lo + PIECE, len(counts))
-                ends = [[int(c[i]) for c in columns] for i in (lo, (lo + hi) // 2, hi - 1)]
-                out.append((lang, hi - lo, *ends, *_packed([c[lo:hi] for c in columns], counts[lo:hi])))
-    names = ["lang", "n", "first", "middle", "last", *[f"c{j}" for j in range(LONGEST)], "counts"]
-    types = [pa.string(), pa.int64(), *[pa.list_(pa.int64())] * 3, *[pa.binary()] * (LONGEST + 1)]
+                keys = _keys(columns, range(lo + (first[k] - lo) % step, hi, step))
+                out.append((lang, hi - lo, *_keys(columns, [lo]), keys, *_keys(columns, [hi - 1]), *_packed([c[lo:hi] for c in columns], counts[lo:hi])))
+    names = ["lang", "n", "first", "keys", "last", *[f"c{j}" for j in range(LONGEST)], "counts"]
+    key = pa.list_(pa.int64())
+    types = [pa.string(), pa.int64(), key, pa.list_(key), key, *[pa.binary()] * (LONGEST + 1)]
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * len(types), types, strict=True)], names)
 
 
-PIECES = "lang string, n long, first array<long>, middle array<long>, last array<long>, " + ", ".join(f"c{j} binary" for j in range(LONGEST)) + ", counts binary"
+PIECES = "lang string, n long, first array<long>, keys array<array<long>>, last array<long>, " + ", ".join(f"c{j} binary" for j in range(LONGEST)) + ", counts binary"
 DATA = [f"c{j}" for j in range(LONGEST)] + ["counts"]
 
 
@@ -117,35 +125,41 @@ def _packed(columns: list[np.ndarray], counts: np.ndarray) -> list[bytes]:
     return [squeeze(c) for c in (*columns, counts)]
 
 
-def _ranges(keys: DataFrame, weight: str, parts: int) -> list[tuple]:
-    """Keys that cut all keys in `parts` ranges of like weight, from a bounded sample by hash; only the balance hangs on it."""
+def _keys(columns: list[np.ndarray], places: Iterable[int]) -> list[list[int]]:
+    return [[int(c[i]) for c in columns] for i in places]
+
+
+def _ranges(keys: DataFrame, total: float, parts: int) -> list[tuple]:
+    """Those of about `total` keys that cut them in `parts` ranges alike, from a bounded sample by hash; only the balance hangs on it."""
     if parts < 2:
         return []
-    sample = keys.orderBy(F.xxhash64("key")).limit(SAMPLED).select("key", weight).collect()
-    sample = sorted((tuple(r["key"]), r[weight]) for r in sample)
-    reach, cuts, at = np.cumsum([w for _, w in sample]), [], 0
-    for k in range(1, parts):
-        at = int(np.searchsorted(reach, reach[-1] * k / parts)) if len(sample) else 0
-        cuts.append(sample[at][0] if len(sample) else ())
-    return sorted(set(cuts))
+    if total > 2 * SAMPLED:  # else each task sends the driver as many as it wants in all
+        keys = keys.sample(2 * SAMPLED / total, seed=13)
+    sample = sorted(tuple(r["key"]) for r in keys.orderBy(F.xxhash64("key")).limit(SAMPLED).select("key").collect())
+    return sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
+
+
+def _divided(data: list[bytes], cuts: list[tuple]) -> Iterator[tuple[int, int, list[bytes]]]:
+    """The parts of a stream between cuts: (number, entries, data); an entry at a cut comes after it."""
+    *columns, counts = map(expand, data)
+    edges = [0, *(bisect_left(range(len(counts)), cut, key=lambda i: tuple(int(c[i]) for c in columns)) for cut in cuts), len(counts)]
+    for k, (i, j) in enumerate(zip(edges, edges[1:])):
+        if i < j:
+            yield k, j - i, _packed([c[i:j] for c in columns], counts[i:j])
 
 
 def _dealt(batches: Iterable[pa.RecordBatch], cuts: list[tuple]) -> Iterator[pa.RecordBatch]:
     """Pieces by range; one that lies across a cut is divided there."""
     for batch in batches:
         out: list[tuple] = []
-        for lang, first, last, *data in zip(*(batch.column(c).to_pylist() for c in ("lang", "first", "last", *DATA)), strict=True):
+        for lang, n, first, last, *data in zip(*(batch.column(c).to_pylist() for c in ("lang", "n", "first", "last", *DATA)), strict=True):
             lo, hi = bisect_right(cuts, tuple(first)), bisect_right(cuts, tuple(last))
             if lo == hi:
-                out.append((lo, lang, *data))
-                continue
-            *columns, counts = map(expand, data)
-            edges = [0, *(bisect_left(range(len(counts)), cuts[b], key=lambda i, c=columns: tuple(int(x[i]) for x in c)) for b in range(lo, hi)), len(counts)]
-            for b, (i, j) in enumerate(zip(edges, edges[1:]), lo):
-                if i < j:
-                    out.append((b, lang, *_packed([c[i:j] for c in columns], counts[i:j])))
-        types = [pa.int32(), pa.string(), *[pa.binary()] * len(DATA)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * len(types), types, strict=True)], ["range", "lang", *DATA])
+                out.append((lo, lang, n, *data))
+            else:
+                out += [(lo + k, lang, m, *part) for k, m, part in _divided(data, cuts[lo:hi])]
+        types = [pa.int32(), pa.string(), pa.int64(), *[pa.binary()] * len(DATA)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * len(types), types, strict=True)], ["range", "lang", "n", *DATA])
 
 
 def _end_to_end(column: pa.ChunkedArray, n: int) -> np.ndarray:
@@ -158,10 +172,38 @@ def _end_to_end(column: pa.ChunkedArray, n: int) -> np.ndarray:
     return out
 
 
-def _merged(rows: pa.Table, least: int) -> pa.Table:
-    """Counts of the phrases of a range, from runs of common beginnings. The first and last run of each length may go on next door and are kept whatever they count."""
+def _in_parts(rows: pa.Table, size: int) -> Iterator[pa.Table]:
+    """The rows of a range as ranges of about `size` entries, cut by keys that lie evenly in its streams. One of up to half as much again stays whole."""
+    sizes = rows.column("n").to_pylist()
+    parts = round(sum(sizes) / size)
+    if parts < 2:
+        yield rows
+        return
+    step, at, found = max(1, size // 4096), 0, []
+    for n, *data in zip(sizes, *(rows.column(c) for c in DATA[:LONGEST]), strict=True):
+        found.append([expand(b.as_py())[-at % step :: step] for b in data])
+        at += n
+    keys = [np.concatenate(c) for c in zip(*found)]
+    order = np.lexsort(keys[::-1])
+    cuts = sorted({tuple(int(c[order[len(order) * k // parts]]) for c in keys) for k in range(1, parts)})
+    out: list[list[tuple]] = [[] for _ in range(len(cuts) + 1)]
+    for lang, *data in zip(*(rows.column(c) for c in ("lang", *DATA)), strict=True):
+        for k, m, part in _divided([b.as_py() for b in data], cuts):
+            out[k].append((lang.as_py(), m, *part))
+    types = [pa.string(), pa.int64(), *[pa.binary()] * len(DATA)]
+    for held in filter(None, out):
+        yield pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types, strict=True)], ["lang", "n", *DATA])
+
+
+def _merged(rows: pa.Table, least: int, size: int) -> pa.Table:
+    """Counts of the phrases of a range, about `size` entries at once: however large a range is, a task holds no more of it unpacked."""
+    return pa.concat_tables([_counted(part, least) for part in _in_parts(rows, size)])
+
+
+def _counted(rows: pa.Table, least: int) -> pa.Table:
+    """Counts of phrases, from runs of common beginnings. The first and last run of each length may go on next door and are kept whatever they count."""
     coded = rows.column("lang").combine_chunks().dictionary_encode()
-    sizes = [len(expand(b)) for b in rows.column("counts").to_pylist()]
+    sizes = rows.column("n").to_pylist()
     held = [_end_to_end(rows.column(c), sum(sizes)) for c in DATA]
     word = np.unique(held[0], return_index=True)
     lang_of = np.repeat(coded.indices.to_numpy(), sizes)[word[1]]  # a word is one of its language
@@ -202,11 +244,13 @@ def phrase_counts(docs: DataFrame, least: int, *, text_col: str = "text", lang_c
     dictionary = known_words(coded).select(F.expr("substring(cast(name as string), locate(' ', cast(name as string)) + 1)").alias("lang"), "id", F.substring_index(tagged, " ", 1).alias("word"), "count")
     seqs = blocks.filter("seq is not null").select("block", "langs", "of", "seq")
     back = coded.filter("block is not null").select("block", "places", "ids")
-    pieces = stored(seqs.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_pieces, PIECES), "phrase-streams")
+    size = RANGE
+    step = max(1, size // KEYS)
+    pieces = stored(seqs.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(lambda b, k: _pieces(b, k, step), PIECES), "phrase-streams")
     entries = pieces.agg(F.sum("n")).first()[0] or 0
-    cuts = _ranges(pieces.select(F.col("middle").alias("key"), "n"), "n", -(-entries // RANGE))
-    dealt = pieces.drop("middle", "n").mapInArrow(lambda it: _dealt(it, cuts), "range int, lang string, " + ", ".join(f"{c} binary" for c in DATA))
-    counted = dealt.groupBy("range").applyInArrow(lambda t: _merged(t, least), "lang string, words array<long>, f long")
+    cuts = _ranges(pieces.select(F.explode("keys").alias("key")), entries / step, -(-entries // size))
+    dealt = pieces.drop("keys").mapInArrow(lambda it: _dealt(it, cuts), "range int, lang string, n long, " + ", ".join(f"{c} binary" for c in DATA))
+    counted = dealt.groupBy("range").applyInArrow(lambda t: _merged(t, least, size), "lang string, words array<long>, f long")
     counted = counted.groupBy("lang", "words").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
     single = dictionary.select("lang", F.array("id").alias("words"), F.col("count").alias("f"))
     return stored(single.unionByName(counted), "phrase-counts"), dictionary.select("lang", "id", "word"), totals
@@ -254,7 +298,7 @@ def surroundings(counts: DataFrame) -> DataFrame:
     sides = []
     for last in (False, True):
         key = F.reverse("words") if last else F.col("words")
-        cuts = _ranges(counts.select(key.alias("key"), F.lit(1).alias("one")), "one", -(-total // SCANNED))
+        cuts = _ranges(counts.select(key.alias("key")), total, -(-total // SCANNED))
         spread = counts.select("lang", "words", "f").mapInArrow(lambda it, c=cuts, z=last: _spread(it, c, z), "last boolean, range int, lang string, key array<long>, f long, carried boolean")
         sides.append(spread)
     passed = sides[0].unionByName(sides[1]).groupBy("last", "range").applyInArrow(_scanned, "last boolean, lang string, key array<long>, f long, counts array<long>, more long")

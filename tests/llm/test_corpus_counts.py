@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter
-from itertools import permutations
+from itertools import groupby, permutations
 
 import numpy as np
 import public_tokenizers
@@ -177,6 +177,45 @@ def test_no_phrases(spark):
     assert phrases.mine(docs).count() == 0 and phrases.mine(docs.limit(0)).count() == 0
 
 
+def alike_texts():
+    rng = random.Random(3)
+    return [(k, " ".join(f"w{min(rng.randrange(60), rng.randrange(60))}" for _ in range(400)), "en") for k in range(24)]
+
+
+def test_phrase_ranges_of_like_streams(spark, monkeypatch):
+    """Blocks of like texts have like keys at the same places; their ranges are near the wanted size all the same."""
+    monkeypatch.setattr(phrases, "RANGE", 300)
+    report = lambda rows, least, size: pa.table({"lang": ["range"], "words": pa.array([[rows.column("range")[0].as_py()]], pa.list_(pa.int64())), "f": pa.array([sum(len(expand(b)) for b in rows.column("counts").to_pylist())])})
+    monkeypatch.setattr(phrases, "_merged", report)
+    counts, _, _ = phrases.phrase_counts(spark.createDataFrame(alike_texts(), DOCS).repartition(24), 1)
+    sizes = [r["f"] for r in counts.filter("lang = 'range'").collect()]
+    assert sum(sizes) > 9000 and len(sizes) > 25 and max(sizes) < 600
+
+
+@pytest.mark.parametrize("size", [7, 50, 333, 4000, 10**6])
+def test_large_phrase_range_is_merged_in_parts(monkeypatch, size):
+    """However many entries a range has, a bounded number is unpacked at once, and the counts are the same."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(30):
+        columns = [rng.integers(1, 9, 300).astype(np.uint64)]
+        for _ in range(phrases.LONGEST - 1):
+            columns.append(np.where((columns[-1] > 0) & (rng.random(300) < 0.9), rng.integers(1, 9, 300), 0).astype(np.uint64))
+        columns[0] += np.uint64(10 * (k % 2))  # a word is one of its language
+        columns, counts = phrases._sorted(columns, rng.integers(1, 5, 300))
+        rows.append((7, ("en", "fr")[k % 2], len(counts), *phrases._packed(columns, counts)))
+    types = [pa.int32(), pa.string(), pa.int64(), *[pa.binary()] * len(phrases.DATA)]
+    whole = pa.table([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["range", "lang", "n", *phrases.DATA])
+    summed = lambda t: {k: sum(f for *_, f in g) for k, g in groupby(sorted((r["lang"], r["words"], r["f"]) for r in t.to_pylist()), key=lambda r: (r[0], *r[1]))}
+    want = summed(phrases._counted(whole, 1))
+    held, counted = [], phrases._counted
+    monkeypatch.setattr(phrases, "_counted", lambda part, least: held.append(part.num_rows and sum(part.column("n").to_pylist())) or counted(part, least))
+    assert summed(phrases._merged(whole, 1, size)) == want
+    assert sum(held) == sum(r[2] for r in rows) and max(held) <= max(30, 1.6 * size)
+    least = {k: f for k, f in want.items() if f >= 20}
+    assert {k: f for k, f in summed(phrases._merged(whole, 20, size)).items() if f >= 20} == least
+
+
 def test_scores_beyond_64_bits(spark):
     """Counts of a corpus far larger than any test's: the product passes 2^63 and stays exact."""
     from pyspark.sql import functions as F
